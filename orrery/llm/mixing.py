@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, budget_share: float = 1.0, most: int = REPEATS) ->
     everything = Window.partitionBy()
     s = s.withColumn("total", F.sum("source_size").over(everything).cast("double") * budget_share)
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything))
     return s.select("source_key", "source_size", F.least(F.coalesce(F.col("level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 

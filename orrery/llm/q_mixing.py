@@ -22,7 +22,7 @@ d AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 wgt AS (SELECT *, (((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1)::DOUBLE AS w, ({mixing.REPEATS} * source_size)::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM src),
 lev AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l0 FROM wgt),
-goal AS (SELECT source, source_size, least(coalesce(min(CASE WHEN l0 * w <= cap THEN l0 END) OVER () * w, cap), cap) AS target FROM lev),
+goal AS (SELECT source, source_size, least(coalesce(max(CASE WHEN l0 * w <= cap THEN l0 END) OVER () * w, cap), cap) AS target FROM lev),
 q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hk, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source),
 mixed AS (SELECT *, CASE WHEN size = 0 OR target <= 0 THEN 0 ELSE
