@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import q_mixing, q_sharding
+from orrery.llm import q_decontamination, q_language, q_mixing, q_sharding, q_simhash
 
-_MODULES = (q_mixing, q_sharding)
+_MODULES = (q_mixing, q_sharding, q_decontamination, q_language, q_simhash)
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict = {}
 for _m in _MODULES:
