@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import q_decontamination, q_language, q_mixing, q_mpeg_audio, q_sharding, q_simhash, q_sstable
+from orrery.llm import q_chaining, q_decontamination, q_language, q_mixing, q_mpeg_audio, q_sharding, q_simhash, q_sstable
 
-_MODULES = (q_mixing, q_sharding, q_decontamination, q_language, q_simhash, q_sstable, q_mpeg_audio)
+_MODULES = (q_mixing, q_sharding, q_decontamination, q_language, q_simhash, q_sstable, q_mpeg_audio, q_chaining)
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict = {}
 for _m in _MODULES:
