@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import q_chaining, q_context_mixing, q_decontamination, q_language, q_mixing, q_mpeg_audio, q_sharding, q_simhash, q_sstable
+from orrery.llm import q_chaining, q_context_mixing, q_decontamination, q_language, q_mixing, q_mpeg_audio, q_sharding, q_simhash, q_sstable, q_suffix_dedup
 
-_MODULES = (q_mixing, q_sharding, q_decontamination, q_language, q_simhash, q_sstable, q_mpeg_audio, q_chaining, q_context_mixing)
+_MODULES = (q_mixing, q_sharding, q_decontamination, q_language, q_simhash, q_sstable, q_mpeg_audio, q_chaining, q_context_mixing, q_suffix_dedup)
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict = {}
 for _m in _MODULES:
