@@ -1,4 +1,4 @@
-"""op1: fuzzy passages of every document that an earlier document holds."""
+"""op1: pairs of documents that share fuzzy passages, with the passages' places."""
 
 from __future__ import annotations
 
@@ -11,4 +11,4 @@ NAME = "op1_chaining"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chaining.passages(table(spark, sf_dir, "documents"))
+    return chaining.pairs(table(spark, sf_dir, "documents"))
