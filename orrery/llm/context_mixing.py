@@ -288,6 +288,9 @@ class Model:
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
+    docs = docs.select(key, text)
+    if docs.filter(F.input_file_name() == "").limit(1).count():  # rows that come from no file: pieces need splits of bounded size
+        docs = stored(docs, "documents")
     piece = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(key), F.octet_length(F.col(text))), F.lit(PIECES)))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), piece.alias("piece"), held_out(F.col(key)).alias("held_out"))
     stats = stored(gather(rows.select("piece", "text", (~F.col("held_out")).alias("learn"))), "counts")

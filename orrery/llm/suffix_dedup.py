@@ -84,7 +84,11 @@ def _utf8(t: str | None) -> bytes:
 
 
 def shared_seeds(docs: DataFrame) -> DataFrame:
-    """``id, text`` to distinct (id, h) of the seeds that two ids or more hold. One shuffle; groups stream past in order."""
+    """``id, text`` to (id, h) of the seeds that two ids or more hold. One shuffle; groups stream past in order.
+
+    A seed that two documents of one batch hold is known to be shared: its rows are dealt evenly, and only one of them is sent
+    to meet the seed's rows from elsewhere, so a frequent seed sends a row a batch to its task.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,13 +97,24 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
                 h = np.unique(seeds_of(_utf8(t))[0])
                 hs.append(h)
                 ids.append(np.full(len(h), i, np.int64))
-            if hs:
-                yield pd.DataFrame({"h": np.concatenate(hs), "id": np.concatenate(ids)})
+            if not hs:
+                continue
+            h, i = np.concatenate(hs), np.concatenate(ids)
+            order = np.lexsort((i, h))
+            h, i = h[order], i[order]
+            start = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+            run = np.cumsum(start) - 1
+            known = (np.bincount(run, i != i[np.flatnonzero(start)][run]) > 0)[run] if len(h) else start
+            send = start | ~known
+            yield pd.DataFrame({"h": np.append(h[known], h[send]), "id": np.append(i[known], i[send]), "known": np.repeat([True, False], [known.sum(), send.sum()])})
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None  # seed, its first id, whether a second was seen
         for b in batches:
-            h, i = b["h"].to_numpy(), b["id"].to_numpy()
+            known = b["known"].to_numpy(bool)
+            if known.any():
+                yield b.loc[known, ["h", "id"]]
+            h, i = b["h"].to_numpy()[~known], b["id"].to_numpy()[~known]
             if not len(h):
                 continue
             start = np.concatenate([[True], h[1:] != h[:-1]])
@@ -120,8 +135,9 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
             last = (h[-1], first[-1], bool(many[-1]))
             yield pd.DataFrame({"h": out_h, "id": out_i}).drop_duplicates()
 
-    seeds = docs.mapInPandas(emit, "h long, id long")
-    return seeds.repartition("h").sortWithinPartitions("h", "id").mapInPandas(keep, "h long, id long")
+    seeds = docs.mapInPandas(emit, "h long, id long, known boolean")
+    place = F.when(F.col("known"), F.xxhash64("h", "id")).otherwise(F.col("h"))
+    return seeds.repartition(place).sortWithinPartitions("known", "h", "id").mapInPandas(keep, "h long, id long")
 
 
 SNIPPETS = "h long, sid long, id long, th long, s int, n int, snippet binary"
