@@ -53,3 +53,12 @@ def wasserstein(rows: DataFrame, by: list[str], side: str, value: str) -> DataFr
     joined = steps.join(tot, by) if by else steps.join(F.broadcast(tot))
     area = F.sum(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")) * F.coalesce("dv", F.lit(0.0)))
     return joined.groupBy(*by).agg(F.when(F.max("na") * F.max("nb") > 0, area).alias("w1"))
+
+
+def make_kernel(name: str, rows: DataFrame, key: str = "vec_id", x: str = "x") -> Kernel:
+    """``linear``, or ``rbf`` with the median heuristic over ``rows``."""
+    if name == "rbf":
+        return Kernel("rbf", float(median_gamma(rows, key, x).first().gamma))
+    if name == "linear":
+        return Kernel("linear")
+    raise ValueError(f"unknown kernel {name}")

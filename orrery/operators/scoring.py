@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions.arrays import mean_vector, sq_dist
@@ -62,3 +66,39 @@ def top_alpha(vectors: DataFrame, n: int, by: list[str], c: float) -> DataFrame:
     kept = vectors.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     scaled = F.col("alpha") / F.sum("alpha").over(Window.partitionBy(*by))
     return kept.withColumn("alpha", F.least(scaled, F.lit(c)))
+
+
+BROADCAST_BYTES = 128 << 20
+
+
+def kernel_distances(rows: DataFrame, vectors: DataFrame, kernel: Kernel, by: str = "scenario_id", x: str = "x", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``d2`` of rows to the description of their scenario under any kernel. ``vectors``: key, sv_idx, alpha, x.
+
+    Descriptions of up to ``most`` bytes together are broadcast and applied to Arrow batches; larger ones are joined by key and
+    summed per row, both giving the same numbers. Rows of a scenario without vectors are left out.
+    """
+    size = vectors.agg(F.sum(F.size("x") * 8 + 16)).first()[0] or 0
+    if size > most:
+        v = vectors.select(F.col(by).alias("_s"), F.col("alpha").alias("_a"), F.col("x").alias("_x"))
+        w = v.select(F.col("_s").alias("_s2"), F.col("_a").alias("_a2"), F.col("_x").alias("_x2"))
+        norm = v.join(w, F.col("_s") == F.col("_s2")).groupBy("_s").agg(F.sum(F.col("_a") * F.col("_a2") * kernel.column(F.col("_x"), F.col("_x2"))).alias("_norm"))
+        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+        cross = numbered.join(v, F.col(by) == F.col("_s")).groupBy("_row", *rows.columns).agg(F.sum(F.col("_a") * kernel.column(F.col(x), F.col("_x"))).alias("_cross"))
+        both = cross.join(norm, F.col(by) == F.col("_s"))
+        return both.select(*rows.columns, F.greatest(kernel.diag_column(F.col(x)) - 2 * F.col("_cross") + F.col("_norm"), F.lit(0.0)).alias("d2"))
+    held: dict = {}
+    for r in vectors.orderBy(by, "sv_idx").toLocalIterator():
+        held.setdefault(r[by], []).append((r.alpha, r.x))
+    models = {k: (np.array([a for a, _ in v]), np.array([y for _, y in v], float)) for k, v in held.items()}
+    sent = rows.sparkSession.sparkContext.broadcast({k: (a, m, float(a @ kernel.matrix(m, m) @ a)) for k, (a, m) in models.items()})
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", d2 double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, g in b.groupby(by, sort=False):
+                if key in sent.value:
+                    a, m, norm = sent.value[key]
+                    q = np.stack(g[x].to_list()).astype(float)
+                    yield g.assign(d2=np.maximum(kernel.diag(q) - 2 * kernel.matrix(q, m) @ a + norm, 0))
+
+    return rows.mapInPandas(run, schema)

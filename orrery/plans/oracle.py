@@ -113,6 +113,8 @@ SELECT vec_id, path, CASE len(s) WHEN 4 THEN s[1] WHEN 3 THEN 'linear' END AS ke
     "poly_kernel": _kernel("power(g + 1.0, 3)"),
     "kernel_diag": f"WITH {VEC}, n AS (SELECT vec_id, list_sum(list_transform(x, lambda t: t::DOUBLE * t::DOUBLE)) AS s FROM v) SELECT vec_id, round(s, 6) AS lin, 1.0::DOUBLE AS rbf, round(power(s + 1, 3), 6) AS poly, round(s, 6) AS norm2 FROM n",
     "svdd_distance": f"WITH {SC} SELECT vec_id, {R6('d', 'r')} FROM sc",
+    "rbf_distance": f"""WITH {VEC}, pairs AS (SELECT v.vec_id, avg(exp(-0.5 * list_sum(list_transform(list_zip(v.x, tr.x), lambda t: power(t[1]::DOUBLE - t[2]::DOUBLE, 2))))) AS k FROM v, tr GROUP BY v.vec_id),
+n AS (SELECT avg(k) AS norm FROM pairs JOIN tr USING (vec_id)) SELECT vec_id, round(greatest(1 - 2 * k + norm, 0), 6) AS d2 FROM pairs, n""",
     "svdd_predict": f"WITH {SC} SELECT vec_id, CASE WHEN round(r2, 9) - round(d2, 9) >= 0 THEN 1 ELSE -1 END AS pred, round(r2 - d2, 6) AS decision FROM sc",
     "zone_decision": f"WITH {SC} SELECT vec_id, CASE WHEN d2 < power(r * 0.98, 2) THEN 0 WHEN d2 > power(r * 1.0 - 1e-9, 2) THEN 2 ELSE 1 END AS zone FROM sc",
     "r2_tiers": f"""WITH {SC}, a AS (SELECT label, CASE WHEN label < 3 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS c, d2, CASE WHEN label < 3 THEN (vec_id % 4) / 10.0::DOUBLE WHEN label < 7 THEN (vec_id % 2) / 2.0::DOUBLE ELSE 0.0::DOUBLE END AS al FROM sc),

@@ -115,6 +115,14 @@ def svdd_distance(s: SparkSession, d: str) -> DataFrame:
     return rounded(scored(s, d).select("vec_id", "d", "r"))
 
 
+def rbf_distance(s: SparkSession, d: str) -> DataFrame:
+    """Distances under an RBF kernel to the description with equal weights (nu = 1)."""
+    v = vectors(s, d).withColumn("scenario_id", F.lit("all"))
+    train = source_train(v)
+    sv = train.join(F.broadcast(train.agg((1.0 / F.count("*")).alias("alpha")))).select("scenario_id", F.col("vec_id").alias("sv_idx"), "alpha", "x")
+    return rounded(scoring.kernel_distances(v, sv, Kernel("rbf", 0.5)).select("vec_id", "d2"))
+
+
 def svdd_predict(s: SparkSession, d: str) -> DataFrame:
     return scored(s, d).select("vec_id", scoring.predict_sign(F.round("d2", 9), F.round("r2", 9)).alias("pred"), F.round(F.col("r2") - F.col("d2"), 6).alias("decision"))
 
@@ -308,7 +316,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         domain_split, temporal_split, window_signal, source_val_union, znorm, liftered_features, target_stream_order, label_map, domain_map, scenario_pairs, run_key, recording_name,
-        kernel_matrix, rbf_kernel, poly_kernel, kernel_diag, svdd_distance, svdd_predict, zone_decision, r2_tiers, topk_alpha, buffer_size, warmup_length, confusion_matrix, auc, ad_performance,
+        kernel_matrix, rbf_kernel, poly_kernel, kernel_diag, svdd_distance, rbf_distance, svdd_predict, zone_decision, r2_tiers, topk_alpha, buffer_size, warmup_length, confusion_matrix, auc, ad_performance,
         otta_performance, decision_rates, latency_stats, detection_delay, distance_ratio, cm_by_dataset, metric_pivot, baseline_vs_otta, delta_box, zone_ratio, tradeoff, zone_flatten, run_summary,
         median_gamma, mmd2, wasserstein, polar_bounds, polar_points, r_trace_panel, r_trace_points, svdd_fit, svdd_fit_closed_form, otta_replay, otta_single, otta_stream,
     )

@@ -181,3 +181,23 @@ def test_experiment_end_to_end(spark, tmp_path):
     ex.evaluate_stream(spark, root, out)
     assert spark.read.option("header", "true").csv(f"{out}/baseline_vs_adapted").count() == 3
     assert len(artifacts.load_model(spark, f"{root}/model")[0].collect()) == 3
+
+
+def test_kernel_distances_both_ways(spark):
+    from orrery.operators.distribution import make_kernel
+    from orrery.operators.scoring import kernel_distances
+
+    rng = np.random.default_rng(5)
+    train, rows = rng.normal(size=(40, 3)), rng.normal(size=(9, 3))
+    for kern in (Kernel("rbf", 0.5), Kernel(), polynomial()):
+        m = Description.fit(train, kern, 0.1)
+        sv = spark.createDataFrame([("a", i, float(a), x.tolist()) for i, (a, x) in enumerate(zip(m.alpha, m.x))], "scenario_id string, sv_idx int, alpha double, x array<double>")
+        df = spark.createDataFrame([("a", i, x.tolist()) for i, x in enumerate(rows)] + [("none", 99, [0.0, 0.0, 0.0])], "scenario_id string, i long, x array<double>")
+        for most in (1 << 20, 0):
+            got = {r.i: r.d2 for r in kernel_distances(df, sv, kern, most=most).collect()}
+            assert set(got) == set(range(9)) and np.allclose([got[i] for i in range(9)], m.d2(rows), atol=1e-6)
+    pts = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(train)], "vec_id long, x array<double>")
+    d2 = ((train[:, None] - train[None]) ** 2).sum(2)[np.triu_indices(40, 1)]
+    assert abs(make_kernel("rbf", pts).gamma - 1 / np.median(d2)) < 1e-9 and make_kernel("linear", pts) == Kernel()
+    with pytest.raises(ValueError):
+        make_kernel("poly", pts)
