@@ -83,9 +83,11 @@ class Description:
         n = len(x)
         if n == 0 or c * n < 1 - 1e-12:
             raise ValueError("C * N must be at least 1")
-        k, diag = kernel.matrix(x, x), kernel.diag(x)
+        diag = kernel.diag(x)
         a = np.full(n, 1.0 / n)
-        f = k @ a
+        # Kernel columns are made when a step needs them, so memory follows N, not its square.
+        f = np.concatenate([kernel.matrix(x[b : b + 512], x) @ a for b in range(0, n, 512)])
+        column = lambda m: kernel.matrix(x, x[m : m + 1])[:, 0]
         stuck: set[tuple[int, int]] = set()
         it, gap = 0, 0.0
         for it in range(1, max_iter + 1):
@@ -99,14 +101,15 @@ class Description:
             gap = g[i] - g[j]
             if gap < tol:
                 break
-            eta = k[i, i] + k[j, j] - 2 * k[i, j]
+            ki, kj = column(i), column(j)
+            eta = diag[i] + diag[j] - 2 * ki[j]
             step = min(gap / (2 * eta), c - a[i], a[j]) if eta > EPS else 0.0
             if abs(step) < EPS:
                 stuck.add((i, j))
                 continue
             a[i] += step
             a[j] -= step
-            f += step * (k[:, i] - k[:, j])
+            f += step * (ki - kj)
             stuck.clear()
         keep = a > EPS
         d = Description(kernel, c, x[keep], a[keep], f[keep], diag[keep], iterations=it, gap=float(gap))
