@@ -56,13 +56,21 @@ def held_out(key: Column) -> Column:
 
 def slots(codes: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Bits of each code (tokens x 16), and the slot of each decision: the node, and one in each hashed table."""
+    codes = codes.astype(np.uint32)
     shift = np.arange(BITS - 1, -1, -1, dtype=np.uint32)
-    bits = (codes[:, None] >> shift & 1).astype(np.uint8)
-    node = (codes[:, None] >> (shift + 1) | np.uint32(1) << (BITS - 1 - shift)).astype(np.uint32)
-    out, mixed = [node], node * _B
+    above = codes[:, None] >> shift
+    bits = (above & np.uint32(1)).astype(np.uint8)
+    node = above >> np.uint32(1)
+    node |= np.uint32(1) << (np.uint32(BITS - 1) - shift)
+    mixed = node * np.uint32(0x9E3779B1)
+    out = [node]
     for ctx in (one, two):
-        h = (ctx.astype(np.uint64) + np.uint64(1))[:, None] * _A + mixed
-        out.append(((h ^ (h >> np.uint64(29))) * _A >> np.uint64(64 - HASHED)).astype(np.uint32))
+        h = (ctx + np.uint64(1)) * _A
+        h = ((h ^ (h >> np.uint64(29))) * _B >> np.uint64(32)).astype(np.uint32)
+        at = mixed ^ h[:, None]
+        at *= np.uint32(0x85EBCA6B)
+        at >>= np.uint32(32 - HASHED)
+        out.append(at)
     return bits, out
 
 
@@ -97,23 +105,17 @@ def contexts(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, one * np.uint64(1 << 17) + before + np.uint64(1 << 40)
 
 
-class Codes:
-    """Codes of words, by a dictionary emptied when full."""
+class Codes(dict):
+    """Codes of words, made when first met; emptied when large."""
 
-    def __init__(self) -> None:
-        self.of: dict[bytes, int] = {}
+    def __missing__(self, w: bytes) -> int:
+        code = self[w] = (zlib.crc32(w) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS)
+        return code
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        of = self.of
-        if len(of) > 500_000:
-            of.clear()
-        get = of.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, w in enumerate(words):
-                if out[i] < 0:
-                    of[w] = out[i] = (zlib.crc32(w) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS)
-        return np.array(out, np.uint32)
+        if len(self) > 300_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
 
 
 STATS = "table int, block int, piece long, word binary, n long, cells binary"
@@ -127,28 +129,36 @@ def gather(docs: DataFrame) -> DataFrame:
         words: dict[int, Counter] = {}
         other: dict[int, set] = {}
         code = Codes()
-        for b in batches:
-            flat: list[bytes] = []
-            firsts: list[int] = []
-            for piece, text, learn in zip(b["piece"].tolist(), b["text"].tolist(), b["learn"].tolist()):
-                w = tokens(text)
-                if learn:
-                    words.setdefault(piece, Counter()).update(w)
-                    firsts.append(len(flat))
-                    flat += w
-                else:
-                    other.setdefault(piece, set()).update(w)
-            if not flat:
-                continue
+
+        def add(flat: list[bytes], firsts: list[int]) -> None:
             first = np.zeros(len(flat), bool)
             first[firsts] = True
             c = code(flat)
             one, two = contexts(c, first)
             sums[0] += np.bincount(c, minlength=SIZES[0]).astype(np.uint32)
-            for a in range(0, len(c), 200_000):
-                bits, at = slots(c[a : a + 200_000], one[a : a + 200_000], two[a : a + 200_000])
+            for a in range(0, len(c), 50_000):
+                bits, at = slots(c[a : a + 50_000], one[a : a + 50_000], two[a : a + 50_000])
                 for s, x in zip(sums[1:3], at[1:]):
-                    s += np.bincount((x << np.uint32(1) | bits).ravel(), minlength=len(s)).astype(np.uint32)
+                    x <<= np.uint32(1)
+                    x |= bits
+                    np.add.at(s, x.ravel(), np.uint32(1))
+
+        for b in batches:
+            flat: list[bytes] = []
+            firsts: list[int] = []
+            for piece, text, learn in zip(b["piece"], b["text"], b["learn"]):
+                w = tokens(text)
+                if not learn:
+                    other.setdefault(piece, set()).update(w)
+                    continue
+                words.setdefault(piece, Counter()).update(w)
+                firsts.append(len(flat))
+                flat += w
+                if len(flat) > 200_000:
+                    add(flat, firsts)
+                    flat, firsts = [], []
+            if flat:
+                add(flat, firsts)
         for piece in words.keys() | other.keys():
             n = words.get(piece, Counter())
             for s, x in zip(sums[3:], spelling_counts([w for w in n if w])):
@@ -243,16 +253,20 @@ class Model:
             flat = np.minimum(idx, len(codes) - 1).ravel()
             bits, where = slots(codes[flat], one[flat], two[flat])
             x = np.stack([lg[s] for lg, s in zip(self.logit, where)]).reshape(3, live, step, BITS)
-            y = bits.reshape(live, step, BITS).astype(np.float32)
+            sign = bits.reshape(live, step, BITS).astype(np.float32) * 2 - 1
             for t in range(min(step, int(size[0]) - t0)):
                 m = int((size > t0 + t).sum())
-                xs = x[:, :m, t]
-                z = (w[:3, :m] * xs).sum(0) + w[3, :m]
+                xs, st = x[:, :m, t], sign[:m, t]
+                z = w[0, :m] * xs[0]
+                z += w[1, :m] * xs[1]
+                z += w[2, :m] * xs[2]
+                z += w[3, :m]
+                z *= st
                 np.clip(z, -20, 20, out=z)
-                p = 1 / (1 + np.exp(-z))
-                yt = y[:m, t]
-                out[at[:m] + t0 + t] = -np.log2(1 + np.exp(np.where(yt > 0, -z, z), dtype=np.float64)).sum(1)
-                err = (yt - p) * np.float32(RATE)
+                p = 1 / (1 + np.exp(-z))  # of the bit that came
+                out[at[:m] + t0 + t] = np.log2(p).sum(1)
+                err = (1 - p) * st
+                err *= np.float32(RATE)
                 w[:3, :m] += err * xs
                 w[3, :m] += err
 
@@ -309,7 +323,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
         count = dict(zip(map(bytes, counts["word"]), counts["c"].tolist()))
         got, texts = [], docs_["text"].tolist()
-        for part in _by_size(texts, 8 << 20):
+        for part in _by_size(texts, 3 << 20):
             got += built[0].score(part, count)
         out = pd.DataFrame(got, columns=["n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
         out["id"], out["held_out"] = docs_["id"].astype("Int64").to_numpy(), docs_["held_out"].to_numpy()
