@@ -145,17 +145,17 @@ def _id3v2(data: bytes, s: Stream) -> int:
     return end
 
 
-def _tail(data: bytes, s: Stream) -> int:
-    """Where audio ends: before an ID3v1 tag, then before an APE tag."""
-    end = len(data)
+def _tail(data: bytes) -> tuple[int, dict]:
+    """Where an ID3v1 tag, or an APE tag before it, would begin. It counts only if the frames lead up to it."""
+    end, tags = len(data), {}
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        s.tags["id3v1_title"] = data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
+        tags["id3v1_title"] = data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
         end -= 128
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, flags = struct.unpack_from("<I", data, end - 20)[0], struct.unpack_from("<I", data, end - 12)[0]
         end = max(0, end - size - (32 if flags >> 31 else 0))
-        s.tags["ape"] = str(size)
-    return end
+        tags["ape"] = str(size)
+    return end, tags
 
 
 def _vbr_table(data: bytes, at: int, h: Header, s: Stream) -> bool:
@@ -182,18 +182,23 @@ def parse(data: bytes | None) -> Stream:
     s = Stream()
     if not data:
         return s
-    at, end = _id3v2(data, s), _tail(data, s)
+    at, end = _id3v2(data, s), len(data)
+    tail, tail_tags = _tail(data)
     first, lost = True, False
     while at < end:
         h = header(data[at : at + 4])
         ok = h is not None and at + h.size <= end
         if ok and (first or lost):  # an unproven start needs a successor
-            ok = at + h.size == end or ((n := header(data[at + h.size : at + h.size + 4])) is not None and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate))
+            ok = at + h.size in (end, tail) or ((n := header(data[at + h.size : at + h.size + 4])) is not None and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate))
         if not ok:
+            if at == tail:  # what carried frames up to here is a tag, not a frame's bytes that look like one
+                s.tags |= tail_tags
+                break
             if h is not None and at + h.size > end and not lost and not first:
                 s.truncated = True
-            nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            stop = tail if at < tail else end
+            nxt = data.find(b"\xff", at + 1, stop)
+            nxt = stop if nxt < 0 else nxt
             s.skipped += nxt - at
             s.resyncs += not lost
             lost, at = True, nxt

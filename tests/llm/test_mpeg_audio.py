@@ -19,6 +19,16 @@ def test_round_trip(data):
     assert s.duration == len(s.offsets) * 1152 / 44100
 
 
+def test_payload_that_looks_like_a_tag():
+    for shift in range(3):
+        for body in (b"TAG" * 900, b"APETAGEX" * 400, b"\xff\xfa\x90\xc0" * 500, b"ID3" * 800):
+            data = b"x" * shift + body
+            assert mp.unpack(mp.pack(data)) == data
+    for cut in range(110, 130):
+        data = b"a" * 997 + b"TAG" + b"b" * cut
+        assert mp.unpack(mp.pack(data)) == data
+
+
 def test_resync_damage_tags_and_seek():
     payload = bytes(range(256)) * 20
     media = mp.pack(payload)
