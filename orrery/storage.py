@@ -28,6 +28,6 @@ def release(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends here, and losing an executor loses nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
