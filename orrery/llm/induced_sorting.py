@@ -173,7 +173,7 @@ def by_doubling(text: np.ndarray) -> np.ndarray:
         if k < n:
             second[:-k] = rank[k:]
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate([[1], np.diff(key[order]) != 0]))
         if not n or new[order[-1]] == n:

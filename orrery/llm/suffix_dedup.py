@@ -184,20 +184,22 @@ def _snippet_frame(occ: list, seen: dict) -> pd.DataFrame:
 def least_ids(parts: list[bytes], sizes: np.ndarray, ids: np.ndarray, memory: int = MEMORY, spill: str | None = None) -> np.ndarray:
     """For each window of each snippet in turn, the smallest id whose snippet holds an equal window."""
     ends = np.cumsum([len(p) + 1 for p in parts])
-    text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.uint16) + 1
+    raw = np.frombuffer(b"\0".join(parts) + bytes(LENGTH), np.uint8)
+    text = raw[: ends[-1]].astype(np.uint16) + 1
     text[ends - 1] = 0
     starts = ends - np.array([len(p) + 1 for p in parts])
     owner = np.full(len(text), -1, np.int64)
-    place = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)])
+    sizes = np.asarray(sizes, np.int64)
+    place = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
     owner[place] = np.repeat(np.arange(len(parts)), sizes)
     sa = suffix_array(text, memory, spill)
     sa = sa[owner[sa] >= 0]
-    windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
     new = np.ones(len(sa), bool)
     for a in range(1, len(sa), 200_000):
         x = sa[a - 1 : a + 200_000]
-        w = windows[x]
-        new[a : a + 200_000] = (w[1:] != w[:-1]).any(1)
+        w = np.ascontiguousarray(windows[x]).view(f"V{LENGTH}").ravel()
+        new[a : a + 200_000] = w[1:] != w[:-1]
     head = np.flatnonzero(new)
     least = np.minimum.reduceat(ids[owner[sa]], head)
     out = np.empty(len(text), np.int64)
