@@ -313,7 +313,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n, v, n1 = vocabulary.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long"))).first()
     model = spark.sparkContext.broadcast(([(r.table, r.block, bytes(r.cells)) for r in summed(stats).collect()], n or 0, v, n1 or 0))  # blocks of tables of fixed size
     # a piece is read by one task, so its words come once; a repeat would only be looked up twice
-    known = words.select("piece", "word").join(vocabulary, "word").select("piece", "word", "c")
+    known = stored(words.select("piece", "word").join(vocabulary, "word").select("piece", "word", "c"), "known")
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     built: list[Model] = []
 
