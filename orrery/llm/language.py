@@ -5,8 +5,8 @@ the longest that occurs in that sample (a walk along the automaton until no tran
 language. Phrases are weighted by the bits that name a place in the sample, so samples of unequal size compare, and the
 language with the fewest bits a symbol wins.
 
-The sample is bounded by ``SAMPLE_DOCS`` documents (of at most ``SAMPLE_DOC_BYTES``) and ``SAMPLE_SYMBOLS`` symbols a language,
-drawn by hash; everything else covers whole texts. Automata of all languages advance together over blocks of ``LANE`` symbols of
+The sample is bounded by ``SAMPLE_DOCS`` documents (the first ``SAMPLE_DOC_CHARS`` characters of each, from its first letter where
+those hold none) and ``SAMPLE_SYMBOLS`` symbols a language, drawn by hash whatever their length; everything else covers whole texts. Automata of all languages advance together over blocks of ``LANE`` symbols of
 a batch of texts, so the work is array operations; a block's last phrase is cut off at its end in every language alike.
 
 Symbols: letters without case; anything else is one blank, and blanks do not repeat. Letters outside the sample's alphabet
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 UNDETERMINED = "und"
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_SYMBOLS = 60, 8_000, 24_000
+SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_SYMBOLS = 60, 8_000, 24_000
 ALPHABET = 61  # most frequent letters of all samples; with blank, unknown and padding 64 symbols
 LANE = 512
 BATCH_SYMBOLS = 2_000_000
@@ -35,9 +35,11 @@ PREDICTED = T.StructType.fromJson({"type": "struct", "fields": [{"name": "lang_p
 PAD, BLANK, UNKNOWN, WIDTH = 0, 1, 2, 64
 
 
-def sample(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_DOC_BYTES) -> DataFrame:
-    """At most ``docs`` texts a language, first by hash; the limit is applied before the shuffle as well as after."""
-    rows = labelled.filter(F.col(lang).isNotNull() & (F.octet_length(text) <= most_bytes) & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+def sample(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, most: int = SAMPLE_DOC_CHARS) -> DataFrame:
+    """The starts of at most ``docs`` texts a language, first by hash; the limit is applied before the shuffle as well as after."""
+    start = F.substring(text, 1, most)
+    start = F.when(start.rlike(r"\p{L}"), start).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}++", ""), 1, most))
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), start.alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= docs).select("lang", "text", "n")
 
 

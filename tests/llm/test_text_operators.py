@@ -62,3 +62,13 @@ def test_language_held_out_and_odd_rows(spark):
     assert lang.keep_identified(docs, docs).columns == docs.columns and lang.keep_identified(docs, docs).count() == 5
     none = lang.predictor(docs.limit(0))
     assert {x.p.lang_pred for x in docs.select(none("text").alias("p")).collect()} == {"und"}
+
+
+def test_languages_of_long_texts_are_learnt(spark):
+    en, fr = "the cat and the dog ran over there ", "le chat et le chien sont sur la table "
+    rows = [(1, en * 400, "en"), (2, "12 " * 4000 + fr * 400, "fr"), (3, fr, None), (4, en, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = lang.predictor(docs)
+    assert {r.doc_id: r.p.lang_pred for r in docs.select("doc_id", p("text").alias("p")).collect()} == {1: "en", 2: "fr", 3: "fr", 4: "en"}
+    assert lang.keep_identified(docs, docs).count() == 4
+    assert max(len(r.text) for r in lang.sample(docs).collect()) <= lang.SAMPLE_DOC_CHARS
