@@ -125,7 +125,7 @@ def gather(docs: DataFrame) -> DataFrame:
     """``piece, text, learn`` to rows of counts: table blocks (table >= 0) and word counts of each piece (table -1, n of training)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros(n, np.uint32) for n in SIZES]
+        sums = [np.zeros(n, np.uint32) for n in SIZES[:3]]
         words: dict[int, Counter] = {}
         other: dict[int, set] = {}
         code = Codes()
@@ -161,22 +161,35 @@ def gather(docs: DataFrame) -> DataFrame:
                 add(flat, firsts)
         for piece in words.keys() | other.keys():
             n = words.get(piece, Counter())
-            for s, x in zip(sums[3:], spelling_counts([w for w in n if w])):
-                s += x
             every = list(n.keys() | other.get(piece, set()))
             for a in range(0, len(every), 50_000):
                 part = every[a : a + 50_000]
                 yield pd.DataFrame({"table": np.int32(-1), "block": np.int32(0), "piece": piece, "word": part, "n": [n[w] for w in part], "cells": None})
-        rows = []
-        for t, s in enumerate(sums):
-            for k in range(0, len(s), CELLS):
-                if s[k : k + CELLS].any():
-                    rows.append((t, k // CELLS, 0, None, 0, zlib.compress(s[k : k + CELLS].tobytes(), 1)))
+        rows = [(t, k, 0, None, 0, c) for t, k, c in blocks(sums)]
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in STATS.split(", ")])
 
     return docs.mapInPandas(run, STATS)
 
 
+def blocks(sums: list[np.ndarray], first: int = 0) -> list[tuple]:
+    """(table, block, cells) of tables from number ``first`` on, without empty blocks."""
+    return [(t, k // CELLS, zlib.compress(s[k : k + CELLS].tobytes(), 1)) for t, s in enumerate(sums, first) for k in range(0, len(s), CELLS) if s[k : k + CELLS].any()]
+
+
+def gather_spelling(vocabulary: DataFrame) -> DataFrame:
+    """Blocks of the spelling tables, each word of the vocabulary counted once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros(n, np.uint32) for n in SIZES[3:]]
+        for b in batches:
+            words = [bytes(w) for w in b["word"] if w]
+            for s, x in zip(sums, spelling_counts(words) if words else []):
+                s += x
+        yield pd.DataFrame(blocks(sums, 3), columns=["table", "block", "cells"])
+
+    return vocabulary.select("word").mapInPandas(run, "table int, block int, cells binary")
+
+
 def summed(stats: DataFrame) -> DataFrame:
     """Blocks added up; a task holds the blocks dealt to it, whose number is fixed."""
 
@@ -188,7 +201,7 @@ def summed(stats: DataFrame) -> DataFrame:
                 held[t, k] = held[t, k] + x if (t, k) in held else x.astype(np.uint64)
         yield pd.DataFrame([(t, k, zlib.compress(v.tobytes(), 1)) for (t, k), v in held.items()], columns=["table", "block", "cells"])
 
-    return stats.filter("table >= 0").select("table", "block", "cells").repartition("table", "block").mapInPandas(run, "table int, block int, cells binary")
+    return stats.repartition("table", "block").mapInPandas(run, "table int, block int, cells binary")
 
 
 class Model:
@@ -311,7 +324,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     words = stats.filter("table = -1").select("piece", "word", "n")
     vocabulary = stored(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "vocabulary")
     n, v, n1 = vocabulary.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long"))).first()
-    model = spark.sparkContext.broadcast(([(r.table, r.block, bytes(r.cells)) for r in summed(stats).collect()], n or 0, v, n1 or 0))  # blocks of tables of fixed size
+    tables = stats.filter("table >= 0").select("table", "block", "cells").unionByName(gather_spelling(vocabulary))
+    model = spark.sparkContext.broadcast(([(r.table, r.block, bytes(r.cells)) for r in summed(tables).collect()], n or 0, v, n1 or 0))  # blocks of tables of fixed size
     # a piece is read by one task, so its words come once; a repeat would only be looked up twice
     known = stored(words.select("piece", "word").join(vocabulary, "word").select("piece", "word", "c"), "known")
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"

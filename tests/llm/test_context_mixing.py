@@ -89,3 +89,11 @@ def test_odd_rows(spark, tmp_path):
     got = cm.score_documents(df).collect()
     assert len(got) == 5 and sorted(r.n_tokens for r in got) == [1, 1, 1, 4, 60001] and all(np.isfinite(r.score) for r in got)
     assert cm.score_documents(df.limit(0)).count() == 0
+
+
+def test_scores_do_not_depend_on_layout(spark):
+    rows = [(i, f"alpha beta gamma delta w{i % 7} word{i}") for i in range(60)]
+    rows += [(1000 + i, f"zeta unheard{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in cm.score_documents(d).collect()} for d in (df.coalesce(1), df.repartition(12)))
+    assert max(abs(one[d] - many[d]) for d in one) < 1e-6
