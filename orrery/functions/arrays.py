@@ -28,9 +28,15 @@ def sq_dist(x: Column, y: Column) -> Column:
 def z_score(x: Column, floor: float = 1e-10) -> Column:
     """Per-array z-score with population deviation; a deviation below ``floor`` counts as 1. Single precision, as the
     cepstrum's zero-frequency bin is defined by that rounding."""
-    m = mean(x)
-    s = F.sqrt(F.aggregate(F.transform(x, lambda v: v - m), F.lit(0.0), lambda a, v: a + v * v) / F.size(x))
-    return F.transform(x, lambda v: ((v - m) / F.when(s < floor, F.lit(1.0)).otherwise(s)).cast("float"))
+    # The moments are fields of a one-element array's struct, so that they are evaluated once a window, not once an element.
+    one = F.transform(F.array(x), lambda w: F.struct(w.alias("w"), mean(w).alias("m")))
+    two = F.transform(one, lambda t: F.struct(t["w"].alias("w"), t["m"].alias("m"), F.sqrt(_squares(t["w"], t["m"]) / F.greatest(F.size(t["w"]), F.lit(1))).alias("s")))
+    unit = F.transform(two, lambda t: F.struct(t["w"].alias("w"), t["m"].alias("m"), F.when(t["s"] < floor, F.lit(1.0)).otherwise(t["s"]).alias("s")))
+    return F.transform(unit, lambda t: F.transform(t["w"], lambda v: ((v - t["m"]) / t["s"]).cast("float")))[0]
+
+
+def _squares(x: Column, m: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
 
 
 def lifter(x: Column, n: int | None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.functions.arrays import sq_norm, z_score
-from orrery.functions.cepstrum import cepstrum, window_features
+from orrery.functions.cepstrum import window_features, z_cepstrum
 from orrery.functions.kernels import Kernel, polynomial
 from orrery.functions.numbers import mapped, near
 from orrery.operators import distribution, evaluation as ev, plots, scoring, svdd, windows as win
@@ -48,7 +48,7 @@ def znorm(s: SparkSession, d: str) -> DataFrame:
 
 
 def cepstrum_query(s: SparkSession, d: str) -> DataFrame:
-    c = _windows(s, d).select("signal_id", "win_idx", F.posexplode(cepstrum(z_score(F.col("x")))).alias("q", "c"))
+    c = _windows(s, d).select("signal_id", "win_idx", F.posexplode(z_cepstrum(F.col("x"))).alias("q", "c"))
     return c.select("signal_id", "win_idx", "q", F.round(F.col("c").cast("double"), 4).alias("c"))
 
 
