@@ -5,12 +5,13 @@ of one length form a searcher: a shift table over blocks of two words says how f
 the patterns that end in that block, a prefix of two words selects among them, and a direct comparison confirms. Words that no
 pattern holds share symbol 0 and allow the longest jump.
 
-Patterns are taken in blocks of items of at most ``BLOCK_BYTES`` of text (sizes are summed before anything is collected), so what
-a worker holds is bounded; more benchmark text means more passes, and nothing is left out.
+Patterns are taken in blocks of items of about ``BLOCK_BYTES`` of text (sizes are summed before anything is collected, larger items
+are cut into overlapping parts), one pass over the documents after another, so what a worker holds is bounded; more benchmark text
+means more passes, and nothing is left out.
 
 Results in the odd cases: null or wordless text has no words and no hits; null, wordless or repeated items add no pattern or
 the same ones; a null item_id is named by the empty string; an empty benchmark marks nothing; repeated rows are each judged;
-other columns pass through. Texts are searched whole, whatever their length.
+other columns pass through, whatever their names. Texts are searched whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from orrery.llm.columns import free_names
+from orrery.storage import discard, stored
 
 WINDOW = 10
 BLOCK_BYTES = 4_000_000
@@ -101,50 +105,88 @@ def merged(spans: list) -> list:
     return runs
 
 
-def _finder(items: list[tuple[str, str | None]], spark, window: int):
-    kept = spark.sparkContext.broadcast(items)
+def _pieces(block_bytes: int, window: int):
+    """Items of over ``block_bytes`` cut into parts that share ``window`` - 1 words, so that no window is lost and no part is larger than a pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list = []
+            for name, t in zip(b["name"], b["t"]):
+                if not isinstance(t, str) or len(t) * 4 <= block_bytes:
+                    out.append((name, t))
+                    continue
+                w, part, size = [x.decode("utf-8", "surrogatepass") for x in words(t)], [], 0
+                for x in w:
+                    part.append(x)
+                    size += 4 * len(x) + 1
+                    if size > block_bytes // 2 and len(part) >= window:
+                        out.append((name, " ".join(part)))
+                        part = part[len(part) - window + 1 :]
+                        size = sum(4 * len(y) + 1 for y in part)
+                if len(part) >= window or len(w) < window:
+                    out.append((name, " ".join(part)))
+            yield pd.DataFrame(out, columns=["name", "t"])
+
+    return run
+
+
+def _finder(kept, window: int):
+    """A pass: hits of one block of items joined with those found before. One matcher is built in a task."""
     built: list = []
 
     @F.pandas_udf(FOUND)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         if not built:
             built.append(Matcher(kept.value, window))
-        for texts in batches:
-            yield pd.DataFrame([built[0].find(t) for t in texts], columns=FOUND.names)
+        for texts, before in batches:
+            out = []
+            for t, old in zip(texts, before):
+                got = built[0].find(t)
+                if old is not None and len(old):
+                    runs = merged([(o["s"], o["e"]) for o in old if o["item"] is None] + list(zip(got[2], got[3])))
+                    got = (got[0], sum(e - s for s, e in runs), [s for s, _ in runs], [e for _, e in runs], sorted({o["item"] for o in old if o["item"] is not None} | set(got[4])))
+                out.append(got)
+            yield pd.DataFrame(out, columns=FOUND.names)
 
     return find
 
 
-@F.pandas_udf(FOUND)
-def _joined(n: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
-    out = []
-    for k, s, e, i in zip(n, starts, ends, items):
-        runs = merged(list(zip(s, e)))
-        out.append((k, sum(b - a for a, b in runs), [a for a, _ in runs], [b for _, b in runs], sorted(set(i))))
-    return pd.DataFrame(out, columns=FOUND.names)
+_BEFORE = "array<struct<s:long,e:long,item:string>>"
 
 
 def with_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "found") -> DataFrame:
-    """Every row with ``found``: n_words, n_hit, merged hit spans (word positions) and the items found."""
-    b = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("t"), F.octet_length(F.coalesce(F.col(item_text), F.lit(""))).cast("long").alias("n"))
-    # Blocks by hash of the item, so no ordered pass over the benchmark is needed; twice as many as the mean asks for.
-    total = b.agg(F.sum("n")).first()[0] or 0
-    blocks = 1 if total <= block_bytes else 2 * -(-total // block_bytes)
+    """Every row with ``out``: n_words, n_hit, merged hit spans (word positions) and the items found. A column of that name is an error."""
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {out}; name another")
     spark = docs.sparkSession
-    found: list[Column] = []
+    b = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("t"))
+    size = F.octet_length(F.coalesce(F.col("t"), F.lit(""))).cast("long")
+    total = b.agg(F.sum(size)).first()[0] or 0
+    blocks = 1
+    if total > block_bytes:  # blocks by hash of the item; twice as many as the mean asks for, so that a block's size is bounded
+        blocks = 2 * -(-total // block_bytes)
+        b = stored(b.mapInPandas(_pieces(block_bytes, window), "name string, t string").withColumn("k", F.pmod(F.xxhash64("name", "t"), F.lit(blocks))), "benchmark")
+    marked, before = docs, F.lit(None).cast(_BEFORE)
     for k in range(blocks):
-        part = b.filter(F.pmod(F.xxhash64("name", "t"), F.lit(blocks)) == k) if blocks > 1 else b
-        items = [(r.name_, r.t) for r in part.select(F.col("name").alias("name_"), "t").toLocalIterator()]
-        found.append(_finder(items, spark, window)(F.col(text)))
-    if len(found) == 1:
-        return docs.withColumn(out, found[0])
-    cols = [f"__found{k}" for k in range(blocks)]
-    wide = docs.select("*", *[f.alias(c) for f, c in zip(found, cols, strict=True)])
-    flat = lambda f: F.flatten(F.array(*[F.col(f"{c}.{f}") for c in cols]))
-    return wide.withColumn(out, _joined(F.col(f"{cols[0]}.n_words"), flat("starts"), flat("ends"), flat("items"))).drop(*cols)
+        part = b.filter(F.col("k") == k) if blocks > 1 else b
+        kept = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.select("name", "t").toLocalIterator()])
+        new = marked.withColumn(out, _finder(kept, window)(F.col(text), before))
+        if blocks == 1:
+            return new
+        # Passes run one after another: each stores its rows, then lets its items go.
+        done = stored(new, "hits")
+        kept.unpersist()
+        if k:
+            discard(marked)
+        marked = done
+        spans = F.transform(F.arrays_zip(F.col(f"{out}.starts").alias("s"), F.col(f"{out}.ends").alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("string").alias("item")))
+        named = F.transform(F.col(f"{out}.items"), lambda x: F.struct(F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), x.alias("item")))
+        before = F.concat(spans, named)
+    return marked
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The rows without a hit, with their own columns."""
-    marked = with_hits(docs, bench, out="__found", **options)
-    return marked.filter(F.col("__found.n_hit") == 0).drop("__found")
+    (out,) = free_names(docs, "found")
+    marked = with_hits(docs, bench, out=out, **options)
+    return marked.filter(F.col(f"{out}.n_hit") == 0).drop(out)

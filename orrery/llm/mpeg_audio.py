@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -52,6 +53,12 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+@lru_cache(1 << 16)
+def _frame_crc(covered: bytes) -> int:
+    """Checksum of a header's and side information's bytes, which recur from frame to frame."""
+    return crc16(covered)
+
+
 def crc16(data: bytes, c: int = 0xFFFF) -> int:
     for b in data:
         c = (c << 8 & 0xFF00) ^ _CRC[c >> 8 ^ b]
@@ -170,7 +177,7 @@ def _vbr_table(data: bytes, at: int, h: Header, s: Stream) -> bool:
         if flags & 4:
             s.toc = data[p : p + 100]
         return True
-    if data[(v := at + 36) : v + 4] == b"VBRI":
+    if data[(v := at + 36) : v + 4] == b"VBRI" and v + 26 <= len(data):
         s.vbr = "VBRI"
         s.vbr_bytes, s.vbr_frames, n, _, width = struct.unpack_from(">IIHHH", data, v + 10)
         s.toc = data[v + 26 : v + 26 + n * width]
@@ -211,7 +218,7 @@ def parse(data: bytes | None) -> Stream:
                 continue
         if h.protected and h.layer == 3:
             s.crc_checked += 1
-            s.crc_failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            s.crc_failed += _frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
         s.offsets.append(at)
         s.sizes.append(h.size)
         s.kbps[h.kbps] = s.kbps.get(h.kbps, 0) + 1

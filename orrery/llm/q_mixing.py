@@ -23,10 +23,12 @@ src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 wgt AS (SELECT *, (((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1)::DOUBLE AS w, ({mixing.REPEATS} * source_size)::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM src),
 lev AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l0 FROM wgt),
 goal AS (SELECT source, source_size, least(coalesce(max(CASE WHEN l0 * w <= cap THEN l0 END) OVER () * w, cap), cap) AS target FROM lev),
-q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hk, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+q AS (SELECT d.*, source_size, target, row_number() OVER () AS rid, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hk, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source),
-mixed AS (SELECT *, CASE WHEN size = 0 OR target <= 0 THEN 0 ELSE
-  ((2 * before + size)::DOUBLE / (2 * target) <= 1.0)::INTEGER + ((2 * source_size + 2 * before + size)::DOUBLE / (2 * target) <= 1.0)::INTEGER + ((4 * source_size + 2 * before + size)::DOUBLE / (2 * target) <= 1.0)::INTEGER END AS copies FROM q)"""
+copies AS (SELECT rid, size, (p * source_size + before + size)::DOUBLE / target AS finish, source FROM q, range({mixing.REPEATS}) r(p) WHERE size > 0 AND target > 0),
+queue AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM copies),
+n AS (SELECT rid, count(*) AS copies FROM queue WHERE total <= (SELECT sum(size) FROM d) GROUP BY rid),
+mixed AS (SELECT q.*, coalesce(copies, 0) AS copies FROM q LEFT JOIN n USING (rid))"""
 
 
 SQL = f"WITH {mix_sql('documents')} SELECT doc_id, size::BIGINT AS size, source_size, round(target, 4) AS target, (copies * size)::BIGINT AS taken FROM mixed"

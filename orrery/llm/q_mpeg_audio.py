@@ -13,7 +13,7 @@ from orrery.sources.tables import table
 from orrery.storage import shared_dir
 
 NAME = "op4_mpeg_audio"
-_READ = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
+_READ = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("duration", T.DoubleType()), ("seek_offsets", T.ArrayType(T.LongType())))])
 
 
 def describe(media: bytes) -> tuple:
@@ -21,7 +21,7 @@ def describe(media: bytes) -> tuple:
     data = mp.unpack(media, s)
     seeks = zlib.crc32(b"".join(o.to_bytes(8, "little") for o in s.offsets))
     feature = f"mpeg{s.version} layer{s.layer} {s.rate}Hz {s.vbr} frames={len(s.offsets)} table={s.vbr_frames} duration={s.duration:.6f} crc={s.crc_checked - s.crc_failed}/{s.crc_checked} last={s.offsets[-1]} seeks={seeks:08x}"
-    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.duration, s.offsets
 
 
 @F.pandas_udf(_READ)

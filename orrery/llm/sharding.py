@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orrery.llm.columns import free_names
+
 SLOTS = 8191
 SHARDS = 64
 MOST_SLOTS = 1 << 17
@@ -87,8 +89,8 @@ def place(docs: DataFrame, table: DataFrame, key: str = "doc_id", slots: int = S
 
 
 def write_shards(docs: DataFrame, table: DataFrame, path: str, key: str = "doc_id", slots: int = SLOTS) -> None:
-    """Whole rows, a directory per shard (``shard=``)."""
+    """Whole rows, a directory per shard: ``shard_dir=``, with underscores added where the rows have such a column."""
+    at, shard = free_names(docs, "slot_of_row", "shard_dir")
     slot = hash_mod(F.coalesce(F.col(key).cast("string"), F.lit("")), slots)
-    names = table.withColumnsRenamed({"slot": "__slot", "shard": "__shard"})
-    placed = docs.withColumn("__slot", slot).join(F.broadcast(names), "__slot").drop("__slot")
-    placed.withColumnRenamed("__shard", "shard_dir").write.partitionBy("shard_dir").parquet(path)
+    names = table.select(F.col("slot").alias(at), F.col("shard").alias(shard))
+    docs.withColumn(at, slot).join(F.broadcast(names), at).drop(at).write.partitionBy(shard).parquet(path)

@@ -48,6 +48,8 @@ MANIFEST = "shard int, path string, docs long, ids long, bytes long, first_key b
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 CACHE = 600_000
+_PROBES = ("a b", " a", "a ", "a  b", "a\nb c", "New  York, \tand 3 more...\r\n", "é x\x0bß!", "1 2\n\n3", "don't  won't")
+TRUSTED = 24  # whole texts compared in a task
 
 
 class WordEncoder:
@@ -55,7 +57,8 @@ class WordEncoder:
 
     Texts are cut at white space and every distinct piece is encoded once while it is in the cache (emptied when full). For the
     common piece, letters and then signs, the two pre-tokens are encoded by the library's model; any other piece goes
-    through the library whole. ``check`` compares with the library's encoding of the whole text.
+    through the library whole. Whether a tokenizer allows this is tested on ``_PROBES`` when it is loaded and, by ``trust``, on whole texts of
+    every task before anything is encoded; if either fails, whole texts go through the library. ``check`` compares one text.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -67,7 +70,15 @@ class WordEncoder:
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.plain = self._splits_words()
+        self.plain = self.cut = True
+        if not all(map(self.check, _PROBES)):
+            self.cut = False
+        self.plain = self.cut and self._splits_words()
+
+    def trust(self, texts: list) -> None:
+        """Fall back to whole texts if any of these is encoded otherwise in pieces."""
+        if self.cut and not all(self.check(t) for t in texts if t):
+            self.cut = False
 
     def _splits_words(self) -> bool:
         """Whether letters and signs are separate pre-tokens and case is dropped, as ``_PLAIN`` takes for granted."""
@@ -101,6 +112,8 @@ class WordEncoder:
         """Little-endian ids of the text and the end id."""
         if not text:
             return self.end
+        if not self.cut:
+            return self._whole(text) + self.end
         pieces = self.pieces
         out = [pieces.get(p) or self._piece(p) for p in _SPACE.split(text) if p]
         out.append(self.end)
@@ -280,6 +293,8 @@ def write_tables(docs: DataFrame, tokenizer: str, path: str | None = None, key:
         prev, rank = object(), 0
         for b in batches:
             ids, texts = b["id"].astype("Int64"), b["text"]
+            if w is None and len(b):
+                enc.trust(texts.iloc[:: max(1, len(b) // TRUSTED)].tolist())
             for i, missing, t in zip(ids.fillna(0).tolist(), ids.isna().tolist(), texts.tolist()):
                 i = None if missing else i
                 rank = rank + 1 if i == prev else 0
@@ -300,6 +315,7 @@ def write_tables(docs: DataFrame, tokenizer: str, path: str | None = None, key:
 
 def read_tables(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document, from the files: key, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
+    n = max(1, manifest.count())  # a task a file
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     files = manifest.select("shard", "path", "docs", F.coalesce(before, F.lit(0)).alias("start"))
 
@@ -317,7 +333,7 @@ def read_tables(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield _frame(out, key)
 
     schema = f"{key} long, start long, n_tokens long, ids_crc32 long, shard int"
-    return files.repartition(F.col("shard")).mapInPandas(read, schema)
+    return files.repartition(n, F.col("shard")).mapInPandas(read, schema)
 
 
 def _frame(rows: list, key: str) -> pd.DataFrame:

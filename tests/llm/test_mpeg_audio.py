@@ -19,6 +19,14 @@ def test_round_trip(data):
     assert s.duration == len(s.offsets) * 1152 / 44100
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=700), st.integers(0, 60), st.sampled_from([b"", b"ID3\x04\0\0\0\0\x02\x01", b"\xff\xf3\x10\xc0", b"\xff\xfb\x90\xc0", b"VBRI", b"Xing\0\0\0\x07"]), st.binary(max_size=40))
+def test_any_bytes_parse(data, at, head, tail):
+    s = mp.parse(data[:at] + head + data[at:] + tail)
+    assert s.duration >= 0 and len(s.offsets) == len(s.sizes)
+    mp.parse(head + bytes(32) + b"VBRI" + tail)
+
+
 def test_payload_that_looks_like_a_tag():
     for shift in range(3):
         for body in (b"TAG" * 900, b"APETAGEX" * 400, b"\xff\xfa\x90\xc0" * 500, b"ID3" * 800):
@@ -60,12 +68,28 @@ def test_header_sizes():
     assert mp.header(b"\xff\xfb\x00\x00") is None and mp.header(b"\xff\xfb\xf0\x00") is None and mp.header(b"\xff") is None
 
 
+def plain_frames(media):
+    """Offsets of all frames by arithmetic on the headers alone: bitrate index to bytes at 44.1 kHz, past the ID3v2 tag."""
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    at = 10 + (media[6] << 21 | media[7] << 14 | media[8] << 7 | media[9])
+    out = []
+    while at < len(media):
+        assert media[at] == 0xFF and media[at + 1] == 0xFA
+        out.append(at)
+        at += 144 * kbps[media[at + 2] >> 4] * 1000 // 44100 + (media[at + 2] >> 1 & 1)
+    return out
+
+
 def test_query_equals_digests_of_texts(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.doc_id: r for r in query(spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
         p, r = mp.padded(d.text), got[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((d.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        media = mp.pack(p)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.seek_offsets == plain_frames(media)[1:] and abs(r.duration - len(r.seek_offsets) * 1152 / 44100) < 1e-12
+        assert f"frames={len(r.seek_offsets)} " in r.feature
 
 
 def test_odd_rows(spark):
