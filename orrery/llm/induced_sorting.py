@@ -1,217 +1,476 @@
-"""Suffix sorting by induction through disk-backed queues.
+"""External induced suffix sorting that carries common-prefix values.
 
-Suffixes are of type L (greater than the next suffix) or S. Sorting the leftmost S suffixes induces all others: one ascending sweep
-over symbols places L suffixes, one descending sweep S suffixes. In a sweep, suffixes wait in a queue per symbol; they
-are pushed in the order of the suffix that follows them, so each queue is sorted as it grows, and a sweep pops the queues
-in symbol order, whole arrays at a time. Leftmost S suffixes are themselves sorted by induction on their substrings, named, and, where
-names repeat, by recursion on the string of names.
+A suffix is of type L (greater than the next suffix) or S. From the sorted leftmost S suffixes of all runs of S, one ascending sweep over
+symbols places the L suffixes and one descending sweep the S suffixes: a suffix that is placed sends the one before it, if that is of the
+wanted type, to a queue at its first symbol. What travels is a tuple of position and prefix value, the length (in bytes, up to
+``depth``) of what the suffix has in common with the one sent to the same symbol before it. It is found without looking at text:
+the symbol's own length and the least value that the sweep has passed since then. So the sweeps deliver suffixes in order
+together with the common prefixes of neighbours.
 
-Queues hold at most ``memory`` bytes; beyond it the largest one's arrays go to files in a shared folder (any URI that pyarrow
-opens), which are read back when popped and deleted at the end.
+Leftmost S suffixes are sorted by the same two sweeps, begun from their first run of symbols and what follows it. Their substrings (up to
+the next such suffix, with its run and one more symbol) are free of prefixes of one another, so prefix values between different
+substrings are final, and substrings are named where the value says that they differ. Where names repeat, the string of names is
+sorted in the same way, whatever the size of its alphabet; each symbol of it brings its length in bytes and its prefix value with
+the name before it. Names that agree over ``depth`` bytes are one, so recursion ends after few levels.
+
+Queues are bands of neighbouring symbols, popped in order. Beyond ``memory`` bytes the largest bands' tuples go to files in
+a shared folder (any URI that pyarrow opens), are read back when popped, and are deleted then. In memory stay the text (a byte a suffix),
+of deeper levels the names, and the order of leftmost S suffixes.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyarrow import fs
 
-MEMORY = 192 << 20
-SMALL_ALPHABET = 1 << 10  # a larger one (names of long recursions) is sorted by doubling where it fits in memory
+MEMORY = 4 << 20
+EQUAL = 255  # prefix value of strings known to be equal to their ends
+CHUNK = 1 << 16  # suffixes that a sweep places at once
+PLAIN = 512  # alphabets up to this size have a band for every symbol
+_LOG = np.zeros(CHUNK + 2, np.uint8)
+for _i in range(2, len(_LOG)):
+    _LOG[_i] = _LOG[_i >> 1] + 1
+
+
+class Ranges:
+    """Least values of any ranges of an array of bytes."""
+
+    def __init__(self, values: np.ndarray, longest: int | None = None):
+        rows, w = [values], 1
+        while 2 * w <= (longest or len(values)):
+            rows.append(np.minimum(rows[-1][: len(values) - 2 * w + 1], rows[-1][w : len(values) - w + 1]))
+            w *= 2
+        self.flat = np.concatenate(rows)
+        self.at = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
+
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Over a..b, both included, for a <= b."""
+        size = b - a + 1
+        level = _LOG[size] if len(size) and size.max() < len(_LOG) else np.frexp(size.astype(np.float64))[1] - 1
+        level = level.astype(np.int64)
+        return np.minimum(self.flat[self.at[level] + a], self.flat[self.at[level] + b + 1 - (1 << level)])
 
 
-class Queues:
-    """An append-only queue of positions per symbol."""
+class Bands:
+    """Suffix tuples (symbol, position, prefix value) in bands of neighbouring symbols, in the order pushed; the part beyond ``memory`` is on disk."""
 
-    def __init__(self, memory: int = MEMORY, spill: str | None = None):
-        self.memory, self.spill, self.used = memory, spill, 0
-        self.held: dict[int, list[np.ndarray]] = {}
+    def __init__(self, of: np.ndarray, kind: np.dtype, memory: int, spill: str | None):
+        self.of, self.kind, self.memory, self.spill = of, kind, memory, spill
+        self.held: dict[int, list] = {}
         self.files: dict[int, list[tuple[str, int]]] = {}
         self.size: dict[int, int] = {}
+        self.new: list[tuple] = []
+        self.n_new = self.used = self.spilled = 0
         self.store = None
-        self.spilled = 0
 
-    def push(self, symbol: int, positions: np.ndarray) -> None:
-        self.held.setdefault(symbol, []).append(positions)
-        self.size[symbol] = self.size.get(symbol, 0) + positions.nbytes
-        self.used += positions.nbytes
+    def push(self, symbol: np.ndarray, pos: np.ndarray, value: np.ndarray) -> None:
+        if len(symbol):
+            self.new.append((self.of[symbol], symbol.astype(self.kind, copy=False), pos.astype(np.int32, copy=False), value))
+            self.n_new += len(symbol)
+            if self.n_new >= CHUNK:
+                self._deal()
+
+    def _joined(self) -> tuple:
+        rows = tuple(np.concatenate(c) for c in zip(*self.new)) if len(self.new) > 1 else self.new[0]
+        self.new, self.n_new = [], 0
+        return rows
+
+    def _deal(self) -> None:
+        if not self.n_new:
+            return
+        band, *rows = self._joined()
+        order = np.argsort(band, kind="stable")
+        band, rows = band[order], [r[order] for r in rows]
+        cut = np.flatnonzero(band[1:] != band[:-1]) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(band)]):
+            k = int(band[a])
+            self.held.setdefault(k, []).append([r[a:b] for r in rows])
+            size = (b - a) * (5 + self.kind.itemsize)
+            self.size[k] = self.size.get(k, 0) + size
+            self.used += size
         while self.used > self.memory and self.spill and self.size:
             self._write(max(self.size, key=self.size.get))
 
-    def _write(self, symbol: int) -> None:
+    def _write(self, band: int) -> None:
         if self.store is None:
-            self.store, self.root = fs.FileSystem.from_uri(self.spill)
-            self.root = f"{self.root}/{uuid.uuid4().hex}"
+            self.store, root = fs.FileSystem.from_uri(self.spill)
+            self.root = f"{root}/{uuid.uuid4().hex}"
             self.store.create_dir(self.root, recursive=True)
-        data = np.concatenate(self.held.pop(symbol))
+        rows = [np.concatenate(c) for c in zip(*self.held.pop(band))]
         name = f"{self.root}/{self.spilled}.q"
         self.spilled += 1
         with self.store.open_output_stream(name) as out:
-            out.write(data.tobytes())
-        self.files.setdefault(symbol, []).append((name, data.dtype.str))
-        self.used -= self.size.pop(symbol)
-
-    def pop(self, symbol: int) -> list[np.ndarray]:
-        """All arrays of a symbol in the order pushed; the queue is empty afterwards."""
-        out = []
-        for name, kind in self.files.pop(symbol, []):
-            with self.store.open_input_file(name) as f:
-                out.append(np.frombuffer(f.read(), kind))
-            self.store.delete_file(name)
-        self.used -= self.size.pop(symbol, 0)
-        return out + self.held.pop(symbol, [])
+            for r in rows:
+                out.write(r.tobytes())
+        self.files.setdefault(band, []).append((name, len(rows[0])))
+        self.used -= self.size.pop(band)
+
+    def _read(self, name: str, n: int) -> list:
+        with self.store.open_input_file(name) as f:
+            data = f.read()
+        self.store.delete_file(name)
+        k = self.kind.itemsize
+        return [np.frombuffer(data, self.kind, n), np.frombuffer(data, np.int32, n, k * n), np.frombuffer(data, np.uint8, n, (k + 4) * n)]
+
+    def take(self, band: int, last_first: bool = False) -> Iterator[list]:
+        """The band's tuples in pieces, in order (or pieces from the last to the first); it is empty afterwards."""
+        rest: list = []
+        if self.n_new:
+            of, *rows = self._joined()
+            mine = of == band
+            if mine.any():
+                rest = [[r[mine] for r in rows]]
+                keep = ~mine
+                of, rows = of[keep], [r[keep] for r in rows]
+            if len(of):
+                self.new, self.n_new = [(of, *rows)], len(of)
+        files, held = self.files.pop(band, []), self.held.pop(band, [])
+        self.used -= self.size.pop(band, 0)
+        if last_first:
+            yield from (rest + held[::-1])
+            yield from (self._read(*f) for f in files[::-1])
+        else:
+            yield from (self._read(*f) for f in files)
+            yield from held + rest
 
     def close(self) -> None:
         if self.store is not None:
             self.store.delete_dir(self.root)
 
 
-def suffix_types(text: np.ndarray) -> np.ndarray:
-    """True for S. The last suffix is L (an end smaller than any symbol follows)."""
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, bool)
-    less = np.zeros(n, np.int8)
-    less[:-1] = np.where(text[:-1] < text[1:], 1, np.where(text[:-1] > text[1:], -1, 0))
-    less[-1] = -1
-    # equal neighbours take the type of the next position that differs
-    idx = np.where(less != 0, np.arange(n), n)
-    nxt = np.minimum.accumulate(idx[::-1])[::-1]
-    return less[nxt] > 0
+class Level:
+    """One string of the recursion: symbols, their lengths in bytes, and each one's prefix value with the symbol before it."""
 
+    def __init__(self, x: np.ndarray, size: int, length: np.ndarray, step: np.ndarray, depth: int, memory: int, spill: str | None):
+        self.x, self.k, self.length, self.step = x, size, length.astype(np.int64), step
+        self.depth, self.memory, self.spill = depth, memory, spill
+        self.plain = size <= PLAIN
+        count = np.bincount(x, minlength=size)
+        if self.plain:
+            band = np.arange(size)
+        else:
+            band = (np.cumsum(count) - count) // max(1024, int(len(x) ** 0.5))
+            band = np.unique(band, return_inverse=True)[1]
+        self.bands = int(band[-1]) + 1
+        self.band = band.astype(np.uint16 if self.bands < 1 << 16 else np.int32)
+        self.ranges = Ranges(step) if step.any() else None
+        self.spilled = 0
+        self._runs()
 
-def _deal(queue: Queues, p: np.ndarray, c: np.ndarray) -> None:
-    """Append positions to the queues of their symbols, keeping order."""
-    if len(p):
-        order = np.argsort(c, kind="stable")
-        c, p = c[order], p[order]
-        cut = (np.flatnonzero(np.diff(c)) + 1).tolist()
-        for a, b in zip([0, *cut], [*cut, len(p)]):
-            queue.push(int(c[a]), p[a:b])
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Prefix value of suffixes that begin with different symbols a < b; a = -1 is the end of the string."""
+        if self.ranges is None:
+            return np.zeros(len(a), np.int64)
+        out = self.ranges.least(np.minimum(a + 1, b), b).astype(np.int64)
+        return np.where(a < 0, 0, out)
 
+    def _runs(self) -> None:
+        x, n = self.x, len(self.x)
+        start = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+        run = np.diff(np.append(start, n))
+        c = x[start].astype(np.int64)
+        after = np.append(c[1:], -1)
+        low = after < c
+        star = ~low & (np.append(-1, c[:-1]) > c)
+        self.stars, self._star = start[star], (c[star], run[star], after[star])
+        k = self.k + 2
 
-def _sweep(text: np.ndarray, stype: np.ndarray, symbols: np.ndarray, seeds: Queues, want_s: bool, memory: int, spill: str | None, keep: Queues | None = None) -> Queues:
-    """Place L suffixes (ascending) or S suffixes (descending); returns them by symbol in the order of the sweep.
+        def longest(which: np.ndarray, key: np.ndarray) -> np.ndarray:
+            out = np.full(self.k, -1, np.int64)
+            np.maximum.at(out, c[which], run[which] * k + key[which])
+            return out
 
-    ``seeds`` has the suffixes of the other class by symbol in the order of the sweep, and is emptied, into ``keep`` if given. Within a symbol
-    the wanted class comes first in the sweep's direction: what waits, then what those push to the same symbol, in rounds.
-    """
-    wait, placed = Queues(memory, spill), Queues(memory, spill)
-    if not want_s:  # the last suffix is L and follows the end, which is before everything
-        wait.push(int(text[-1]), np.array([len(text) - 1], np.int64))
-    for c in (symbols[::-1] if want_s else symbols).tolist():
-        arrays = wait.pop(c)
-        at = np.concatenate(arrays) if arrays else None
-        while at is not None and len(at):
-            placed.push(c, at)
-            p = at[at > 0] - 1
-            p = p[stype[p] == want_s]
-            s = text[p]
-            _deal(wait, p[s != c], s[s != c])
-            at = p[s == c]
-        for at in seeds.pop(c):
-            if keep is not None:
-                keep.push(c, at)
-            p = at[at > 0] - 1
-            p = p[stype[p] == want_s]
-            _deal(wait, p, text[p])
-    wait.close()
-    return placed
-
-
-def _induce(text: np.ndarray, stype: np.ndarray, symbols: np.ndarray, stars: np.ndarray, memory: int, spill: str | None) -> tuple[Queues, Queues]:
-    """From sorted leftmost S suffixes to (L ascending, S descending) by symbol."""
-    star = Queues(memory, spill)
-    _deal(star, stars, text[stars])
-    low = _sweep(text, stype, symbols, star, False, memory, spill)
-    # the descending sweep takes each symbol's L suffixes from the last to the first
-    back, kept = Queues(memory, spill), Queues(memory, spill)
-    for c in symbols.tolist():
-        arrays = low.pop(c)
-        for x in arrays:
-            kept.push(c, x)
-        for x in arrays[::-1]:
-            back.push(c, x[::-1])
-    high = _sweep(text, stype, symbols, back, True, memory, spill)
-    for q in (star, low, back):
-        q.close()
-    return kept, high
-
-
-def _names(text: np.ndarray, stype: np.ndarray, stars: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks of the substrings from each leftmost S suffix to the next (inclusive), given them in order."""
-    end = np.empty(len(text), np.int64)
-    end[stars] = np.append(stars[1:], len(text) - 1)
-    a, b = ordered[:-1], ordered[1:]
-    la, lb = end[a] - a, end[b] - b
-    same = la == lb
-    # equal lengths are compared symbol by symbol, all pairs at once, until they differ or end
-    live = np.flatnonzero(same & (la >= 0))
-    off = 0
-    while len(live):
-        eq = (text[a[live] + off] == text[b[live] + off]) & (stype[a[live] + off] == stype[b[live] + off])
-        same[live[~eq]] = False
-        live = live[eq & (off < la[live])]
-        off += 1
-    # the last one runs into the end, so it equals none
-    last = stars[-1]
-    same &= (a != last) & (b != last)
-    rank = np.cumsum(np.concatenate([[0], ~same])) if len(ordered) else np.zeros(0, np.int64)
-    name = np.empty(len(text), np.int64)
-    name[ordered] = rank
-    return name[stars], int(rank[-1]) + 1 if len(rank) else 0
-
-
-def by_doubling(text: np.ndarray) -> np.ndarray:
-    """Suffix order of a string held in memory: ranks of twice the length, again and again."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    k = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        if k < n:
-            second[:-k] = rank[k:]
-        key = rank * (n + 2) + second
-        order = np.argsort(key)
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], np.diff(key[order]) != 0]))
-        if not n or new[order[-1]] == n:
-            return order
-        rank, k = new, 2 * k
-
-
-def suffix_array(text: np.ndarray, memory: int = MEMORY, spill: str | None = None, level: int = 0) -> np.ndarray:
-    """Suffix order of an integer string. Queues of one sweep stay within ``memory`` if ``spill`` names a folder."""
-    n = len(text)
-    if n < 2:
-        return np.arange(n)
-    stype = suffix_types(text)
-    stars = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
-    symbols = np.unique(text)
-    if len(symbols) > SMALL_ALPHABET and n * 48 <= memory:
-        return by_doubling(text)
-    if len(stars):
-        low, high = _induce(text, stype, symbols, stars, memory, spill)
+        lows, highs, stars = longest(low, after + 1), longest(~low, self.k - after), longest(star, self.k - after)
+        self.low_star, self.low_high = self._seam(lows, stars), self._seam(lows, highs)
+
+    def _seam(self, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """For each symbol, the prefix value of the last L suffix and the first of the given S suffixes: nothing but the symbol's runs, and what follows."""
+        out = np.zeros(self.k, np.uint8)
+        at = np.flatnonzero((lows >= 0) & (highs >= 0))
+        k = self.k + 2
+        m, b, r, d = lows[at] // k, lows[at] % k - 1, highs[at] // k, self.k - highs[at] % k
+        same = np.minimum(m, r) * self.length[at]
+        more = np.where(m == r, self.apart(b, d), np.where(m < r, self.apart(b, at), self.apart(at, d)))
+        out[at] = np.minimum(same + more, self.depth)
+        return out
+
+    def first_order(self) -> tuple[np.ndarray, np.ndarray]:
+        """Leftmost S suffixes by their first run and the symbol after it, with prefix values; EQUAL where both agree."""
+        c, r, d = self._star
+        most = int(r.max())
+        if self.k * (most + 1) * (self.k + 1) < 1 << 62:
+            order = np.argsort((c * (most + 1) + most - r) * (self.k + 1) + d, kind="stable")
+        else:
+            order = np.lexsort((d, -r, c))
+        c, r, d = c[order], r[order], d[order]
+        value = np.zeros(len(c), np.uint8)
+        p, q = slice(None, -1), slice(1, None)
+        with_next = np.where(r[p] == r[q], self.apart(np.minimum(d[p], d[q] - 1), d[q]), self.apart(c[q], d[q]))
+        got = np.minimum(r[q] * self.length[c[q]] + with_next, self.depth)
+        value[1:] = np.where((r[p] == r[q]) & (d[p] == d[q]), EQUAL, got)
+        return self.stars[order], value
+
+    def shelf(self) -> Bands:
+        return Bands(self.band, self.x.dtype, self.memory, self.spill)
+
+    def sweeps(self, stars: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From leftmost S suffixes in order to all suffixes from the greatest to the least: pieces of (positions, prefix values with the one before)."""
+        seeds, low = self.shelf(), self.shelf()
+        for a in range(0, len(stars), CHUNK):
+            p = stars[a : a + CHUNK]
+            seeds.push(self.x[p], p, value[a : a + CHUNK])
+        for sym, pos, val, wait in Sweep(self, seeds, False).run():
+            low.push(sym[wait], pos[wait], val[wait])
+        seeds.close()
+        for _, pos, val, _ in Sweep(self, low, True).run():
+            yield pos, val
+        self.spilled += seeds.spilled + low.spilled
         low.close()
-        is_star = np.zeros(n, bool)
-        is_star[stars] = True
-        parts = []
-        for c in symbols.tolist():
-            s = np.concatenate([*high.pop(c), np.zeros(0, np.int64)]).astype(np.int64)[::-1]
-            parts.append(s[is_star[s]])
-        high.close()
-        ordered = np.concatenate(parts)
-        names, k = _names(text, stype, stars, ordered)
-        if k < len(stars):
-            ordered = stars[suffix_array(names, memory, spill, level + 1)]
+
+
+class Sweep:
+    """One sweep over the symbols, ascending for L suffixes or (``down``) descending for S; symbols are counted in the sweep's direction.
+
+    In each symbol those that wait come first, then ``seeds``, the suffixes of the other type. A piece of what is placed is all that no
+    suffix induced by itself can precede.
+    """
+
+    def __init__(self, level: Level, seeds: Bands, down: bool):
+        self.v, self.seeds, self.down = level, seeds, down
+        k = level.k
+        turn = (lambda a: a[::-1]) if down else (lambda a: a)
+        self.length = turn(level.length)
+        self.step = np.concatenate([level.step[:1], level.step[1:][::-1]]) if down else level.step
+        self.seam = turn(level.low_high if down else level.low_star)
+        self.top = k - 1
+        self.wait = level.shelf()
+        self.last, self.tail = np.full(k, -1, np.int32), np.zeros(k, np.uint8)
+        self.low_at = np.full(257, -1, np.int64)  # latest piece with a value of at most v
+        self.low_at[256] = 1 << 62
+        self.piece = 0
+        self.before = (-1, False)
+
+    def _fixed(self, sym: np.ndarray, val: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Prefix values where a symbol begins, or its seeds do."""
+        was, was_seed = self.before
+        new = np.empty(len(sym), bool)
+        new[0], new[1:] = sym[0] != was, sym[1:] != sym[:-1]
+        seam = np.empty(len(sym), bool)
+        seam[0], seam[1:] = seed[0] and not was_seed, seed[1:] & ~seed[:-1]
+        seam &= ~new
+        val = val.copy()
+        at = np.flatnonzero(seam)
+        val[at] = self.seam[sym[at]]
+        at = np.flatnonzero(new)
+        if len(at):
+            s = sym[at].astype(np.int64)
+            if self.v.ranges is None:
+                val[at] = 0
+            else:
+                val[at] = np.minimum.reduceat(self.step[: s[-1] + 1], np.append(was, s[:-1]) + 1)
+                if was < 0:
+                    val[at[0]] = 0
+        self.before = (int(sym[-1]), bool(seed[-1]))
+        return val
+
+    def _children(self, sym: np.ndarray, pos: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol of the suffix before each one, and whether it is of the wanted type."""
+        c = self.v.x[pos - 1].astype(np.int64)
+        if self.down:
+            c = self.top - c
+        return c, (pos > 0) & ((c > sym) | ((c == sym) & ~seed))
+
+    def _place(self, sym: np.ndarray, pos: np.ndarray, val: np.ndarray, seed: np.ndarray, c: np.ndarray, want: np.ndarray) -> tuple:
+        """What the placed suffixes induce: (symbol, position, value) in order."""
+        at = np.flatnonzero(want)
+        cs = c[at]
+        order = np.argsort(cs.astype(np.uint16) if self.v.k <= 1 << 16 else cs, kind="stable")
+        at, cs = at[order], cs[order]
+        if not len(at):
+            self._end(val)
+            return cs, pos[:0], val[:0]
+        head = np.empty(len(cs), bool)
+        head[0], head[1:] = True, cs[1:] != cs[:-1]
+        later = np.flatnonzero(~head)
+        least = np.empty(len(cs), np.uint8)
+        if len(later):
+            a, b = at[later - 1] + 1, at[later]
+            least[later] = Ranges(val, int((b - a).max()) + 1).least(a, b)
+        first = np.flatnonzero(head)
+        s = cs[first]
+        seen = np.searchsorted(self.low_at[:256], self.last[s].astype(np.int64) + 1)
+        upto = np.minimum.accumulate(val)
+        got = np.minimum(np.minimum(self.tail[s], np.minimum(seen, 255).astype(np.uint8)), upto[at[first]])
+        least[first] = np.where(self.last[s] < 0, 0, got)
+        value = np.where(least == EQUAL, EQUAL, np.minimum(least.astype(np.int64) + self.length[cs], self.v.depth)).astype(np.uint8)
+        end = np.append(first[1:], len(cs)) - 1
+        rest = np.append(np.minimum.accumulate(val[::-1])[::-1], EQUAL)
+        self.last[s], self.tail[s] = self.piece, rest[at[end] + 1]
+        self._end(val)
+        return cs, pos[at] - 1, value
+
+    def _end(self, val: np.ndarray) -> None:
+        self.low_at[int(val.min()) : 256] = self.piece
+        self.piece += 1
+
+    def _out(self, sym: np.ndarray) -> np.ndarray:
+        return self.top - sym if self.down else sym
+
+    def _piece(self, band: int, of: Bands) -> Iterator[list]:
+        """Tuples of a band in the sweep's order; seeds of a descending sweep come back to front."""
+        if of is self.seeds and self.down:
+            carry = 0
+            for sym, pos, val in of.take(band, last_first=True):
+                order = np.argsort(-sym.astype(np.int64), kind="stable") if not self.v.plain else None
+                if order is None:
+                    back = np.append(carry, val[::-1][:-1]).astype(np.uint8)
+                    carry = int(val[0])
+                    yield [self.top - sym[::-1].astype(np.int64), pos[::-1], back]
+                else:
+                    yield [sym, pos, val]
+        else:
+            for sym, pos, val in of.take(band):
+                sym = sym.astype(np.int64)
+                yield [self.top - sym if self.down else sym, pos, val]
+
+    def run(self) -> Iterator[tuple]:
+        """Pieces of (symbol, position, prefix value, whether it waited) in the order of the sweep."""
+        v = self.v
+        if not self.down:  # the last suffix is L and follows the end, which is before everything
+            last = len(v.x) - 1
+            self.wait.push(v.x[last:], np.array([last]), np.zeros(1, np.uint8))
+        for band in range(v.bands - 1, -1, -1) if self.down else range(v.bands):
+            yield from self._plain(band) if v.plain else self._mixed(band)
+        v.spilled += self.wait.spilled
+        self.wait.close()
+
+    def _emit(self, sym: np.ndarray, pos: np.ndarray, val: np.ndarray, seed: np.ndarray) -> tuple:
+        val = self._fixed(sym, val, seed)
+        c, want = self._children(sym, pos, seed)
+        return (self._out(sym), pos, val, ~seed), self._place(sym, pos, val, seed, c, want)
+
+    def _plain(self, band: int) -> Iterator[tuple]:
+        """A band of one symbol: those that wait, what they add to it, then its seeds."""
+        todo = self._piece(band, self.wait)
+        mine = self.top - band if self.down else band
+        while True:
+            again: list = []
+            for sym, pos, val in todo:
+                for a in range(0, len(sym), CHUNK):
+                    part = slice(a, a + CHUNK)
+                    out, (cs, cp, cv) = self._emit(sym[part], pos[part], val[part], np.zeros(len(sym[part]), bool))
+                    yield out
+                    own = cs == mine
+                    if own.any():
+                        again.append([cs[own], cp[own], cv[own]])
+                        cs, cp, cv = cs[~own], cp[~own], cv[~own]
+                    self.wait.push(self._out(cs), cp, cv)
+            if not again:
+                break
+            todo = again
+        for sym, pos, val in self._piece(band, self.seeds):
+            for a in range(0, len(sym), CHUNK):
+                part = slice(a, a + CHUNK)
+                out, (cs, cp, cv) = self._emit(sym[part], pos[part], val[part], np.ones(len(sym[part]), bool))
+                yield out
+                self.wait.push(self._out(cs), cp, cv)
+
+    def _mixed(self, band: int) -> Iterator[tuple]:
+        """A band of several symbols."""
+        join = lambda rows: [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)]
+        w = join(list(self._piece(band, self.wait)))
+        s = join(list(self._piece(band, self.seeds))[:: -1 if self.down else 1])
+        if self.down and len(s[0]):  # seeds are in ascending order: turn them round, values with them
+            order = np.argsort(s[0], kind="stable")
+            s = [a[order][::-1] for a in s]
+            s[2] = np.append(0, s[2][:-1]).astype(np.uint8)
+            s[0] = self.top - s[0].astype(np.int64)
+        key = np.concatenate([2 * w[0], 2 * s[0] + 1])
+        pos, val = np.concatenate([w[1], s[1]]), np.concatenate([w[2], s[2]])
+        order = np.argsort(key, kind="stable")
+        key, pos, val = key[order], pos[order], val[order]
+        of = self.v.band
+        look = 1024
+        while len(key):
+            k, p, x = key[:look], pos[:look], val[:look]
+            sym, seed = k >> 1, (k & 1).astype(bool)
+            c, want = self._children(sym, p, seed)
+            inside = want & (of[self._out(c)] == band)
+            if inside.any():
+                least = np.minimum.accumulate(np.where(inside, 2 * c, 1 << 62))
+                over = k[1:] > least[:-1]
+                cut = int(np.argmax(over)) + 1 if over.any() else len(k)
+            else:
+                cut = len(k)
+            look = max(128, min(4096, 2 * cut))
+            sym, seed, p, x, c, want = sym[:cut], seed[:cut], p[:cut], x[:cut], c[:cut], want[:cut]
+            x = self._fixed(sym, x, seed)
+            yield self._out(sym), p, x, ~seed
+            cs, cp, cv = self._place(sym, p, x, seed, c, want)
+            key, pos, val = key[cut:], pos[cut:], val[cut:]
+            own = of[self._out(cs)] == band
+            if own.any():
+                key = np.concatenate([key, 2 * cs[own]])
+                order = np.argsort(key, kind="stable")
+                key, pos, val = key[order], np.concatenate([pos, cp[own]])[order], np.concatenate([val, cv[own]])[order]
+                cs, cp, cv = cs[~own], cp[~own], cv[~own]
+            self.wait.push(self._out(cs), cp, cv)
+
+
+def _names(v: Level) -> tuple:
+    """Leftmost S suffixes in the order of their substrings, their prefix values, names, and of each name length and prefix value."""
+    is_star = np.zeros(len(v.x), bool)
+    is_star[v.stars] = True
+    places, values, carry = [], [], EQUAL
+    for pos, val in v.sweeps(*v.first_order()):
+        at = np.flatnonzero(is_star[pos])
+        if not len(at):
+            carry = min(carry, int(val.min()))
+            continue
+        least = np.minimum.reduceat(val[: at[-1] + 1], np.append(0, at[:-1] + 1))
+        least[0] = min(int(least[0]), carry)
+        carry = int(val[at[-1] + 1 :].min()) if at[-1] + 1 < len(val) else EQUAL
+        places.append(pos[at])
+        values.append(least)
+    pos, val = np.concatenate(places)[::-1], np.concatenate(values)[::-1]
+    val = np.append(0, val[:-1]).astype(np.uint8)  # with the one before, in ascending order
+    new = val < v.depth
+    new[0] = True
+    head = np.flatnonzero(new)
+    name = np.cumsum(new) - 1
+    total = np.append(0, np.cumsum(v.length[v.x], dtype=np.int64))
+    ends = np.append(v.stars[1:], len(v.x))
+    own = np.empty(len(pos), np.int64)
+    rank = np.searchsorted(v.stars, pos)
+    own = np.minimum(total[ends[rank]] - total[pos], v.depth)
+    cut = (val == v.depth) & ~new  # agree as far as it counts, though not known to be equal
+    length = np.where(np.maximum.reduceat(cut, head), v.depth, np.maximum.reduceat(own, head))
+    return pos, val, name, rank, length, val[head]
+
+
+def suffixes(x: np.ndarray, size: int, depth: int, length: np.ndarray | None = None, step: np.ndarray | None = None, memory: int = MEMORY, spill: str | None = None, stats: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes of ``x`` (symbols below ``size``) from the greatest to the least, in pieces: positions, and the bytes (up to ``depth``) that
+    each has in common with the one before. The order of suffixes that agree over ``depth`` bytes is left open."""
+    if not len(x):
+        return
+    v = Level(x, size, np.ones(size, np.uint8) if length is None else length, np.zeros(size, np.uint8) if step is None else step, depth, memory, spill)
+    stats = {} if stats is None else stats
+    stats["levels"] = stats.get("levels", 0) + 1
+    if len(v.stars):
+        pos, val, name, rank, own, steps = _names(v)
+        many = np.bincount(name) > 1
+        if (many & (own < depth)).any():
+            text = np.empty(len(pos), np.int32)
+            text[rank] = name
+            parts = list(suffixes(text, len(own), depth, own, steps, memory, spill, stats))
+            order = np.concatenate([p for p, _ in parts])[::-1]
+            val = np.append(0, np.concatenate([w for _, w in parts])[::-1][:-1]).astype(np.uint8)
+            pos = v.stars[order]
+        val = np.minimum(val, depth).astype(np.uint8)
     else:
-        ordered = stars
-    low, high = _induce(text, stype, symbols, ordered, memory, spill)
-    out = []
-    for c in symbols.tolist():
-        out += low.pop(c)
-        out += [x[::-1] for x in high.pop(c)[::-1]]
-    low.close()
-    high.close()
-    return np.concatenate(out)
+        pos, val = v.stars, np.zeros(0, np.uint8)
+    yield from v.sweeps(pos, val)
+    stats["spilled"] = stats.get("spilled", 0) + v.spilled

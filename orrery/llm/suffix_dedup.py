@@ -2,13 +2,15 @@
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a smaller id.
 
-1. Every window of LENGTH bytes has a seed, the least hash of its ``GRAM``-byte strings (leftmost on ties), so equal windows have equal
-   seeds. Seeds seen in one document only end here: their windows are repeated nowhere else.
-2. For seeds of two documents or more, each run of windows with that seed is cut out of its text (a snippet of few windows).
-   Equal snippets of a task are sent once, with their smallest id; occurrences keep (snippet, place).
-3. Snippets are dealt by seed, so equal windows meet. A task suffix-sorts its snippets, a shard of ``SHARD_BYTES`` at a time (whole seeds),
-   by external induced sorting. Neighbours in that order that agree for LENGTH bytes (their common prefix, checked on the bytes) form a
-   class, and each window gets its class's smallest id.
+1. Documents are packed in blocks. Every window of LENGTH bytes has a seed, the least hash of its ``GRAM``-byte strings (leftmost on ties), so
+   equal windows have equal seeds. Blocks learn which of their seeds two ids hold, and who holds them first (``blocks.shared_seeds``);
+   windows of other seeds are repeated nowhere.
+2. Windows are grouped by their seed's first holder and the ``REACH`` bytes of it where the seed is, so equal windows are of one group, and
+   neighbouring windows of a copied passage are mostly of one group too. Each run of windows of a group is cut out of its text (a piece).
+   Equal pieces of a block are sent once, with their smallest id; occurrences keep (piece, place).
+3. Pieces are dealt by group to shards of about ``SHARD_BYTES``, whose suffix tuples are far more than the sort's ``MEMORY``. External
+   induced sorting gives a shard's suffixes in order with the common prefixes of neighbours; windows that agree over LENGTH bytes,
+   as these values say, are a class, and each window gets its class's smallest id.
 4. Windows whose class has a smaller id than the document's are removed from the occurrences' documents, overlaps joined.
 
 Results in the odd cases: null text is empty; texts under LENGTH bytes lose nothing; rows that share an id never remove
@@ -26,12 +28,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.induced_sorting import MEMORY, suffix_array
-from orrery.storage import shared_dir, stored
+from orrery.llm.blocks import Block, each_block, packed, shared_seeds, unpack, with_blocks
+from orrery.llm.induced_sorting import MEMORY, suffixes
+from orrery.storage import discard, shared_dir, stored
 
 LENGTH, GRAM = 50, 16
-SHARD_BYTES = 6 << 20
-PIECE = 1 << 19
+REACH = 1024
+SHARD_BYTES = 4 << 20
+PIECE = 1 << 16  # bytes hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -79,222 +83,190 @@ def seeds_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return np.concatenate(hs), np.concatenate(at)
 
 
-def _utf8(t: str | None) -> bytes:
-    return t.encode("utf-8", "surrogatepass") if t else b""
+def block_seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one seed: hash (48 bits), document, seed's place in it, first window's place in the block, number of windows."""
+    n = len(block.text)
+    if n < LENGTH:
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+    h, at = seeds_of(block.text)
+    inside = np.zeros(len(h), bool)  # windows that do not run into the next document
+    ok = (block.sizes >= LENGTH) & block.known
+    mark = np.zeros(len(h) + 1, np.int32)
+    np.add.at(mark, block.starts[ok], 1)
+    np.add.at(mark, (block.starts + block.sizes - LENGTH + 1)[ok], -1)
+    inside = np.cumsum(mark[:-1]) > 0
+    w = np.flatnonzero(inside)
+    if not len(w):
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+    doc = np.searchsorted(block.starts, w, "right") - 1
+    # documents of no bytes share their start with the next one; the last of them holds it
+    new = np.append(True, (at[w][1:] != at[w][:-1]) | (doc[1:] != doc[:-1]))
+    head = np.flatnonzero(new)
+    first = w[head]
+    size = np.diff(np.append(head, len(w)))
+    doc = doc[head]
+    return h[first].view(np.uint64) >> np.uint64(16), doc, at[first] - block.starts[doc], first, size
 
 
-def shared_seeds(docs: DataFrame) -> DataFrame:
-    """``id, text`` to (id, h) of the seeds that two ids or more hold. One shuffle; groups stream past in order.
+def _groups(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number of 40 bits for the first holder and the part of it; different ones may share it, which only makes a group larger."""
+    return _mix(ids.view(np.uint64) * np.uint64(_BASE) + place // np.uint64(REACH) + np.uint64(1)) >> np.uint64(24)
 
-    A seed that two documents of one batch hold is known to be shared: its rows are dealt evenly, and only one of them is sent
-    to meet the seed's rows from elsewhere, so a frequent seed sends a row a batch to its task.
-    """
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, hs = [], []
-            for i, t in zip(b["id"].tolist(), b["text"].tolist()):
-                h = np.unique(seeds_of(_utf8(t))[0])
-                hs.append(h)
-                ids.append(np.full(len(h), i, np.int64))
-            if not hs:
-                continue
-            h, i = np.concatenate(hs), np.concatenate(ids)
-            order = np.lexsort((i, h))
-            h, i = h[order], i[order]
-            start = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-            run = np.cumsum(start) - 1
-            known = (np.bincount(run, i != i[np.flatnonzero(start)][run]) > 0)[run] if len(h) else start
-            send = start | ~known
-            yield pd.DataFrame({"h": np.append(h[known], h[send]), "id": np.append(i[known], i[send]), "known": np.repeat([True, False], [known.sum(), send.sum()])})
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None  # seed, its first id, whether a second was seen
-        for b in batches:
-            known = b["known"].to_numpy(bool)
-            if known.any():
-                yield b.loc[known, ["h", "id"]]
-            h, i = b["h"].to_numpy()[~known], b["id"].to_numpy()[~known]
-            if not len(h):
-                continue
-            start = np.concatenate([[True], h[1:] != h[:-1]])
-            first = i[np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))]
-            goes_on = last is not None and h[0] == last[0]
-            if goes_on:
-                head = int(np.argmin(h == h[0])) if (h != h[0]).any() else len(h)
-                first[:head] = last[1]
-            other = i != first  # ids ascend within a seed
-            run = np.cumsum(start) - 1
-            many = np.bincount(run, other) > 0
-            if goes_on and last[2]:
-                many[0] = True
-            take = many[run]
-            out_h, out_i = h[take], i[take]
-            if goes_on and not last[2] and many[0]:  # the first id was held back until a second came
-                out_h, out_i = np.append(out_h, last[0]), np.append(out_i, last[1])
-            last = (h[-1], first[-1], bool(many[-1]))
-            yield pd.DataFrame({"h": out_h, "id": out_i}).drop_duplicates()
-
-    seeds = docs.mapInPandas(emit, "h long, id long, known boolean")
-    place = F.when(F.col("known"), F.xxhash64("h", "id")).otherwise(F.col("h"))
-    return seeds.repartition(place).sortWithinPartitions("known", "h", "id").mapInPandas(keep, "h long, id long")
-
-
-SNIPPETS = "h long, sid long, id long, th long, s int, n int, snippet binary"
-
-
-def snippets(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Occurrences (snippet null), and each snippet a batch holds with its smallest id."""
-    per = shared.groupBy("id").agg(F.collect_list("h").alias("hs"))  # a document's seeds: no more than its bytes
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            occ: list[tuple] = []
-            seen: dict[tuple, tuple] = {}
-            for i, th, t, hs in zip(b["id"].tolist(), b["th"].tolist(), b["text"].tolist(), b["hs"]):
-                data = _utf8(t)
-                h, at = seeds_of(data)
-                if not len(h):
-                    continue
-                start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                stop = np.append(start[1:], len(h))
-                ok = np.isin(h[start], hs)
-                for s, e, k in zip(start[ok].tolist(), stop[ok].tolist(), h[start[ok]].tolist()):
-                    x = data[s : e + LENGTH - 1]
-                    sid = xxhash.xxh3_64_intdigest(x) - (1 << 63)
-                    occ.append((k, sid, i, th, s, e - s))
-                    if (got := seen.get((k, sid))) is None or i < got[0]:
-                        seen[k, sid] = (i, e - s, x)
-                if len(occ) > 50_000:
-                    yield _snippet_frame(occ, seen)
-                    occ, seen = [], {}
-            yield _snippet_frame(occ, seen)
-
-    return docs.join(per, "id").mapInPandas(run, SNIPPETS)
-
-
-def _snippet_frame(occ: list, seen: dict) -> pd.DataFrame:
-    columns = [c.split()[0] for c in SNIPPETS.split(", ")]
-    a = pd.DataFrame(occ, columns=columns[:-1])
-    a["snippet"] = None
-    b = pd.DataFrame([(h, sid, i, 0, 0, n, x) for (h, sid), (i, n, x) in seen.items()], columns=columns)
-    return pd.concat([a, b], ignore_index=True) if len(b) else a
-
-
-def least_ids(parts: list[bytes], sizes: np.ndarray, ids: np.ndarray, memory: int = MEMORY, spill: str | None = None) -> np.ndarray:
-    """For each window of each snippet in turn, the smallest id whose snippet holds an equal window."""
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    raw = np.frombuffer(b"\0".join(parts) + bytes(LENGTH), np.uint8)
-    text = raw[: ends[-1]].astype(np.uint16) + 1
-    text[ends - 1] = 0
-    starts = ends - np.array([len(p) + 1 for p in parts])
-    owner = np.full(len(text), -1, np.int64)
-    sizes = np.asarray(sizes, np.int64)
-    place = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-    owner[place] = np.repeat(np.arange(len(parts)), sizes)
-    sa = suffix_array(text, memory, spill)
-    sa = sa[owner[sa] >= 0]
-    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
-    new = np.ones(len(sa), bool)
-    for a in range(1, len(sa), 200_000):
-        x = sa[a - 1 : a + 200_000]
-        w = np.ascontiguousarray(windows[x]).view(f"V{LENGTH}").ravel()
-        new[a : a + 200_000] = w[1:] != w[:-1]
-    head = np.flatnonzero(new)
-    least = np.minimum.reduceat(ids[owner[sa]], head)
-    out = np.empty(len(text), np.int64)
-    out[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
-    return out[place]
+PIECES = "grp long, a long, b long, block long, doc int, id long, s long, n int, piece binary"
 
 
-def sorted_shards(snips: DataFrame, spill: str) -> DataFrame:
-    """Distinct snippets to the smallest id of each of their windows."""
-    dealt = snips.repartition("h").sortWithinPartitions("h", "sid", "id")
+def pieces(blocks: DataFrame, shared: DataFrame, tasks: int) -> DataFrame:
+    """Occurrences (piece null), and each piece that a block holds, with its smallest id. (a, b): 128 bits of the piece's hash."""
+    columns = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.drop_duplicates(["h", "sid"])  # the first has the smallest id
-            n = rows["n"].to_numpy()
-            got = least_ids([bytes(x) for x in rows["snippet"]], n, rows["id"].to_numpy(), spill=spill)
-            return pd.DataFrame({"h": rows["h"], "sid": rows["sid"], "least": np.split(got, np.cumsum(n)[:-1])})
+        for block, rows in each_block(batches):
+            known, group = unpack(rows)
+            h, doc, _, first, size = block_seeds(block)
+            if not len(known) or not len(h):
+                continue
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            ok = known[at] == h
+            doc, first, size, grp = doc[ok], first[ok], size[ok], group[at[ok]].astype(np.int64)
+            if not len(doc):
+                continue
+            new = np.append(True, (grp[1:] != grp[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + size[:-1]))
+            head = np.flatnonzero(new)
+            total = np.add.reduceat(size, head)
+            out, seen = [], {}
+            for g, d, f, n in zip(grp[head].tolist(), doc[head].tolist(), first[head].tolist(), total.tolist()):
+                x = block.text[f : f + n + LENGTH - 1]
+                i = int(block.ids[d])
+                got = seen.get((g, x))
+                if got is None:
+                    digest = xxhash.xxh3_128_digest(x)
+                    got = seen[g, x] = [int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), i, n]
+                got[2] = min(got[2], i)
+                out.append((g, got[0], got[1], block.key, d, i, f - int(block.starts[d]), n, None))
+            out += [(g, v[0], v[1], 0, 0, v[2], 0, v[3], x) for (g, x), v in seen.items()]
+            for a in range(0, len(out), 20_000):
+                yield pd.DataFrame(out[a : a + 20_000], columns=columns)
+
+    return with_blocks(blocks, shared, tasks).mapInPandas(run, PIECES)
+
+
+def least_ids(parts: list[bytes], ids: np.ndarray, memory: int = MEMORY, spill: str | None = None, stats: dict | None = None) -> list[np.ndarray]:
+    """For each piece, of each of its windows the smallest id of a piece that holds an equal window."""
+    size = np.array([len(p) for p in parts], np.int64)
+    # byte 255 occurs in no UTF-8, so with all bytes one up it is 0 and parts the pieces
+    x = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8) + np.uint8(1)
+    start = np.cumsum(size + 1) - size - 1
+    windows = size - LENGTH + 1
+    mark = np.zeros(len(x) + 1, np.int32)
+    np.add.at(mark, start, 1)
+    np.add.at(mark, start + windows, -1)
+    window = np.cumsum(mark[:-1]) > 0
+    number = np.empty(len(x), np.int32)  # of the class of each suffix
+    classes = 0
+    for pos, common in suffixes(x, 256, LENGTH, memory=memory, spill=spill, stats=stats):
+        new = common < LENGTH
+        if not classes:
+            new[0] = True
+        got = np.cumsum(new) + classes - 1
+        number[pos] = got
+        classes = int(got[-1]) + 1
+    at = np.flatnonzero(window)
+    owner = np.repeat(np.asarray(ids, np.int64), windows)
+    least = np.full(classes, np.iinfo(np.int64).max)
+    np.minimum.at(least, number[at], owner)
+    return np.split(least[number[at]], np.cumsum(windows)[:-1])
+
+
+def sorted_shards(pieces_: DataFrame, shards: int, spill: str) -> DataFrame:
+    """Distinct pieces (grp, a, b) to the smallest id of each of their windows: ids and the windows from which on they hold.
+
+    A task's pieces are one shard; rows of an equal piece from several blocks are compared byte by byte, and count once.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
         for b in batches:
-            held.append(b.drop_duplicates(["h", "sid"]))
-            size += int(held[-1]["snippet"].map(len).sum())
-            if size >= SHARD_BYTES:
-                rows = pd.concat(held, ignore_index=True).drop_duplicates(["h", "sid"])
-                open_ = rows["h"] == rows["h"].iloc[-1]
-                if not open_.all():
-                    yield done(rows[~open_])
-                    held = [rows[open_]]
-                else:
-                    held = [rows]
-                size = int(held[0]["snippet"].map(len).sum())
-        if held and sum(map(len, held)):
-            yield done(pd.concat(held, ignore_index=True))
-
-    return dealt.mapInPandas(run, "h long, sid long, least array<long>")
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``id, th, text`` to (id, th) and removed byte spans, joined."""
-    spark = docs.sparkSession
-    plain = docs.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    shared = stored(shared_seeds(plain.select("id", "text")), "seeds")
-    snips = stored(snippets(plain.dropDuplicates(["id", "th"]) if _same_ids(plain) else plain, shared), "snippets")
-    least = stored(sorted_shards(snips.filter("snippet is not null").select("h", "sid", "id", "n", "snippet"), shared_dir(spark, "queues")), "least")
-    occ = snips.filter("snippet is null").select("h", "sid", "id", "th", "s", "n")
+            for g, x, y, i, piece in zip(b["grp"].tolist(), b["a"].tolist(), b["b"].tolist(), b["id"].tolist(), b["piece"]):
+                got = held.setdefault((g, x, y), [i, bytes(piece)])
+                if got[1] != piece:
+                    raise ValueError("two texts with one hash of 128 bits")
+                got[0] = min(got[0], i)
+        if not held:
+            return
+        keys, values = list(held), list(held.values())
+        del held
+        stats: dict = {}
+        least = least_ids([v[1] for v in values], np.array([v[0] for v in values], np.int64), spill=spill, stats=stats)
+        out = []
+        for (g, x, y), row in zip(keys, least):
+            head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            out.append((g, x, y, head.astype(np.int32), row[head], stats["spilled"]))
+        for a in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[a : a + 10_000], columns=["grp", "a", "b", "from_", "least", "spilled"])
+
+    dealt = pieces_.select("grp", "a", "b", "id", "piece").repartition(shards, "grp")
+    return dealt.mapInPandas(run, "grp long, a long, b long, from_ array<int>, least array<long>, spilled long")
+
+
+def repeated_spans(blocks: DataFrame) -> DataFrame:
+    """Blocks to ``block, n, data``: of each block the removed spans as (document, first byte, last byte + 1), joined."""
+    spark = blocks.sparkSession
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (16 << 20)))
+    shared = shared_seeds(blocks, lambda b: block_seeds(b)[:3], _groups)
+    found = stored(pieces(blocks, shared, tasks), "pieces")
+    discard(shared)
+    distinct = found.filter("piece is not null")
+    size = distinct.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    least = stored(sorted_shards(distinct, max(1, -(-size // SHARD_BYTES)), shared_dir(spark, "queues")), "least")
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, th, s, least_ in zip(b["id"].tolist(), b["th"].tolist(), b["s"].tolist(), b["least"]):
-                hit = np.flatnonzero(np.asarray(least_) < i)
-                if len(hit):
-                    gap = np.flatnonzero(np.diff(hit) > LENGTH)
-                    for a, z in zip(np.append(hit[0], hit[gap + 1]), np.append(hit[gap], hit[-1])):
-                        out.append((i, th, s + int(a), s + int(z) + LENGTH))
-            yield pd.DataFrame(out, columns=["id", "th", "s", "e"])
-
-    hits = occ.join(least, ["h", "sid"]).mapInPandas(spans, "id long, th long, s int, e int")
-    return hits.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+            for block, doc, i, s, n, at, low in zip(b["block"].tolist(), b["doc"].tolist(), b["id"].tolist(), b["s"].tolist(), b["n"].tolist(), b["from_"], b["least"]):
+                end = np.append(at[1:], n)
+                for a, e in zip(at[low < i].tolist(), end[low < i].tolist()):
+                    out.append((block, doc, s + a, s + e + LENGTH - 1))
+            yield pd.DataFrame(out, columns=["block", "doc", "s", "e"])
 
+    hits = found.filter("piece is null").drop("piece").join(least, ["grp", "a", "b"]).mapInPandas(spans, "block long, doc int, s long, e long")
+    out = stored(hits.groupBy("block").agg(F.collect_list(F.struct("doc", "s", "e")).alias("spans")), "spans")  # a block's spans: no more than its bytes
+    discard(found, least)
+    return out
 
-def _same_ids(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("id").count().filter("count > 1").limit(1).count())
 
-
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>"
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of removed runs (bytes), and ``kept`` if asked for."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = stored(repeated_spans(rows), "spans").withColumnsRenamed({"id": "i2", "th": "t2"})
-    joined = rows.join(spans, (F.col("id") == F.col("i2")) & (F.col("th") == F.col("t2")), "left").select("id", "text", "spans")
+    blocks = packed(docs, key, text)
+    spans = repeated_spans(blocks)
+    joined = blocks.join(spans, "block", "left")
+    columns = [*(c.split()[0] for c in RESULT.split(", ")), "kept"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, t, sp in zip(b["id"].astype("Int64"), b["text"].tolist(), b["spans"]):
-                data = _utf8(t)
-                runs: list = []
-                for x in sp if sp is not None else ():
-                    if runs and x["s"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x["e"])
+            for r in b.itertuples():
+                block, of = Block(r), {}
+                for x in sorted((x["doc"], x["s"], x["e"]) for x in r.spans) if r.spans is not None else ():
+                    runs = of.setdefault(x[0], [])
+                    if runs and x[1] <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], x[2])
                     else:
-                        runs.append([x["s"], x["e"]])
-                kept, at = [], 0
-                for s, e in runs:
-                    kept.append(data[at:s])
-                    at = e
-                left = b"".join([*kept, data[at:]])
-                out.append((i, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), [s for s, _ in runs], [e for _, e in runs], left))
-            d = pd.DataFrame(out, columns=[*(c.split()[0] for c in RESULT.split(", ")), "kept"])
-            d["id"] = pd.array(d["id"].tolist(), "Int64")
-            yield d if with_text else d.drop(columns="kept")
+                        runs.append([x[1], x[2]])
+                out = []
+                for d, (i, ok, start, size) in enumerate(zip(block.ids.tolist(), block.known.tolist(), block.starts.tolist(), block.sizes.tolist())):
+                    data, kept, at = block.text[start : start + size], [], 0
+                    runs = of.get(d, [])
+                    for s, e in runs:
+                        kept.append(data[at:s])
+                        at = e
+                    left = b"".join([*kept, data[at:]])
+                    out.append((i if ok else None, size, size - len(left), len(runs), hashlib.sha256(left).hexdigest(), [s for s, _ in runs], [e for _, e in runs], left))
+                d = pd.DataFrame(out, columns=columns)
+                d["id"] = pd.array(d["id"].tolist(), "Int64")
+                yield d if with_text else d.drop(columns="kept")
 
     return joined.mapInPandas(run, RESULT + ", kept binary" * with_text).withColumnRenamed("id", key)

@@ -29,27 +29,44 @@ def plain(rows):
     return sorted(out, key=str)
 
 
-def test_suffix_orders():
+def in_order(x, size, depth, **options):
+    """Positions in ascending order and their prefix values with the one before."""
+    got = list(ind.suffixes(x, size, depth, **options))
+    pos, val = (np.concatenate([g[i] for g in got])[::-1] for i in (0, 1))
+    return pos.tolist(), np.append(0, val[:-1]).tolist()
+
+
+def strings(n):
     rng = np.random.default_rng(0)
-    for trial in range(120):
-        t = rng.integers(1, 1 + rng.integers(1, 5), rng.integers(0, 50))
-        t = np.concatenate([t, t]) if trial % 2 else t
-        want = sorted(range(len(t)), key=lambda i: t.tolist()[i:])
-        assert ind.suffix_array(t).tolist() == want
-        assert ind.by_doubling(t).tolist() == want if len(t) else True
-
-
-def test_queues_spill_and_recur(tmp_path, monkeypatch):
-    monkeypatch.setattr(ind, "SMALL_ALPHABET", 0)
-    rng = np.random.default_rng(1)
-    for _ in range(40):
-        t = np.tile(rng.integers(1, 4, rng.integers(1, 60)), 3)
-        assert ind.suffix_array(t, 200, str(tmp_path)).tolist() == sorted(range(len(t)), key=lambda i: t.tolist()[i:])
-    q = ind.Queues(100, str(tmp_path))
-    for k in range(10):
-        q.push(k % 2, np.arange(k, k + 5))
-    assert q.spilled and np.concatenate(q.pop(1)).tolist() == [x for k in (1, 3, 5, 7, 9) for x in range(k, k + 5)]
-    q.close()
+    for trial in range(n):
+        t = bytes(rng.integers(1, 2 + rng.integers(0, 5), rng.integers(1, 120)).astype(np.uint8))
+        yield t * int(rng.integers(1, 5)) if trial % 2 else t
+    yield b"a" * 200
+    yield b"ab" * 150
+    yield b"\0".join([b"one passage of text"] * 12) + b"\0"
+
+
+def check(t, depth, **options):
+    pos, val = in_order(np.frombuffer(t, np.uint8).copy(), 256, depth, **options)
+    assert sorted(pos) == list(range(len(t)))
+    for i in range(1, len(t)):
+        a, b = t[pos[i - 1] :], t[pos[i] :]
+        same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert a[:depth] <= b[:depth] and val[i] == min(same, depth)
+
+
+def test_suffixes_and_prefix_values_equal_brute_force():
+    for k, t in enumerate(strings(120)):
+        check(t, (3, 10, 50, 200)[k % 4])
+
+
+def test_bands_of_many_symbols_and_spilled_queues(tmp_path, monkeypatch):
+    monkeypatch.setattr(ind, "PLAIN", 1)
+    monkeypatch.setattr(ind, "CHUNK", 16)
+    stats = {}
+    for k, t in enumerate(strings(40)):
+        check(t, (3, 50, 200)[k % 3], memory=100, spill=str(tmp_path), stats=stats)
+    assert stats["spilled"] > 40 and stats["levels"] > 60
     assert not list(tmp_path.iterdir())
 
 
@@ -90,3 +107,15 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = query(spark, sf).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == plain(rows)
+
+
+def test_query_sorts_through_spilled_queues(spark, monkeypatch):
+    """With the registered parameters, queues of a shard go to disk and names are sorted by recursion."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+    base = [" ".join(rnd.choice(words) for _ in range(1200)) for _ in range(400)]
+    parts = [t.encode() for t in base]
+    stats: dict = {}
+    got = sd.least_ids(parts + parts[:3], np.arange(403), spill="file:///tmp/orrery-test-queues", stats=stats)
+    assert stats["spilled"] > 0 and stats["levels"] > 2
+    assert all((got[400 + i] == i).all() for i in range(3)) and all((got[i] == i).all() for i in range(400))
