@@ -104,17 +104,21 @@ def shared_seeds(blocks: DataFrame, seeds: Callable[[Block], tuple], group: Call
                 block = Block(r)
                 h, doc, at = seeds(block)
                 ids = block.ids[doc]
-                order = np.lexsort((at, ids, h))
-                h, ids, at = h[order], ids[order], at[order]
-                head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-                last = np.append(head[1:], len(h)) - 1
-                many = ids[head] != ids[last]
-                h, ids, at = h[head], ids[head], at[head]
+                if not len(h):
+                    continue
+                order = np.argsort(h)
+                h, ids, at = h[order], ids[order], at[order].astype(np.uint64)
+                new = np.append(True, h[1:] != h[:-1])
+                head = np.flatnonzero(new)
+                least = np.minimum.reduceat(ids, head)
+                many = np.maximum.reduceat(ids, head) != least
+                at = np.minimum.reduceat(np.where(ids == least[np.cumsum(new) - 1], at, np.uint64(1 << 40)), head)
+                h, ids = h[head], least
                 part = (h * np.uint64(parts) >> np.uint64(shift)).astype(np.int64) if parts < 1 << 15 else (h // np.uint64(-(-(1 << shift) // parts))).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, np.int64)
+                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 out = []
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]):
-                    data = _planes(h[s:e], 6) + _planes(ids[s:e].view(np.uint64), 8) + _planes(at[s:e].astype(np.uint64), 4) + many[s:e].tobytes()
+                    data = _planes(h[s:e], 6) + _planes(ids[s:e].view(np.uint64), 8) + _planes(at[s:e], 4) + many[s:e].tobytes()
                     out.append((block.key, int(part[s]), e - s, zip_.compress(data)))
                 yield pd.DataFrame(out, columns=["block", "part", "n", "data"])
 

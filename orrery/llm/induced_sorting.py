@@ -29,6 +29,7 @@ from pyarrow import fs
 MEMORY = 4 << 20
 EQUAL = 255  # prefix value of strings known to be equal to their ends
 CHUNK = 1 << 16  # suffixes that a sweep places at once
+BAND = 1 << 14  # suffixes of a band of several symbols, about
 PLAIN = 512  # alphabets up to this size have a band for every symbol
 _LOG = np.zeros(CHUNK + 2, np.uint8)
 for _i in range(2, len(_LOG)):
@@ -152,7 +153,7 @@ class Level:
         if self.plain:
             band = np.arange(size)
         else:
-            band = (np.cumsum(count) - count) // max(1024, int(len(x) ** 0.5))
+            band = (np.cumsum(count) - count) // BAND
             band = np.unique(band, return_inverse=True)[1]
         self.bands = int(band[-1]) + 1
         self.band = band.astype(np.uint16 if self.bands < 1 << 16 else np.int32)
@@ -234,8 +235,7 @@ class Level:
 class Sweep:
     """One sweep over the symbols, ascending for L suffixes or (``down``) descending for S; symbols are counted in the sweep's direction.
 
-    In each symbol those that wait come first, then ``seeds``, the suffixes of the other type. A piece of what is placed is all that no
-    suffix induced by itself can precede.
+    In each symbol those that wait come first, then ``seeds``, the suffixes of the other type.
     """
 
     def __init__(self, level: Level, seeds: Bands, down: bool):
@@ -392,32 +392,64 @@ class Sweep:
         pos, val = np.concatenate([w[1], s[1]]), np.concatenate([w[2], s[2]])
         order = np.argsort(key, kind="stable")
         key, pos, val = key[order], pos[order], val[order]
-        of = self.v.band
-        look = 1024
-        while len(key):
-            k, p, x = key[:look], pos[:look], val[:look]
-            sym, seed = k >> 1, (k & 1).astype(bool)
-            c, want = self._children(sym, p, seed)
-            inside = want & (of[self._out(c)] == band)
-            if inside.any():
-                least = np.minimum.accumulate(np.where(inside, 2 * c, 1 << 62))
-                over = k[1:] > least[:-1]
-                cut = int(np.argmax(over)) + 1 if over.any() else len(k)
-            else:
-                cut = len(k)
-            look = max(128, min(4096, 2 * cut))
-            sym, seed, p, x, c, want = sym[:cut], seed[:cut], p[:cut], x[:cut], c[:cut], want[:cut]
-            x = self._fixed(sym, x, seed)
-            yield self._out(sym), p, x, ~seed
-            cs, cp, cv = self._place(sym, p, x, seed, c, want)
-            key, pos, val = key[cut:], pos[cut:], val[cut:]
-            own = of[self._out(cs)] == band
-            if own.any():
-                key = np.concatenate([key, 2 * cs[own]])
-                order = np.argsort(key, kind="stable")
-                key, pos, val = key[order], np.concatenate([pos, cp[own]])[order], np.concatenate([val, cv[own]])[order]
-                cs, cp, cv = cs[~own], cp[~own], cv[~own]
-            self.wait.push(self._out(cs), cp, cv)
+        if not len(key):
+            return
+        # 1. All that the band's suffixes induce within it, and what those do, with the number of the one that sends it.
+        known, parent = len(key), [np.full(len(key), -1, np.int64)]
+        keys, places, wanted, symbols = [key], [pos], [], []
+        new, base = slice(0, known), 0
+        while True:
+            sym, seed = keys[-1] >> 1, (keys[-1] & 1).astype(bool)
+            c, want = self._children(sym, places[-1], seed)
+            inside = np.flatnonzero(want & (self.v.band[self._out(c)] == band))
+            want[inside] = False
+            wanted.append(want)
+            symbols.append(c)
+            if not len(inside):
+                break
+            parent.append(inside + base)
+            base += len(sym)
+            keys.append(2 * c[inside])
+            places.append(places[-1][inside] - 1)
+        key, pos, parent, want, c = (np.concatenate(x) for x in (keys, places, parent, wanted, symbols))
+        # 2. Their order: by symbol, those that came first, then by the rank of the sender, which settles in as many rounds as senders follow one another.
+        n = len(key)
+        if n > known:
+            late = np.arange(known, n)
+            second = np.arange(n)
+            rank = np.empty(n, np.int64)
+            while True:
+                order = np.argsort(key * (2 * n) + second, kind="stable")
+                rank[order] = np.arange(n)
+                moved = known + rank[parent[late]]
+                if (moved == second[late]).all():
+                    break
+                second[late] = moved
+            key, pos, parent, want, c = key[order], pos[order], parent[order], want[order], c[order]
+            parent = np.where(parent < 0, -1, rank[parent])
+            val = np.append(val, np.full(n - known, EQUAL, np.uint8))[order]
+        sym, seed = key >> 1, (key & 1).astype(bool)
+        val = self._fixed(sym, val, seed)
+        # 3. Prefix values of those sent within the band, from the greatest downwards until none changes.
+        if n > known:
+            at = np.flatnonzero(parent >= 0)
+            at = at[(at > 0) & (sym[at] == sym[at - 1])]
+            prev = parent[at - 1]
+            s = sym[at]
+            old = self.last[s] >= 0
+            seen = np.minimum(np.searchsorted(self.low_at[:256], self.last[s].astype(np.int64) + 1), 255).astype(np.uint8)
+            bound = np.where(prev >= 0, EQUAL, np.where(old, np.minimum(self.tail[s], seen), EQUAL)).astype(np.uint8)
+            first, last = np.where(prev >= 0, prev + 1, 0), parent[at]
+            longest = int((last - first).max()) + 1 if len(at) else 1
+            while len(at):
+                least = np.minimum(Ranges(val, longest).least(first, last), bound)
+                got = np.where(least == EQUAL, EQUAL, np.minimum(least.astype(np.int64) + self.length[s], self.v.depth)).astype(np.uint8)
+                if (got == val[at]).all():
+                    break
+                val[at] = got
+        yield self._out(sym), pos, val, ~seed
+        cs, cp, cv = self._place(sym, pos, val, seed, c, want)
+        self.wait.push(self._out(cs), cp, cv)
 
 
 def _names(v: Level) -> tuple:

@@ -32,7 +32,7 @@ from orrery.llm.blocks import Block, each_block, packed, shared_seeds, unpack, w
 from orrery.llm.induced_sorting import MEMORY, suffixes
 from orrery.storage import discard, shared_dir, stored
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 REACH = 1024
 SHARD_BYTES = 4 << 20
 PIECE = 1 << 16  # bytes hashed at once
@@ -89,23 +89,17 @@ def block_seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if n < LENGTH:
         return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     h, at = seeds_of(block.text)
-    inside = np.zeros(len(h), bool)  # windows that do not run into the next document
-    ok = (block.sizes >= LENGTH) & block.known
-    mark = np.zeros(len(h) + 1, np.int32)
-    np.add.at(mark, block.starts[ok], 1)
-    np.add.at(mark, (block.starts + block.sizes - LENGTH + 1)[ok], -1)
-    inside = np.cumsum(mark[:-1]) > 0
-    w = np.flatnonzero(inside)
-    if not len(w):
+    ok = np.flatnonzero((block.sizes >= LENGTH) & block.known)
+    count = block.sizes[ok] - LENGTH + 1  # windows that do not run into the next document
+    total = int(count.sum())
+    if not total:
         return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
-    doc = np.searchsorted(block.starts, w, "right") - 1
-    # documents of no bytes share their start with the next one; the last of them holds it
-    new = np.append(True, (at[w][1:] != at[w][:-1]) | (doc[1:] != doc[:-1]))
-    head = np.flatnonzero(new)
-    first = w[head]
-    size = np.diff(np.append(head, len(w)))
-    doc = doc[head]
-    return h[first].view(np.uint64) >> np.uint64(16), doc, at[first] - block.starts[doc], first, size
+    doc = np.repeat(ok, count)
+    w = np.arange(total) + np.repeat(block.starts[ok] - np.cumsum(count) + count, count)
+    at = at[w]
+    head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
+    first, doc = w[head], doc[head]
+    return h[first].view(np.uint64) >> np.uint64(16), doc, at[head] - block.starts[doc], first, np.diff(np.append(head, total))
 
 
 def _groups(ids: np.ndarray, place: np.ndarray) -> np.ndarray:

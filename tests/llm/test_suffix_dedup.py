@@ -63,6 +63,7 @@ def test_suffixes_and_prefix_values_equal_brute_force():
 def test_bands_of_many_symbols_and_spilled_queues(tmp_path, monkeypatch):
     monkeypatch.setattr(ind, "PLAIN", 1)
     monkeypatch.setattr(ind, "CHUNK", 16)
+    monkeypatch.setattr(ind, "BAND", 20)
     stats = {}
     for k, t in enumerate(strings(40)):
         check(t, (3, 50, 200)[k % 3], memory=100, spill=str(tmp_path), stats=stats)
