@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from orrery.storage import stored
 
 BLOCK_BYTES = 4 << 20
-PART_BYTES = 24 << 20  # of text whose seeds are one part's on average
+PART_BYTES = 8 << 20  # of text whose seeds are one part's on average
 BLOCKS = "block long, n_bytes long, ids binary, known binary, sizes binary, texts binary"
 
 

@@ -29,7 +29,7 @@ from pyarrow import fs
 MEMORY = 4 << 20
 EQUAL = 255  # prefix value of strings known to be equal to their ends
 CHUNK = 1 << 16  # suffixes that a sweep places at once
-BAND = 1 << 14  # suffixes of a band of several symbols, about
+BAND = 1 << 13  # suffixes of a band of several symbols, about
 PLAIN = 512  # alphabets up to this size have a band for every symbol
 _LOG = np.zeros(CHUNK + 2, np.uint8)
 for _i in range(2, len(_LOG)):

@@ -7,7 +7,8 @@ put in the 70 cells named by four of its bands. Pairs that meet in a cell pass t
 
 Only distinct fingerprints enter the grid. A cell does not list its pairs: a search that takes every found neighbour out
 of the rest leaves a spanning forest of the cell's links, so a cell of near copies costs about its size. Cells of over
-``BLOCK`` fingerprints are dealt in blocks, and pairs of blocks are searched as separate rows; connectivity is exact either way.
+``BLOCK`` fingerprints are divided again by halves of the bands that need not agree; only what is still crowded then is dealt in blocks, and
+pairs of blocks are searched as separate rows. Connectivity is exact in each case.
 
 Results in the odd cases: null or wordless text has fingerprint 0 and links like any other; fewer than four words are one
 shingle; repeated rows share a component; a null id never is a component's name unless all its ids are null; an empty
@@ -31,6 +32,7 @@ DISTANCE = 4
 SHINGLE = 4
 BANDS, SAME = 8, 4
 BLOCK = 4096
+SPREAD = 20_000  # fingerprints of a task that puts them in cells
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)]), False)
@@ -110,43 +112,71 @@ def _forest(groups: pd.Series) -> pd.Series:
     return pd.Series([[{"a": a, "b": b} for a, b in forest(np.asarray(g, np.int64))] for g in groups])
 
 
+def _refined(members: DataFrame) -> DataFrame:
+    """Members (combo, cell, fp) of crowded cells to smaller ones. In a cell four bands agree and the others differ by ``DISTANCE`` at most, so
+    of the eight halves of those others some four agree too: 70 cells again, named by the halves as well."""
+    table = []
+    for combo, bands in enumerate(combinations(range(BANDS), SAME)):
+        halves = [8 * b + 4 * h for b in range(BANDS) if b not in bands for h in (0, 1)]
+        table += [(combo, sub, _signed(sum(0xF << at for at in four))) for sub, four in enumerate(combinations(halves, SAME))]
+    masks = members.sparkSession.createDataFrame(table, "combo int, sub int, mask long")  # 70 x 70 rows, always
+    return members.join(F.broadcast(masks), "combo").select("combo", "cell", "sub", segment_counts(F.col("fp")).bitwiseAND(F.col("mask")).alias("half"), "fp")
+
+
+def _parts(grid: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells with up to ``BLOCK`` members as lists, and the members of the others."""
+    sizes = grid.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select(*by, F.ceil(F.col("n") * 2 / BLOCK).cast("long").alias("blocks"))
+    dealt = grid.join(sizes, by, "left")
+    few = dealt.filter("blocks is null").groupBy(*by).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    return few, dealt.filter("blocks is not null")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Distinct ``fp`` to links (a, b) whose components are those of all pairs within the distance."""
-    # Members are dealt by a hash to blocks whose number follows the count of all fingerprints that share the cell.
-    grid = cells(fps)
-    sizes = grid.groupBy("combo", "cell").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > BLOCK).select("combo", "cell", F.ceil(F.col("n") * 2 / BLOCK).cast("long").alias("blocks"))
-    dealt = grid.join(hot, ["combo", "cell"], "left").withColumn("block", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))))
-    held = dealt.groupBy("combo", "cell", "block").agg(F.collect_list("fp").alias("fps"), F.max("blocks").alias("blocks"))
-    within = held.filter(F.size("fps") > 1).select("fps")
-    big = held.filter(F.col("blocks").isNotNull())
-    a, b = big.select("combo", "cell", "block", "fps"), big.select("combo", "cell", F.col("block").alias("_block"), F.col("fps").alias("_fps"))
-    across = a.join(b, ["combo", "cell"]).filter("block < _block").select(F.concat("fps", "_fps").alias("fps"))
-    found = within.unionByName(across).select(F.explode(_forest("fps")).alias("l"))
-    return found.select("l.a", "l.b").distinct()
+    few, crowded = _parts(cells(fps), ["combo", "cell"])
+    crowded = stored(crowded.select("combo", "cell", "fp"), "crowded")
+    found = few
+    if not crowded.isEmpty():
+        by = ["combo", "cell", "sub", "half"]
+        small, rest = _parts(_refined(crowded), by)
+        # What is left agrees in 24 of 32 segments' counts; pairs of blocks of such a cell are searched as rows of their own.
+        held = rest.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))).groupBy(*by, "block").agg(F.collect_list("fp").alias("fps"))
+        a, b = held, held.select(*by, F.col("block").alias("_block"), F.col("fps").alias("_fps"))
+        across = a.join(b, by).filter("block < _block").select(F.concat("fps", "_fps").alias("fps"))
+        found = found.unionByName(small).unionByName(held.filter(F.size("fps") > 1).select("fps")).unionByName(across)
+    return found.select(F.explode(_forest("fps")).alias("l")).select("l.a", "l.b").distinct()
 
 
 def with_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, fp (long), component_id (smallest key reachable)."""
     marked = stored(docs.select(F.col(key).alias("id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     named = class_names(marked)
-    return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
+    return marked.join(named.select("fp", "component_id"), "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
 def class_names(marked: DataFrame) -> DataFrame:
-    """``id, fp`` rows to ``fp, root, component_id`` for every distinct fingerprint."""
-    fps = marked.groupBy("fp").agg(F.min("id").alias("id"))
-    roots = components(links(fps.select("fp")))
-    own = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy("root").agg(F.min("id").alias("component_id"))
-    return own.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    """``id, fp`` rows to ``fp, id, root, component_id`` for every distinct fingerprint, stored. id: its smallest; root: the fingerprint that
+    holds the component's smallest id.
+
+    Nodes are (no id, smallest id, fingerprint), so the smallest node that a component reaches names it, and no join by
+    component is needed. The grid's input is spread by a count that follows its rows, not by its few bytes.
+    """
+    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+    n = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() // SPREAD))
+    near = links(fps.select("fp").repartition(n, "fp"))
+    node = lambda side: fps.select(F.col("fp").alias(side), F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias(f"n{side}"))
+    roots = components(near.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    roots = roots.select(F.col("node.fp").alias("fp"), F.col("root.fp").alias("root"), F.col("root.id").alias("component_id"))
+    named = fps.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return stored(named, "names")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component (smallest key, then smallest text); its columns stay."""
+    """One row of each component (smallest key, then smallest fingerprint, then smallest text); its columns stay."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marked = stored(docs.select(F.struct(*columns).alias("row"), F.col(key).alias("id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     named = class_names(marked.select("id", "fp"))
-    first = marked.join(named, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    n = F.row_number().over(Window.partitionBy("root").orderBy("id", F.col(f"row.`{text}`"), F.to_json("row")))
-    return first.withColumn("n", n).filter("n = 1").select("row.*")
+    first = named.filter(F.col("fp") == F.col("root")).select(F.col("fp").alias("_fp"), F.col("id").alias("_id"))
+    rows = marked.join(first, (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
+    n = F.row_number().over(Window.partitionBy("fp").orderBy(F.col(f"row.`{text}`"), F.to_json("row")))
+    return rows.withColumn("n", n).filter("n = 1").select("row.*")

@@ -33,7 +33,7 @@ from orrery.llm.induced_sorting import MEMORY, suffixes
 from orrery.storage import discard, shared_dir, stored
 
 LENGTH, GRAM = 50, 24
-REACH = 1024
+REACH = 2048
 SHARD_BYTES = 4 << 20
 PIECE = 1 << 16  # bytes hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
