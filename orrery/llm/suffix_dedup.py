@@ -56,13 +56,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def seeds_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: hash and place of its seed."""
+def seed_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows that have one seed: its hash and place, and the first window; a run may be cut where a piece of the text ends."""
     n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hs, at = [], []
-    for a in range(0, n, PIECE):
+    hs, at, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, max(n, 0), PIECE):
         m = min(PIECE, n - a)
         b = np.frombuffer(data, np.uint8, m + length - 1, a)
         s = np.zeros(len(b) + 1, np.uint64)
@@ -77,29 +75,31 @@ def seeds_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
             width *= 2
         if width < spread:
             least = np.minimum(least[: len(least) - (spread - width)], least[spread - width :])
-        place = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
+        head = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        place = (least[head] & np.uint64((1 << 20) - 1)).astype(np.int64)
         hs.append(h[place].view(np.int64))
         at.append(place + a)
-    return np.concatenate(hs), np.concatenate(at)
+        first.append(head + a)
+    return np.concatenate(hs), np.concatenate(at), np.concatenate(first)
 
 
 def block_seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one seed: hash (48 bits), document, seed's place in it, first window's place in the block, number of windows."""
-    n = len(block.text)
-    if n < LENGTH:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
-    h, at = seeds_of(block.text)
-    ok = np.flatnonzero((block.sizes >= LENGTH) & block.known)
-    count = block.sizes[ok] - LENGTH + 1  # windows that do not run into the next document
-    total = int(count.sum())
-    if not total:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
-    doc = np.repeat(ok, count)
-    w = np.arange(total) + np.repeat(block.starts[ok] - np.cumsum(count) + count, count)
-    at = at[w]
-    head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
-    first, doc = w[head], doc[head]
-    return h[first].view(np.uint64) >> np.uint64(16), doc, at[head] - block.starts[doc], first, np.diff(np.append(head, total))
+    h, at, first = seed_runs(block.text)
+    end = np.append(first[1:], max(0, len(block.text) - LENGTH + 1))[: len(first)]
+    stop = np.where(block.known, block.starts + block.sizes - LENGTH + 1, 0)  # of a document's windows
+
+    def within(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum(first, block.starts[doc]), np.minimum(end, stop[doc])
+
+    # A run is shorter than the windows between two documents' own, so it has windows of one document at most: that of its first or its last.
+    one, two = (np.searchsorted(block.starts, x, "right") - 1 for x in (first, end - 1))
+    (s1, e1), (s2, e2) = within(one), within(two)
+    mine = e1 > s1
+    doc, s, e = np.where(mine, one, two), np.where(mine, s1, s2), np.where(mine, e1, e2)
+    ok = e > s
+    doc, s = doc[ok], s[ok]
+    return h[ok].view(np.uint64) >> np.uint64(16), doc, at[ok] - block.starts[doc], s, e[ok] - s
 
 
 def _groups(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
