@@ -18,5 +18,13 @@ def mapped(key: Column, names: dict) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key], key.cast("string"))
 
 
+def replaced(value: Column, names: dict) -> Column:
+    """Old names become new ones; any other value, null too, stays."""
+    out = value
+    for old, new in names.items():
+        out = F.when(value == old, F.lit(new)).otherwise(out)
+    return out
+
+
 def near(a: Column, b: float, tol: float = 1e-6) -> Column:
     return F.abs(a - F.lit(b)) < tol

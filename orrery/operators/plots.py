@@ -16,15 +16,15 @@ def polar_bounds(scored: DataFrame, by: list[str], rho: tuple[float, float] | No
         inner, outer = (F.max("r") * p for p in rho)
     b = scored.groupBy(*by).agg(F.max("r").alias("r"), inner.alias("r_inner"), outer.alias("r_outer"), F.max(F.when(g != "target_fault", d)).alias("_m"))
     b = b.select(*by, "r", "r_inner", "r_outer", (F.greatest("r", "r_outer", "_m") * 1.3).alias("r_max"))
-    faults = scored.filter(g == "target_fault").select(*by, "d").join(F.broadcast(b.select(*by, "r_max")), by)
+    faults = scored.filter(g == "target_fault").select(*by, "d").join(b.select(*by, "r_max"), by)
     n = faults.groupBy(*by).agg(F.sum((F.col("d") > F.col("r_max")).cast("long")).alias("n_clipped"))
     return b.join(n, by, "left").withColumn("n_clipped", F.coalesce("n_clipped", F.lit(0)))
 
 
 def polar_points(scored: DataFrame, by: list[str], key: str, per_group: int = 500) -> DataFrame:
-    """At most ``per_group`` points of each run and group, chosen and turned by a hash of their key."""
-    h = F.xxhash64(F.col(key))
-    turn = F.pmod(h, F.lit(1_000_003)) / 1_000_003 * 6.283185307179586
+    """At most ``per_group`` points of each run and group, chosen and turned by the MD5 of their key."""
+    h = F.md5(F.col(key).cast("string").cast("binary"))
+    turn = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0 * 6.283185307179586
     w = Window.partitionBy(*by, "grp").orderBy("_h", key)
     rows = scored.withColumn("_h", h).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_group)
     return rows.select(*by, "grp", key, (F.col("d") * F.cos(turn)).alias("px"), (F.col("d") * F.sin(turn)).alias("py"))

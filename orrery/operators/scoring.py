@@ -12,6 +12,7 @@ from orrery.functions.arrays import mean_vector, sq_dist
 from orrery.functions.kernels import Kernel
 
 SKIP, ADAPT, ANOMALY = 0, 1, 2
+EPS = 10 * float(np.finfo(np.float32).eps)
 
 
 def center_model(train: DataFrame, dim: int, x: str = "x") -> DataFrame:
@@ -58,14 +59,25 @@ def kernel_pairs(a: DataFrame, b: DataFrame, kernel: Kernel, key: str = "vec_id"
     return left.crossJoin(right).select("i", "j", kernel.column(F.col("_a"), F.col("_b")).alias("k"))
 
 
-def top_alpha(vectors: DataFrame, n: int, by: list[str], c: float) -> DataFrame:
-    """The n largest weights of each model, scaled to sum 1 and clipped to [0, c]."""
-    from pyspark.sql import Window
-
+def top_alpha(vectors: DataFrame, n: int, by: list[str], c: float, eps: float = EPS, rounds: int = 50) -> DataFrame:
+    """The n largest weights of each model, scaled to sum 1 and moved into [0, c]: clipped, then what is missing spread over weights strictly
+    between the bounds, and again, as ``svdd.to_capped_simplex`` has it. A model's weights are an array of n, folded in the JVM."""
     w = Window.partitionBy(*by).orderBy(F.desc("alpha"), "sv_idx")
     kept = vectors.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    scaled = F.col("alpha") / F.sum("alpha").over(Window.partitionBy(*by))
-    return kept.withColumn("alpha", F.least(scaled, F.lit(c)))
+    rows = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", *[x for x in vectors.columns if x not in by]))).alias("_v"))
+    clip = lambda a: F.transform(a, lambda x: F.greatest(F.least(x, F.lit(c)), F.lit(0.0)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    open_ = lambda x: (x > 0) & (x < c - eps)
+
+    def spread(a: Column) -> Column:
+        lack, k = F.lit(1.0) - total(a), F.size(F.filter(a, open_))
+        more = F.transform(F.array(F.struct(lack.alias("lack"), k.alias("k"))), lambda t: F.when((F.abs(t["lack"]) <= eps) | (t["k"] == 0), a).otherwise(clip(F.transform(a, lambda x: F.when(open_(x), x + t["lack"] / F.greatest(t["k"], F.lit(1))).otherwise(x)))))
+        return more[0]
+
+    first = F.transform(F.array(F.transform("_v", lambda v: v["alpha"].cast("double"))), lambda a: F.transform(F.array(total(a)), lambda s: clip(F.transform(a, lambda x: x / s)))[0])[0]
+    done = rows.withColumn("_a", first).withColumn("_a", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("_a"), lambda a, _: spread(a)))
+    flat = done.select(*by, F.explode(F.arrays_zip("_v", "_a")).alias("_r")).select(*by, "_r._v.*", F.col("_r._a").alias("_new"))
+    return flat.withColumn("alpha", F.col("_new")).drop("_new")
 
 
 BROADCAST_BYTES = 128 << 20

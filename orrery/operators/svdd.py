@@ -7,16 +7,17 @@ most ``capacity`` vectors and no kernel matrix: the two kernel rows a step needs
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.kernels import Kernel
+from orrery.operators.scoring import EPS
 from orrery.schemas import SUPPORT_VECTORS
 
-EPS = 10 * float(np.finfo(np.float32).eps)
 
 
 def box_from_nu(n: int, nu: float) -> float:
@@ -29,6 +30,11 @@ def buffer_size(n_source: int, n_stream: int, c: float, cap: int = 5000) -> int:
     return max(min(n_source + n_stream, cap), math.ceil(1.0 / c) + 1)
 
 
+def buffer_size_column(n_source: Column, n_stream: Column, c: Column, cap: int = 5000) -> Column:
+    """``buffer_size`` of columns; 1 / c is rounded at the ninth place, as it stands for nu times a count."""
+    return F.greatest(F.least(n_source + n_stream, F.lit(cap)), F.ceil(F.round(1 / c, 9)) + 1).cast("long")
+
+
 def warmup_length(n_normal: int, share: float = 0.10) -> int:
     return int(n_normal * share)
 
@@ -133,7 +139,7 @@ class Description:
         d._refresh()
         return d
 
-    def update(self, row: np.ndarray, inner_iter: int = 10) -> None:
+    def update(self, row: np.ndarray, inner_iter: int = 10, tol: float = 1e-3) -> None:
         """Take one vector in: a free slot, or the slot of the smallest weight; then steps that involve the new vector."""
         row = np.asarray(row, np.float64)
         own = float(self.kernel.diag(row[None])[0])
@@ -170,7 +176,7 @@ class Description:
             if not moves:
                 break
             gap, i, j = max(moves, key=lambda m: m[0])
-            if gap < 1e-3:
+            if gap < tol:
                 break
             other = j if i == new else i
             k_other = self._row(self.x[other])
@@ -225,25 +231,52 @@ def fit_scenarios(train: DataFrame, kernel: Kernel, nu: float = 0.1, max_iter: i
     return train.select(train[by].cast("string").alias(by), order, x).groupBy(by).applyInPandas(fit, schema)
 
 
-def replay(stream: DataFrame, train: DataFrame, kernel: Kernel, nu: float = 0.1, rho: tuple[float, float] | None = (0.5, 1.5), warmup_share: float = 0.10, cap: int = 5000, inner_iter: int = 10, by: str = "scenario_id") -> DataFrame:
-    """Fit on each scenario's training rows and decide its stream in order. ``stream``: key, stream_pos, y_true, x."""
-    out = f"{by} string, stream_pos long, decision int, score double, y_true int, r_trace double, r_pretrain double"
+RUN = (
+    "kind string, stream_pos long, decision int, score double, y_true int, r_trace double, latency_s double, r_pretrain double, r_final double, "
+    "sv_idx int, alpha double, x array<double>, c double, r2 double, center_norm_sq double, n_warmup long, buffer_size long"
+)
+
+
+def replay_run(stream: DataFrame, train: DataFrame, kernel: Kernel, nu: float = 0.1, rho: tuple[float, float] | None = (0.5, 1.5), warmup_share: float = 0.10, cap: int = 5000, inner_iter: int = 10, by: str = "scenario_id", max_iter: int = 1000, tol: float = 1e-3) -> DataFrame:
+    """Fit on each scenario's training rows and decide its stream in order. ``stream``: key, stream_pos, y_true, x.
+
+    Rows of two kinds: ``step``, a decision with the time it took, and ``vector``, a vector of the model as the stream leaves it. Both
+    repeat the run's constants. A scenario without two training rows, or without a stream, has none.
+    """
+    out = f"{by} string, {RUN}"
+    columns = [c.split()[0] for c in out.split(", ")]
 
     def run(key: tuple, fit_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in out.split(", ")]
         if len(fit_rows) < 2 or not len(rows):
             return pd.DataFrame(columns=columns)
         rows = rows.sort_values("stream_pos")
-        policy = Policy.start(np.stack(fit_rows.sort_values("vec_id")["x"].to_list()), kernel, nu, rho, int((rows["y_true"] == 0).sum()), len(rows), warmup_share, cap, inner_iter)
-        got = [policy.step(np.asarray(v, float)) for v in rows["x"]]
-        res = pd.DataFrame(got, columns=["decision", "score", "r_trace"])
-        res[by], res["stream_pos"], res["y_true"], res["r_pretrain"] = key[0], rows["stream_pos"].to_numpy(), rows["y_true"].to_numpy(), policy.r_pretrain
+        policy = Policy.start(np.stack(fit_rows.sort_values("vec_id")["x"].to_list()), kernel, nu, rho, int((rows["y_true"] == 0).sum()), len(rows), warmup_share, cap, inner_iter, max_iter, tol)
+        got = []
+        for v in rows["x"]:
+            row = np.asarray(v, float)
+            start = time.perf_counter()
+            code = policy.act(row)
+            took = time.perf_counter() - start
+            got.append((code, *policy.state(row), took))
+        steps = pd.DataFrame(got, columns=["decision", "score", "r_trace", "latency_s"]).assign(kind="step", x=None, stream_pos=rows["stream_pos"].to_numpy(), y_true=rows["y_true"].to_numpy())
+        m = policy.model
+        vectors = pd.DataFrame({"kind": "vector", "sv_idx": np.arange(len(m.alpha)), "alpha": m.alpha, "x": list(m.x)})
+        res = pd.concat([steps, vectors], ignore_index=True)
+        res = res.assign(**{by: key[0], "r_pretrain": policy.r_pretrain, "r_final": math.sqrt(max(m.r2, 0)), "c": m.c, "r2": m.r2, "center_norm_sq": m.norm2, "n_warmup": policy.warmup, "buffer_size": m.capacity})
+        for name in ("stream_pos", "decision", "y_true", "sv_idx"):
+            res[name] = res[name].astype("Int64")
         return res[columns]
 
     # fresh attributes: both sides may come from one table, whose columns a cogroup would confuse
     return fresh(train).groupBy(by).cogroup(fresh(stream).groupBy(by)).applyInPandas(run, out)
 
 
+def replay(stream: DataFrame, train: DataFrame, kernel: Kernel, nu: float = 0.1, rho: tuple[float, float] | None = (0.5, 1.5), warmup_share: float = 0.10, cap: int = 5000, inner_iter: int = 10, by: str = "scenario_id") -> DataFrame:
+    """The decisions of ``replay_run``."""
+    steps = replay_run(stream, train, kernel, nu, rho, warmup_share, cap, inner_iter, by).filter("kind = 'step'")
+    return steps.select(by, "stream_pos", "decision", "score", "y_true", "r_trace", "r_pretrain")
+
+
 def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
@@ -258,15 +291,16 @@ class Policy:
     inner_iter: int
     r_pretrain: float
     seen: int = 0
+    tol: float = 1e-3
 
     @staticmethod
-    def start(train: np.ndarray, kernel: Kernel, nu: float, rho: tuple[float, float] | None, n_normal: int, n_stream: int, share: float, cap: int, inner_iter: int) -> Policy:
+    def start(train: np.ndarray, kernel: Kernel, nu: float, rho: tuple[float, float] | None, n_normal: int, n_stream: int, share: float, cap: int, inner_iter: int, max_iter: int = 1000, tol: float = 1e-3) -> Policy:
         c = box_from_nu(len(train), nu)
-        m = Description.fit(train, kernel, c).bounded(buffer_size(len(train), n_stream, c, cap))
-        return Policy(m, rho, warmup_length(n_normal, share), inner_iter, math.sqrt(max(m.r2, 0)))
+        m = Description.fit(train, kernel, c, max_iter, tol).bounded(buffer_size(len(train), n_stream, c, cap))
+        return Policy(m, rho, warmup_length(n_normal, share), inner_iter, math.sqrt(max(m.r2, 0)), tol=tol)
 
-    def step(self, row: np.ndarray) -> tuple[int, float, float]:
-        """The decision by the model as it was; score and radius by the model as it is after."""
+    def act(self, row: np.ndarray) -> int:
+        """The decision by the model as it was, and what follows from it; this is what latency measures."""
         d2 = float(self.model.d2(row)[0])
         if self.seen < self.warmup:
             code = 1
@@ -276,9 +310,16 @@ class Policy:
             inner, outer = (p * self.r_pretrain for p in self.rho)
             code = 0 if d2 < inner**2 else 2 if d2 > outer**2 else 1
         if code == 1:
-            self.model.update(row, self.inner_iter)
+            self.model.update(row, self.inner_iter, self.tol)
         self.seen += 1
-        return code, float(self.model.r2 - self.model.d2(row)[0]), math.sqrt(max(self.model.r2, 0))
+        return code
+
+    def step(self, row: np.ndarray) -> tuple[int, float, float]:
+        """The decision by the model as it was; score and radius by the model as it is after."""
+        return self.act(row), *self.state(row)
+
+    def state(self, row: np.ndarray) -> tuple[float, float]:
+        return float(self.model.r2 - self.model.d2(row)[0]), math.sqrt(max(self.model.r2, 0))
 
 
 def support_vectors(fitted: DataFrame) -> DataFrame:

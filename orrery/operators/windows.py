@@ -56,6 +56,12 @@ def target_order(windows: DataFrame, by: list[str]) -> DataFrame:
     return windows.withColumn("stream_pos", F.row_number().over(w).cast("long") - 1)
 
 
+def shuffled(rows: DataFrame, by: list[str], key: list[str], seed: int = 42) -> DataFrame:
+    """``shuffle_pos`` within ``by``: the order of a seeded hash of the key, then the key. The same on every run and for any partitioning."""
+    h = F.md5(F.concat_ws("#", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+    return rows.withColumn("shuffle_pos", F.row_number().over(Window.partitionBy(*by).orderBy(h, *key)).cast("long") - 1)
+
+
 def order_violations(stream: DataFrame, by: list[str]) -> DataFrame:
     """Rows where the label falls or a fault block reopens; an ordered stream has none."""
     w = Window.partitionBy(*by).orderBy("stream_pos")
@@ -68,4 +74,4 @@ def order_violations(stream: DataFrame, by: list[str]) -> DataFrame:
 def scenario_pairs(domains: DataFrame) -> DataFrame:
     """Ordered pairs of distinct domains; the domain list is a handful of configuration rows."""
     a, b = domains.select(F.col("domain").alias("source")), domains.select(F.col("domain").alias("target"))
-    return a.join(F.broadcast(b), F.col("source") != F.col("target"))
+    return a.join(b, F.col("source") != F.col("target"))

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.config import Dataset, Solver
 from orrery.functions.arrays import dot, sq_norm
 from orrery.functions.cepstrum import window_features
 from orrery.functions.kernels import Kernel
-from orrery.operators import evaluation as ev, svdd, windows as win
+from orrery.functions.numbers import replaced
+from orrery.operators import distribution, evaluation as ev, plots, scoring, svdd, windows as win
 from orrery.sources import artifacts
 from orrery.storage import stored
 
 KEY = ["kernel", "dataset", "scenario_id", "source", "target", "prep"]
 GROUPS = ["source_train", "source_val", "target_normal", "target_fault"]
+PREP_RENAMED = {"p6_stat": "p6_tds"}  # fixed value: an earlier name of a preprocessing in stored runs
 
 
 def feature_table(signals: DataFrame, window: int, lifter_n: int | None, ratios: tuple[float, ...]) -> DataFrame:
-    """Windows of the temporal chunks (as a source) and of whole signals (as a target, split ``target``), with features."""
+    """Windows of the temporal chunks (as a source) and of whole signals (as a target, split ``target``), with features.
+
+    Windows are spread before Python reads them: a few long signals would otherwise feed a few tasks.
+    """
     parts = win.temporal_split(signals, ratios).select("signal_id", "domain", "fault_type", "is_anomaly", "split", "data")
     whole = signals.select("signal_id", "domain", "fault_type", "is_anomaly", F.lit("target").alias("split"), "data")
-    w = win.sliding_windows(parts.filter("split <> 'test'").unionByName(whole), window)
+    w = win.sliding_windows(parts.filter("split <> 'test'").unionByName(whole), window).repartition("signal_id", "win_idx")
     f = window_features(w, lifter_n).withColumn("x", F.col("features").cast("array<double>")).drop("features")
     return f.withColumn("vec_id", F.col("signal_id") * 1_000_000_000 + F.col("win_idx"))
 
@@ -28,63 +33,123 @@ def feature_table(signals: DataFrame, window: int, lifter_n: int | None, ratios:
 def scenario_tables(features: DataFrame, source: int | None = None, target: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Feature rows of every (source, target) pair by group, and the target streams in order."""
     pairs = win.scenario_pairs(features.select("domain").distinct())
-    if source is not None:
-        pairs = pairs.filter(F.col("source") == source)
-    if target is not None:
-        pairs = pairs.filter(F.col("target") == target)
-    pairs = F.broadcast(pairs.withColumn("scenario_id", F.concat_ws("_to_", F.col("source").cast("string"), F.col("target").cast("string"))))
+    for name, wanted in (("source", source), ("target", target)):
+        if wanted is not None:
+            pairs = pairs.filter(F.col(name) == wanted)
+            if pairs.isEmpty():
+                raise ValueError(f"no scenario with {name} {wanted}")
+    pairs = pairs.withColumn("scenario_id", F.concat_ws("_to_", F.col("source").cast("string"), F.col("target").cast("string")))
     src = features.filter("split in ('train', 'val')").join(pairs, F.col("domain") == F.col("source")).withColumn("grp", F.when(F.col("split") == "train", "source_train").otherwise("source_val"))
     tgt = features.filter("split = 'target'").join(pairs, F.col("domain") == F.col("target")).withColumn("grp", F.when(F.col("is_anomaly") == 0, "target_normal").otherwise("target_fault"))
     return src.unionByName(tgt), win.target_order(tgt, ["scenario_id"]).withColumn("y_true", F.col("is_anomaly"))
 
 
-def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Distance of every row to its scenario's linear model: the support vectors collapse to one centre a scenario."""
+def distances(rows: DataFrame, vectors: DataFrame, models: DataFrame, kernel: Kernel) -> DataFrame:
+    """Distance ``d`` of every row to its scenario's model, and its radius ``r``. ``models``: scenario_id, r2, center_norm_sq.
+
+    Under the linear kernel the vectors collapse to one centre a scenario; any other kernel goes through ``scoring.kernel_distances``.
+    """
+    if kernel.name != "linear":
+        d = scoring.kernel_distances(rows, vectors, kernel).join(models.select("scenario_id", "r2"), "scenario_id")
+        return d.withColumns({"d": F.sqrt("d2"), "r": F.sqrt(F.greatest("r2", F.lit(0.0)))})
     dim = F.posexplode("x").alias("pos", "v")
-    c = svdd.support_vectors(fitted).select("scenario_id", "alpha", dim).groupBy("scenario_id", "pos").agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
+    c = vectors.select("scenario_id", "alpha", dim).groupBy("scenario_id", "pos").agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
     center = c.groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("center"))
-    model = fitted.groupBy("scenario_id").agg(F.first("r2").alias("r2"), F.first("center_norm_sq").alias("norm2")).join(center, "scenario_id")
-    d2 = F.greatest(sq_norm(F.col("x")) - 2 * dot(F.col("x"), F.col("center")) + F.col("norm2"), F.lit(0.0))
+    model = models.select("scenario_id", "r2", F.col("center_norm_sq").alias("norm2")).join(center, "scenario_id")
+    # the constant of the linear kernel cancels, as weights add up to 1
+    d2 = F.greatest(sq_norm(F.col("x")) - 2 * dot(F.col("x"), F.col("center")) + sq_norm(F.col("center")), F.lit(0.0))
     return rows.join(model, "scenario_id").withColumns({"d": F.sqrt(d2), "r": F.sqrt(F.greatest("r2", F.lit(0.0)))}).drop("center", "norm2")
 
 
+def shift_distances(rows: DataFrame, final: DataFrame) -> DataFrame:
+    """Per scenario: squared MMD of the features of source_train and target_normal under an RBF kernel with the median heuristic of both,
+    and the Wasserstein-1 distance of their distances under the final model. Each scenario's two sides are all pairs by definition."""
+    pool = rows.filter("grp in ('source_train', 'target_normal')").select("scenario_id", "vec_id", "grp", "x")
+    found = None
+    for r in pool.select("scenario_id").distinct().orderBy("scenario_id").collect():  # a handful of configured pairs of domains
+        mine = pool.filter(F.col("scenario_id") == r.scenario_id).withColumn("vec_id", F.col("vec_id") * 2 + (F.col("grp") == "source_train").cast("long"))
+        gamma = distribution.median_gamma(mine).first().gamma
+        m = distribution.mmd2(mine.filter("grp = 'source_train'"), mine.filter("grp = 'target_normal'"), float(gamma)).withColumn("scenario_id", F.lit(r.scenario_id))
+        found = m if found is None else found.unionByName(m)
+    sides = final.filter("grp in ('source_train', 'target_normal')").withColumn("side", F.when(F.col("grp") == "source_train", "a").otherwise("b"))
+    w = distribution.wasserstein(sides, ["scenario_id"], "side", "d").withColumnRenamed("w1", "wasserstein_1d_distance")
+    return w if found is None else w.join(found, "scenario_id", "full")
+
+
+def run_metrics(rows: DataFrame, models: DataFrame, run: DataFrame, shift: DataFrame, rho: tuple[float, float] | None) -> DataFrame:
+    """One record per scenario; a scenario whose fit failed has its error and nulls."""
+    n = lambda g: F.sum((F.col("grp") == g).cast("long")).alias(f"n_{g}")
+    counts = rows.groupBy("scenario_id").agg(n("source_train"), n("target_normal"), n("target_fault"), F.max(F.size("x")).alias("feature_dim"))
+    ends = run.groupBy("scenario_id").agg(*[F.first(c).alias(c) for c in ("r_pretrain", "r_final", "n_warmup", "buffer_size")], F.sum((F.col("kind") == "vector").cast("int")).cast("int").alias("n_sv"))
+    out = counts.join(ends, "scenario_id", "left").join(shift, "scenario_id", "left").join(models.select("scenario_id", "error"), "scenario_id", "left")
+    inner, outer = rho or (None, None)
+    extra = {"otta_mode": F.lit("dual_boundary" if rho else "single_boundary"), "rho_inner": F.lit(inner).cast("double"), "rho_outer": F.lit(outer).cast("double")}
+    return out.withColumnRenamed("r_pretrain", "r").withColumns(extra)
+
+
 def run_experiment(spark: SparkSession, signals: DataFrame, dataset: Dataset, out: str, solver: Solver | None = None, source: int | None = None, target: int | None = None) -> None:
-    """Artifacts of all scenarios below ``out``: distances, stream and metrics, partitioned by run key. Scenarios run in parallel, one
-    task each; a scenario that can't be fitted leaves an error row in ``metrics``."""
+    """Artifacts of all scenarios below ``out``, partitioned by run key: distances before and after adaptation, stream with latencies, metrics,
+    and both models. Scenarios run in parallel, one task each; a scenario that can't be fitted leaves an error in ``metrics``."""
     solver = solver or Solver()
-    kernel = Kernel("linear") if solver.kernel == "linear" else Kernel(solver.kernel, solver.gamma or 1.0)
     rows, stream = scenario_tables(stored(feature_table(signals, dataset.window, dataset.lifter_n, solver.ratios), "features"), source, target)
+    rows, stream = stored(rows, "rows"), stored(stream.select("scenario_id", "stream_pos", "y_true", "x"), "stream")
     train = rows.filter("grp = 'source_train'").select("scenario_id", "vec_id", "x")
+    kernel = Kernel(solver.kernel, solver.gamma) if solver.gamma else distribution.make_kernel(solver.kernel, train)
     fitted = stored(svdd.fit_scenarios(train, kernel, solver.nu, solver.max_iter, solver.tol), "models")
+    models = svdd.model_rows(fitted, kernel)
     rho = dataset.rho if solver.mode == "dual" else None
-    decided = svdd.replay(stream.select("scenario_id", "stream_pos", "y_true", "x"), train, kernel, solver.nu, rho, solver.warmup_share, solver.buffer_cap, solver.inner_iter)
+    run = stored(svdd.replay_run(stream, train, kernel, solver.nu, rho, solver.warmup_share, solver.buffer_cap, solver.inner_iter, max_iter=solver.max_iter, tol=solver.tol), "run")
+    last = run.filter("kind = 'vector'").select("scenario_id", "sv_idx", "alpha", "x")
+    ends = run.groupBy("scenario_id").agg(F.first("r2").alias("r2"), F.first("center_norm_sq").alias("center_norm_sq"), F.first("c").alias("c"), F.sum((F.col("kind") == "vector").cast("int")).cast("int").alias("n_sv"))
     tag = {"kernel": F.lit(kernel.name), "dataset": F.lit(dataset.name), "source": F.substring_index("scenario_id", "_to_", 1), "target": F.substring_index("scenario_id", "_to_", -1), "prep": F.lit("cepstrum")}
-    if kernel.name == "linear":
-        d = distances(rows, fitted).withColumns(tag)
-        artifacts.write_partitioned(d.select(*KEY, "grp", "signal_id", "win_idx", "d", "r"), f"{out}/distances", KEY)
-    artifacts.write_partitioned(decided.withColumns(tag), f"{out}/stream", KEY)
-    artifacts.write_metrics(svdd.model_rows(fitted, kernel).withColumns({k: v for k, v in tag.items() if k != "kernel"}), f"{out}/metrics")
-    artifacts.save_model(svdd.model_rows(fitted, kernel), svdd.support_vectors(fitted), f"{out}/model")
-
-
-def evaluate_distances(spark: SparkSession, root: str, out: str, rho: tuple[float, float] = (0.5, 1.5)) -> None:
-    """Performance, confusion by data set, distance ratios and zone shares from stored distances."""
-    d = artifacts.read_partitioned(spark, f"{root}/distances").withColumn("y_true", (F.col("grp") == "target_fault").cast("int"))
+    radius = {"rho_inner": F.lit(rho[0] if rho else None).cast("double"), "rho_outer": F.lit(rho[1] if rho else None).cast("double")}
+    before = distances(rows, svdd.support_vectors(fitted), models, kernel)
+    after = stored(distances(rows, last, ends, kernel), "after")
+    for d, name in ((before, "distances"), (after, "distances_final")):
+        artifacts.write_partitioned(d.withColumns(tag | radius).select(*KEY, "grp", "signal_id", "win_idx", "d", "r", *radius), f"{out}/{name}", KEY)
+    steps = run.filter("kind = 'step'").select("scenario_id", "stream_pos", "decision", "score", "y_true", "r_trace", "latency_s", "r_pretrain", "r_final")
+    artifacts.write_partitioned(steps.withColumns(tag), f"{out}/stream", KEY)
+    metrics = run_metrics(rows, models, run, shift_distances(rows, after), rho).withColumns(tag)
+    artifacts.write_metrics(metrics, f"{out}/metrics")
+    artifacts.save_model(models, svdd.support_vectors(fitted), f"{out}/model")
+    final = ends.withColumns({"kernel": F.lit(kernel.name), "gamma": F.lit(kernel.gamma), "coef0": F.lit(kernel.coef0), "degree": F.lit(kernel.degree), "tier": F.lit(None).cast("int"), "iterations": F.lit(None).cast("int"), "gap": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
+    artifacts.save_model(final, last, f"{out}/model_final")
+
+
+def _of(df: DataFrame, kernel: str | None) -> DataFrame:
+    return df if kernel is None else df.filter(F.col("kernel") == kernel)
+
+
+def evaluate_distances(spark: SparkSession, root: str, out: str, rho: tuple[float, float] = (0.5, 1.5), kernel: str | None = None) -> None:
+    """Run metrics, performance, confusion by data set, distance ratios, zone shares, their trade-off and polar tables from stored runs."""
+    summary = ["kernel", "dataset", "scenario_id", "prep", "r", "mmd2", "wasserstein_1d_distance", "feature_dim", "n_source_train", "n_target_normal", "n_target_fault"]
+    metrics = _of(artifacts.read_metrics(spark, f"{root}/metrics"), kernel)
+    artifacts.write_report(metrics.orderBy(*KEY), f"{out}/run_metrics", None)
+    artifacts.write_report(metrics.select(*summary).orderBy("kernel", "dataset", "scenario_id", "prep"), f"{out}/domain_shift_performance", None)
+    d = _of(artifacts.read_partitioned(spark, f"{root}/distances"), kernel).withColumn("y_true", (F.col("grp") == "target_fault").cast("int"))
     judged = d.filter("grp in ('source_val', 'target_normal', 'target_fault')").withColumns({"y_pred": (F.col("d") > F.col("r")).cast("int"), "score": F.col("d")})
-    perf = ev.performance(judged, KEY)
+    perf = stored(ev.performance(judged, KEY), "performance")
     artifacts.write_report(perf.orderBy(*KEY), f"{out}/ad_performance", 6)
-    artifacts.write_report(ev.confusion_by(perf, ["dataset", "prep"]), f"{out}/cm_by_dataset", 6)
+    artifacts.write_report(ev.confusion_by(perf.withColumn("prep", replaced(F.col("prep"), PREP_RENAMED)), ["kernel", "dataset", "prep"]), f"{out}/cm_by_dataset", 6)
     artifacts.write_report(ev.distance_ratio(d, KEY, GROUPS), f"{out}/distance_ratio", 4)
-    artifacts.write_report(ev.zone_occupancy(d, KEY, F.col("r") * rho[0], F.col("r") * rho[1]), f"{out}/zone_ratio", None)
+    zones = ev.zone_occupancy(d, KEY, F.col("r") * F.coalesce("rho_inner", F.lit(rho[0])), F.col("r") * F.coalesce("rho_outer", F.lit(rho[1])))
+    artifacts.write_report(zones, f"{out}/zone_ratio", None)
+    names = [r.dataset for r in perf.select("dataset").distinct().orderBy("dataset").collect()]  # configured data sets
+    artifacts.write_report(ev.tradeoff(zones, ev.metric_pivot(perf, "auc", names), ev.metric_pivot(perf, "f1", names)), f"{out}/tradeoff", 4)
+    artifacts.write_report(plots.polar_bounds(d, KEY, rho), f"{out}/polar_bounds", 6)
+    artifacts.write_report(plots.polar_points(d.withColumn("vec_id", F.concat_ws("-", "signal_id", "win_idx")), KEY, "vec_id"), f"{out}/polar_points", 6)
 
 
 def evaluate_stream(spark: SparkSession, root: str, out: str, kernel: str | None = None) -> None:
-    """Performance of decisions and the comparison with the frozen model. Runs of one class stay, with a null AUC."""
-    s = artifacts.read_partitioned(spark, f"{root}/stream")
-    s = s if kernel is None else s.filter(F.col("kernel") == kernel)
-    final = F.max_by("r_trace", "stream_pos").over(Window.partitionBy(*KEY))
-    perf = ev.adaptive_performance(s.withColumn("r_final", final), KEY)
+    """Performance and latency of decisions, the comparison with the frozen model, its spread, and the radius trace's tables. Runs of one
+    class stay, with a null AUC."""
+    s = _of(artifacts.read_partitioned(spark, f"{root}/stream"), kernel)
+    perf = stored(ev.adaptive_performance(s, KEY).join(ev.latency(s, KEY), KEY), "adaptive")
     artifacts.write_report(perf.orderBy(*KEY), f"{out}/adaptive_performance", 6)
     base = spark.read.option("header", "true").option("inferSchema", "false").csv(f"{out}/ad_performance")
     cast = lambda df: df.select(*[F.col(c).cast("string") for c in KEY], *[F.col(c).cast("double") for c in ("auc", "f1", "recall")])
-    artifacts.write_report(ev.compare(cast(base), cast(perf), KEY, ["auc", "f1", "recall"]), f"{out}/baseline_vs_adapted", 6)
+    both = ev.compare(_of(cast(base), kernel), cast(perf), KEY, ["auc", "f1", "recall"])
+    artifacts.write_report(both, f"{out}/baseline_vs_adapted", 6)
+    artifacts.write_report(ev.delta_box(both, "auc"), f"{out}/delta_box", 6)
+    artifacts.write_report(plots.r_trace_panel(s, KEY), f"{out}/r_trace_panel", 6)
+    artifacts.write_report(plots.adapted_points(s).select(*KEY, "stream_pos", "r_trace", "kind"), f"{out}/r_trace_points", 6)

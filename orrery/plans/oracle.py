@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from orrery.operators.scoring import EPS
+
 SIG = """sig AS (
   SELECT row_number() OVER (ORDER BY domain, channel) AS signal_id, domain,
     CASE WHEN channel IN ('view','click','signup') THEN 'N' ELSE channel END AS fault_type,
@@ -120,8 +122,14 @@ n AS (SELECT avg(k) AS norm FROM pairs JOIN tr USING (vec_id)) SELECT vec_id, ro
     "r2_tiers": f"""WITH {SC}, a AS (SELECT label, CASE WHEN label < 3 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS c, d2, CASE WHEN label < 3 THEN (vec_id % 4) / 10.0::DOUBLE WHEN label < 7 THEN (vec_id % 2) / 2.0::DOUBLE ELSE 0.0::DOUBLE END AS al FROM sc),
 t AS (SELECT label, c, avg(CASE WHEN al > 1.1920929e-6 AND al < c - 1.1920929e-6 THEN d2 END) AS t1, max(CASE WHEN al > 1.1920929e-6 THEN d2 END) AS t2, quantile_cont(d2, 0.95) AS t3 FROM a GROUP BY label, c)
 SELECT label, c, round(coalesce(t1, t2, t3), 6) AS r2, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 ELSE 3 END AS tier FROM t""",
-    "topk_alpha": f"""WITH {SC}, a AS (SELECT label, vec_id AS sv_idx, round(d, 6) + 1e-3::DOUBLE * (vec_id % 5) AS alpha FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY alpha DESC, sv_idx)::INTEGER AS rank FROM a)
-SELECT label, sv_idx, round(least(alpha / sum(alpha) OVER (PARTITION BY label), 0.06), 6) AS alpha, rank FROM k WHERE rank <= 20""",
+    "topk_alpha": f"""WITH RECURSIVE {SC}, a AS (SELECT label, vec_id AS sv_idx, round(d, 6) + 1e-3::DOUBLE * (vec_id % 5) AS alpha FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY alpha DESC, sv_idx)::INTEGER AS rank FROM a),
+g AS (SELECT label, list(alpha ORDER BY rank) AS al, list(sv_idx ORDER BY rank) AS sv FROM k WHERE rank <= 20 GROUP BY label),
+fold(label, i, w) AS (
+  SELECT label, 0, list_transform(al, lambda x: least(x / list_sum(al), 0.06::DOUBLE)) FROM g
+  UNION ALL
+  SELECT label, i + 1, CASE WHEN abs(lack) <= {EPS} OR k = 0 THEN w ELSE list_transform(w, lambda x: CASE WHEN x > 0 AND x < 0.06::DOUBLE - {EPS} THEN greatest(least(x + lack / k, 0.06::DOUBLE), 0) ELSE x END) END
+  FROM (SELECT *, 1 - list_sum(w) AS lack, len(list_filter(w, lambda x: x > 0 AND x < 0.06::DOUBLE - {EPS})) AS k FROM fold WHERE i < 50))
+SELECT label, unnest(sv) AS sv_idx, round(unnest(w), 6) AS alpha, generate_subscripts(w, 1)::INTEGER AS rank FROM fold JOIN g USING (label) WHERE i = 50""",
     "buffer_size": "SELECT label, count(*) AS n, greatest(least(count(*) * 3, 100), ceil(round(0.1::DOUBLE * count(*), 9)) + 1)::BIGINT AS size FROM embeddings GROUP BY label",
     "warmup_length": f"WITH {ST} SELECT scenario_id, floor(count(*) FILTER (y_true = 0) * 0.1)::BIGINT AS warmup FROM st GROUP BY 1",
     "confusion_matrix": f"WITH {SC}, {_cm('sc', 'c')} SELECT * FROM c",
@@ -166,4 +174,18 @@ SELECT dataset, prep, round(b.r, 6) AS r, round(r_inner, 6) AS r_inner, round(r_
     "svdd_fit_closed_form": f"""WITH {VEC}, t AS (SELECT 'k' || (label % 5) AS scenario_id, vec_id, x FROM tr), n AS (SELECT scenario_id, count(*) AS n_sv FROM t GROUP BY 1),
 c AS (SELECT scenario_id, list(m ORDER BY p) AS c FROM (SELECT scenario_id, p, avg(e) AS m FROM (SELECT scenario_id, unnest(x)::DOUBLE AS e, generate_subscripts(x, 1) AS p FROM t) GROUP BY 1, 2) GROUP BY 1)
 SELECT scenario_id, any_value(n_sv)::INTEGER AS n_sv, 2 AS tier, round(max(list_sum(list_transform(list_zip(x, c), lambda q: power(q[1]::DOUBLE - q[2], 2)))), 5) AS r2 FROM t JOIN c USING (scenario_id) JOIN n USING (scenario_id) GROUP BY 1""",
+    "znorm_long": """WITH sig AS (SELECT (l_orderkey % 8)::BIGINT AS signal_id, list(l_extendedprice::DOUBLE ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS x FROM lineitem GROUP BY 1),
+w AS (SELECT signal_id, i::BIGINT AS win_idx, x[i * 1024 + 1:i * 1024 + 2048] AS x FROM (SELECT signal_id, x, unnest(range(0, CASE WHEN len(x) >= 2048 THEN (len(x) - 2048) // 1024 + 1 ELSE 0 END)) AS i FROM sig)),
+m AS (SELECT *, list_avg(x) AS mean FROM w), s AS (SELECT *, sqrt(list_avg(list_transform(x, lambda v: (v - mean) * (v - mean)))) AS sd FROM m),
+z AS (SELECT signal_id, win_idx, list_transform(x, lambda v: ((v - mean) / CASE WHEN sd < 1e-10 THEN 1 ELSE sd END)::FLOAT) AS z FROM s)
+SELECT signal_id, win_idx, len(z)::INTEGER AS n, round(z[1]::DOUBLE, 4) AS first, round(z[2048]::DOUBLE, 4) AS last, round(list_max(z)::DOUBLE, 4) AS top FROM z""",
+    "bearing_name": """WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 'N15_M07_F10' WHEN label < 9 THEN 'N09_M07_F10' ELSE 'N99_M00_F00' END AS c, (['K001', 'KI04', 'KA30', 'X1'])[vec_id % 4 + 1] AS b FROM embeddings)
+SELECT vec_id, c || '_' || b || '_' || (vec_id % 20 + 1) || '.mat' AS file, CASE b WHEN 'K001' THEN 'N' WHEN 'KI04' THEN 'IR' WHEN 'KA30' THEN 'OR' END AS fault_type, CASE c WHEN 'N15_M07_F10' THEN 1500 WHEN 'N09_M07_F10' THEN 900 END AS rpm,
+  CASE WHEN c <> 'N99_M00_F00' THEN 0.7::DOUBLE END AS load_torque_nm, CASE WHEN c <> 'N99_M00_F00' THEN 1000::DOUBLE END AS radial_force_n, 64 AS sampling_rate, CASE b WHEN 'K001' THEN 0 WHEN 'KI04' THEN 1 WHEN 'KA30' THEN 2 END AS label, CASE WHEN b <> 'X1' THEN (b <> 'K001')::INTEGER END AS is_anomaly FROM v""",
+    "channel_pick": "SELECT vec_id, CASE WHEN label % 2 = 0 THEN vec_id + 1 WHEN label < 3 THEN vec_id END::DOUBLE AS drive_end, CASE WHEN label >= 3 THEN vec_id END::DOUBLE AS vibration FROM embeddings",
+    "value_replace": f"WITH {SC} SELECT CASE prep WHEN 'p2' THEN 'p1' ELSE prep END AS prep, count(*) AS n FROM sc GROUP BY 1",
+    "kept_signals": "SELECT nullif(label, 0)::INTEGER AS label, count(*) AS n FROM embeddings WHERE label <> 7 GROUP BY 1",
+    "seeded_order": "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42#' || vec_id), vec_id) - 1 AS shuffle_pos FROM embeddings",
+    "polar_points": f"""WITH {SC}, t AS (SELECT *, md5(vec_id::VARCHAR) AS h FROM sc), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, prep, grp ORDER BY h, vec_id) AS k, ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE * 6.283185307179586::DOUBLE AS turn FROM t)
+SELECT dataset, prep, grp, vec_id, round(d * cos(turn), 6) AS px, round(d * sin(turn), 6) AS py FROM n WHERE k <= 500""",
 }

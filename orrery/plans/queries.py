@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from orrery.functions.arrays import sq_norm, z_score
 from orrery.functions.cepstrum import window_features, z_cepstrum
 from orrery.functions.kernels import Kernel, polynomial
-from orrery.functions.numbers import mapped, near
+from orrery.functions.numbers import mapped, near, replaced
 from orrery.operators import distribution, evaluation as ev, plots, scoring, svdd, windows as win
+from orrery.plans import experiment as ex
 from orrery.plans.fixtures import DIM, KEY, RHO, WINDOW, rounded, scored, signals, source_train, stream, target_normal, vectors
 from orrery.sources.artifacts import run_key_columns, zone_rows
-from orrery.sources.signals import parse_recording_name
+from orrery.sources.signals import parse_bearing_name, parse_recording_name, pick_channel, read_signals
+from orrery.sources.tables import table
 from orrery.storage import shared_dir, stored
 from orrery.streaming.adapt import OUT, run_available, start_models
 
@@ -146,8 +148,7 @@ def topk_alpha(s: SparkSession, d: str) -> DataFrame:
 
 def buffer_size(s: SparkSession, d: str) -> DataFrame:
     g = scored(s, d).groupBy("label").agg(F.count("*").alias("n"))
-    c = 1 / (F.lit(0.1) * F.col("n"))
-    return g.select("label", "n", F.greatest(F.least(F.col("n") * 3, F.lit(100)), F.ceil(F.round(1 / c, 9)) + 1).cast("long").alias("size"))
+    return g.select("label", "n", svdd.buffer_size_column(F.col("n"), F.col("n") * 2, 1 / (F.lit(0.1) * F.col("n")), 100).alias("size"))
 
 
 def warmup_length(s: SparkSession, d: str) -> DataFrame:
@@ -301,6 +302,72 @@ def otta_single(s: SparkSession, d: str) -> DataFrame:
     return svdd.replay(rest, train, Kernel(), rho=None)
 
 
+LONG = 2048
+
+
+def znorm_long(s: SparkSession, d: str) -> DataFrame:
+    """z-scores of windows of the first data set's length."""
+    cell = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("v"))))
+    sig = table(s, d, "lineitem").groupBy((F.col("l_orderkey") % 8).cast("long").alias("signal_id")).agg(F.transform(cell, lambda c: c["v"]).alias("data"))
+    z = win.sliding_windows(sig, LONG, 1024).repartition("signal_id", "win_idx").select("signal_id", "win_idx", z_score(F.col("x")).alias("z"))
+    r = lambda c: F.round(c.cast("double"), 4)
+    return z.select("signal_id", "win_idx", F.size("z").alias("n"), r(F.col("z")[0]).alias("first"), r(F.col("z")[LONG - 1]).alias("last"), r(F.array_max("z")).alias("top"))
+
+
+def bearing_name(s: SparkSession, d: str) -> DataFrame:
+    condition = F.when(F.col("label") < 5, "N15_M07_F10").when(F.col("label") < 9, "N09_M07_F10").otherwise("N99_M00_F00")
+    bearing = F.element_at(F.array(*[F.lit(b) for b in ("K001", "KI04", "KA30", "X1")]), (F.col("vec_id") % 4 + 1).cast("int"))
+    name = F.concat_ws("_", condition, bearing, (F.col("vec_id") % 20 + 1).cast("string"))
+    return vectors(s, d).select("vec_id", F.concat(name, F.lit(".mat")).alias("file")).withColumns(parse_bearing_name(F.col("file")))
+
+
+def channel_pick(s: SparkSession, d: str) -> DataFrame:
+    """The last channel with "DE" in its name, and the first "vibration_1"."""
+    one = lambda n, v: F.struct(n.alias("name"), F.array(v.cast("double")).alias("data"))
+    i, k = F.col("vec_id"), F.col("label")
+    names = (F.when(k < 3, "X097_DE_time").otherwise("vibration_1"), F.when(k % 2 == 0, "X098_DE_time").otherwise("X098_FE_time"), F.when(k > 6, "vibration_1").otherwise("force"))
+    c = F.array(*[one(n, i + j) for j, n in enumerate(names)])
+    return vectors(s, d).select("vec_id", pick_channel(c, part="DE")[0].alias("drive_end"), pick_channel(c, name="vibration_1")[0].alias("vibration"))
+
+
+def value_replace(s: SparkSession, d: str) -> DataFrame:
+    return scored(s, d).groupBy(replaced(F.col("prep"), {"p2": "p1"}).alias("prep")).agg(F.count("*").alias("n"))
+
+
+def kept_signals(s: SparkSession, d: str) -> DataFrame:
+    """Rows of the excluded label go after loading."""
+    path = shared_dir(s, "signals")
+    v = vectors(s, d).select(F.col("vec_id").alias("signal_id"), F.when(F.col("label") == 7, 999).when(F.col("label") > 0, F.col("label")).cast("int").alias("label"), F.col("x").cast("array<double>").alias("data"))
+    v.write.parquet(path)
+    return read_signals(s, path).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def seeded_order(s: SparkSession, d: str) -> DataFrame:
+    return win.shuffled(vectors(s, d), ["label"], ["vec_id"]).select("label", "vec_id", "shuffle_pos")
+
+
+def _run(s: SparkSession, d: str, kernel: Kernel) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows by group, fitted models, and a whole run of the test scenarios."""
+    train, rest = _scenarios(s, d)
+    both = train.withColumn("grp", F.lit("source_train")).unionByName(rest.select("scenario_id", (F.col("stream_pos") + 10**9).alias("vec_id"), "x", F.when(F.col("y_true") == 0, "target_normal").otherwise("target_fault").alias("grp")))
+    return both, svdd.fit_scenarios(train, kernel), stored(svdd.replay_run(rest, train, kernel, rho=RHO), "run")
+
+
+def final_distances(s: SparkSession, d: str) -> DataFrame:
+    """Distances under the model as the stream leaves it, with an RBF kernel."""
+    kernel = Kernel("rbf", 0.5)
+    rows, _, run = _run(s, d, kernel)
+    ends = run.groupBy("scenario_id").agg(F.first("r2").alias("r2"), F.first("center_norm_sq").alias("center_norm_sq"))
+    return rounded(ex.distances(rows, run.filter("kind = 'vector'"), ends, kernel).select("scenario_id", "vec_id", "grp", "d", "r"), 5)
+
+
+def run_metrics(s: SparkSession, d: str) -> DataFrame:
+    rows, fitted, run = _run(s, d, Kernel())
+    ends = run.groupBy("scenario_id").agg(F.first("r2").alias("r2"), F.first("center_norm_sq").alias("center_norm_sq"))
+    after = stored(ex.distances(rows, run.filter("kind = 'vector'"), ends, Kernel()), "after")
+    return rounded(ex.run_metrics(rows, svdd.model_rows(fitted, Kernel()), run, ex.shift_distances(rows, after), RHO), 5)
+
+
 def otta_stream(s: SparkSession, d: str) -> DataFrame:
     """The stateful streaming operator, run over everything available."""
     train, rest = _scenarios(s, d)
@@ -318,6 +385,6 @@ QUERIES = {
         domain_split, temporal_split, window_signal, source_val_union, znorm, liftered_features, target_stream_order, label_map, domain_map, scenario_pairs, run_key, recording_name,
         kernel_matrix, rbf_kernel, poly_kernel, kernel_diag, svdd_distance, rbf_distance, svdd_predict, zone_decision, r2_tiers, topk_alpha, buffer_size, warmup_length, confusion_matrix, auc, ad_performance,
         otta_performance, decision_rates, latency_stats, detection_delay, distance_ratio, cm_by_dataset, metric_pivot, baseline_vs_otta, delta_box, zone_ratio, tradeoff, zone_flatten, run_summary,
-        median_gamma, mmd2, wasserstein, polar_bounds, polar_points, r_trace_panel, r_trace_points, svdd_fit, svdd_fit_closed_form, otta_replay, otta_single, otta_stream,
+        znorm_long, bearing_name, channel_pick, value_replace, kept_signals, seeded_order, final_distances, run_metrics, median_gamma, mmd2, wasserstein, polar_bounds, polar_points, r_trace_panel, r_trace_points, svdd_fit, svdd_fit_closed_form, otta_replay, otta_single, otta_stream,
     )
 } | {"cepstrum": cepstrum_query}

@@ -21,8 +21,9 @@ STREAM = (
     "stream_pos long, decision int, score double, y_true int, latency_s double, r_trace double"
 )
 RUN_METRICS = (
-    "kernel string, dataset string, scenario_id string, source string, target string, prep string, n_sv int, r_pretrain double, r_final double, "
-    "n_source_train long, n_stream long, n_warmup long, mmd2 double, wasserstein_1d_distance double, rho_inner double, rho_outer double"
+    "kernel string, dataset string, scenario_id string, source string, target string, prep string, otta_mode string, r double, r_final double, "
+    "mmd2 double, wasserstein_1d_distance double, n_source_train long, n_target_normal long, n_target_fault long, feature_dim int, n_warmup long, "
+    "buffer_size long, rho_inner double, rho_outer double, n_sv int, error string"
 )
 ZONE_JSON = (
     "zone_combinations array<struct<r_inner_percentile:double,r_outer_percentile:double,r_inner:double,r_outer:double,"

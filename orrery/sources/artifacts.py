@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orrery import schemas
+from orrery.functions.kernels import Kernel
+from orrery.operators.svdd import Description
 
 
 def run_key_columns(path: Column) -> dict[str, Column]:
@@ -74,5 +77,22 @@ def save_model(models: DataFrame, vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(f"{path}/support_vectors")
 
 
+def load_kernel(models: DataFrame, scenario_id: str) -> Kernel:
+    """The kernel of a stored model."""
+    r = models.filter(F.col("scenario_id") == scenario_id).select("kernel", "gamma", "coef0", "degree").first()
+    if r is None:
+        raise KeyError(scenario_id)
+    return Kernel(r.kernel, r.gamma, r.coef0, r.degree)
+
+
+def load_description(spark: SparkSession, path: str, scenario_id: str) -> Description:
+    """One stored model ready to score: its kernel and vectors (bounded by the solver's buffer) and the numbers that go with them."""
+    models, vectors = load_model(spark, path)
+    kernel, m = load_kernel(models, scenario_id), models.filter(F.col("scenario_id") == scenario_id).first()
+    rows = vectors.filter(F.col("scenario_id") == scenario_id).orderBy("sv_idx").select("alpha", "x").collect()
+    x, alpha = np.array([r.x for r in rows], float), np.array([r.alpha for r in rows], float)
+    return Description(kernel, m.c, x, alpha, kernel.matrix(x, x) @ alpha, kernel.diag(x), r2=m.r2, tier=m.tier, norm2=m.center_norm_sq)
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(schemas.MODELS).parquet(f"{path}/models"), spark.read.schema(schemas.SUPPORT_VECTORS).parquet(f"{path}/support_vectors")

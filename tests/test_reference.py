@@ -156,31 +156,113 @@ def test_streaming_equals_replay(spark):
 
 
 def test_artifacts_round_trip(spark, tmp_path):
-    m = spark.createDataFrame([("k1", "linear", 0.5)], "scenario_id string, kernel string, r_pretrain double")
+    m = spark.createDataFrame([("k1", "linear", 0.5)], "scenario_id string, kernel string, r double")
     artifacts.write_metrics(m, str(tmp_path / "m"))
     (tmp_path / "m" / "bad.json").write_text("{broken\n")
-    assert [r.r_pretrain for r in artifacts.read_metrics(spark, str(tmp_path / "m")).collect()] == [0.5]
+    assert [r.r for r in artifacts.read_metrics(spark, str(tmp_path / "m")).collect()] == [0.5]
     artifacts.write_report(m, str(tmp_path / "c"))
-    assert artifacts.read_report(spark, str(tmp_path / "c"), "scenario_id string, kernel string, r_pretrain double").count() == 1
+    assert artifacts.read_report(spark, str(tmp_path / "c"), "scenario_id string, kernel string, r double").count() == 1
     n = spark.createDataFrame([("IR_007_1.mat",), ("N_0.mat",), ("x",)], "f string").withColumns(parse_recording_name(F.col("f"))).collect()
     assert [(r.fault_type, r.crack_size, r.rpm) for r in n] == [("IR", "007", 1772), ("N", "000", 1797), ("X", "000", None)]
     z = spark.createDataFrame([(json.dumps({"zone_combinations": [{"r_inner": 0.5, "by_group": {"g": {"count": 3}}}]}),), ("{broken",)], "zone_json string")
     assert [(r.grp, r["count"], r.mean_d) for r in artifacts.zone_rows(z).collect()] == [("g", 3, None)]
 
 
-def test_experiment_end_to_end(spark, tmp_path):
-    from orrery import cli
+def test_windows_of_the_data_sets_lengths_are_quick(spark):
+    import time
 
-    root, out = str(tmp_path / "r"), str(tmp_path / "o")
-    from orrery.config import Dataset
+    rows = spark.range(1000).repartition(4).select(F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.sin(i * F.col("id"))).alias("x")).cache()
+    rows.count()
+    start = time.time()
+    n = window_features(rows, 64).filter(F.size("features") == 64).count()
+    assert n == 1000 and time.time() - start < 30
+    from orrery.functions.arrays import z_score
+    from orrery.functions.cepstrum import z_rows
+
+    got = rows.limit(20).select("x", z_score(F.col("x")).alias("z")).toPandas()
+    assert (np.stack(got.z) == z_rows(np.stack(got.x))).all()
+
+
+@pytest.mark.parametrize("kernel, gamma", [("linear", None), ("rbf", 0.8)])
+def test_experiment_equals_plain_numpy(spark, tmp_path, kernel, gamma):
+    """Artifacts, metrics and reports of a run against NumPy on the stored features and models."""
+    from orrery.config import Dataset, Solver
     from orrery.plans import experiment as ex
 
-    assert cli.main
-    ex.run_experiment(spark, q.signals(spark, "/root/testdata/sf0.01"), Dataset("events", {}, 16, 4, (0.5, 1.5), 1), root, source=0)
-    ex.evaluate_distances(spark, root, out)
-    ex.evaluate_stream(spark, root, out)
-    assert spark.read.option("header", "true").csv(f"{out}/baseline_vs_adapted").count() == 3
-    assert len(artifacts.load_model(spark, f"{root}/model")[0].collect()) == 3
+    root, out = str(tmp_path / "r"), str(tmp_path / "o")
+    ex.run_experiment(spark, q.signals(spark, "/root/testdata/sf0.01"), Dataset("events", {}, 16, 4, (0.5, 1.5), 1), root, Solver(kernel=kernel, gamma=gamma), source=0, target=1)
+    feats = ex.scenario_tables(ex.feature_table(q.signals(spark, "/root/testdata/sf0.01"), 16, 4, (0.7, 0.15, 0.15)), 0, 1)[0].toPandas()
+    side = {g: np.stack(feats[feats.grp == g].sort_values("vec_id").x.to_list()) for g in feats.grp.unique()}
+    for model, name in (("model", "distances"), ("model_final", "distances_final")):
+        m = artifacts.load_description(spark, f"{root}/{model}", "0_to_1")
+        got = artifacts.read_partitioned(spark, f"{root}/{name}").toPandas()
+        for g, x in side.items():
+            want = np.sqrt(np.maximum(m.kernel.diag(x) - 2 * m.kernel.matrix(x, m.x) @ m.alpha + m.alpha @ m.kernel.matrix(m.x, m.x) @ m.alpha, 0))
+            mine = got[got.grp == g].sort_values(["signal_id", "win_idx"])
+            assert np.allclose(mine.d, want, atol=1e-5) and np.allclose(mine.r, math.sqrt(max(m.r2, 0)), atol=1e-9)
+    a, b = side["source_train"], side["target_normal"]
+    both = np.r_[a, b]
+    sq = lambda x, y: ((x[:, None] - y[None]) ** 2).sum(2)
+    g = 1 / np.median(sq(both, both)[np.triu_indices(len(both), 1)])
+    mmd = sum(s * np.exp(-g * sq(x, y)).mean() for x, y, s in ((a, a, 1), (b, b, 1), (a, b, -2)))
+    r = artifacts.read_metrics(spark, f"{root}/metrics").first()
+    m = artifacts.load_description(spark, f"{root}/model_final", "0_to_1")
+    da, db = (np.sort(np.sqrt(m.d2(x))) for x in (a, b))
+    grid = np.sort(np.r_[da, db])
+    w1 = (np.abs(np.searchsorted(da, grid, "right") / len(da) - np.searchsorted(db, grid, "right") / len(db))[:-1] * np.diff(grid)).sum()
+    assert abs(r.mmd2 - mmd) < 1e-9 and abs(r.wasserstein_1d_distance - w1) < 1e-5
+    assert (r.n_source_train, r.n_target_normal, r.n_target_fault, r.feature_dim, r.n_sv) == (len(a), len(b), len(side["target_fault"]), 4, len(m.alpha))
+    assert r.n_warmup == int(len(b) * 0.1) and r.rho_inner == 0.5 and r.error is None and r.otta_mode == "dual_boundary" and abs(r.r_final**2 - m.r2) < 1e-9
+    ex.evaluate_distances(spark, root, out, kernel=kernel)
+    ex.evaluate_stream(spark, root, out, kernel)
+    sizes = {n: spark.read.option("header", "true").csv(f"{out}/{n}").count() for n in ("run_metrics", "domain_shift_performance", "ad_performance", "cm_by_dataset", "tradeoff", "baseline_vs_adapted", "polar_bounds", "delta_box", "r_trace_panel")}
+    assert set(sizes.values()) == {1}
+    assert spark.read.option("header", "true").csv(f"{out}/polar_points").count() > 20
+    got = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{out}/adaptive_performance").first()
+    assert got.mean_ms > 0 and got.max_ms >= got.p99_ms >= got.p50_ms and got.total_s > 0
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from orrery import cli
+
+    monkeypatch.setattr(cli, "session", lambda *a, **k: spark)
+    root, out = str(tmp_path / "r"), str(tmp_path / "o")
+    cli.main(["experiment", "--events", "/root/testdata/sf0.01/events.parquet", "--dataset", "events", "--out-dir", root, "--source", "0", "--target", "1", "--otta-mode", "single", "--nu", "0.2"])
+    cli.main(["evaluate", "--results-root", root, "--out-dir", out])
+    assert spark.read.option("header", "true").csv(f"{out}/run_metrics").first().otta_mode == "single_boundary"
+    for bad in (["experiment", "--out-dir", root], ["experiment", "--signals", "x", "--out-dir", root, "--source", "5"], ["experiment", "--events", "x", "--dataset", "events", "--kernel", "poly", "--out-dir", root]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+
+
+def test_raw_recordings(spark, tmp_path):
+    from orrery.sources.signals import read_raw_recordings, read_recordings
+
+    ch = lambda *names: [([{"name": n, "data": [float(i)]} for i, n in enumerate(names)],)]
+    for i, (name, rows) in enumerate({"IR_007_1": ch("X_DE_a", "FE", "X_DE_b"), "N_0": ch("FE")}.items()):
+        spark.createDataFrame(rows, "channels array<struct<name:string,data:array<double>>>").coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        part = next((tmp_path / f"w{i}").glob("part-*"))
+        (tmp_path / "raw").mkdir(exist_ok=True)
+        part.rename(tmp_path / "raw" / f"{name}.parquet")
+    (tmp_path / "raw" / "IR_014_1.parquet").write_text("damaged")
+    found, skipped = read_raw_recordings(spark, str(tmp_path / "raw"))
+    assert [(r.data, r.fault_type, r.rpm) for r in found.collect()] == [([2.0], "IR", 1772)] and [r.file for r in skipped.collect()] == ["N_0.parquet"]
+    spark.createDataFrame([([1.0, 2.0],)], "data array<double>").coalesce(1).write.parquet(str(tmp_path / "w9"))
+    (tmp_path / "plain").mkdir()
+    next((tmp_path / "w9").glob("part-*")).rename(tmp_path / "plain" / "OR@06_021_3.parquet")
+    assert [(r.fault_type, r.crack_size, r.rpm, r.is_anomaly) for r in read_recordings(spark, str(tmp_path / "plain")).collect()] == [("OR@06", "021", 1730, 1)]
+
+
+def test_largest_weights_are_projected(spark):
+    from orrery.operators.scoring import top_alpha
+
+    rng = np.random.default_rng(4)
+    a = rng.uniform(0, 1, 60) ** 3
+    df = spark.createDataFrame([("m", i, float(x)) for i, x in enumerate(a)], "model string, sv_idx int, alpha double")
+    got = {r.sv_idx: r.alpha for r in top_alpha(df, 20, ["model"], 0.08).collect()}
+    top = np.argsort(-a, kind="stable")[:20]
+    want = to_capped_simplex(a[top] / a[top].sum(), 0.08)
+    assert set(got) == set(top.tolist()) and np.allclose([got[i] for i in top], want) and abs(sum(got.values()) - 1) < 1e-5
 
 
 def test_kernel_distances_both_ways(spark):
