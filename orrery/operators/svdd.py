@@ -192,14 +192,16 @@ class Description:
     def _row(self, row: np.ndarray) -> np.ndarray:
         return self.kernel.matrix(self.x, row[None])[:, 0]
 
-    def state(self) -> dict:
-        return {"x": self.x.ravel().tolist(), "alpha": self.alpha.tolist(), "f": self.f.tolist(), "c": self.c, "capacity": self.capacity}
+    def to_bytes(self) -> bytes:
+        """Doubles: number of vectors, C, capacity, weights, f, vectors."""
+        return np.concatenate([[len(self.alpha), self.c, self.capacity], self.alpha, self.f, self.x.ravel()]).astype("<f8").tobytes()
 
     @staticmethod
-    def from_state(kernel: Kernel, s: dict, evict: str = "redistribute") -> Description:
-        a = np.asarray(s["alpha"], float)
-        x = np.asarray(s["x"], float).reshape(len(a), -1)
-        d = Description(kernel, s["c"], x, a, np.asarray(s["f"], float), kernel.diag(x), capacity=s["capacity"], evict=evict)
+    def from_bytes(kernel: Kernel, data: bytes, evict: str = "redistribute") -> Description:
+        v = np.frombuffer(data, "<f8")
+        n = int(v[0])
+        x = v[3 + 2 * n :].reshape(n, -1).copy()
+        d = Description(kernel, float(v[1]), x, v[3 : 3 + n].copy(), v[3 + n : 3 + 2 * n].copy(), kernel.diag(x), capacity=int(v[2]), evict=evict)
         d._refresh()
         return d
 

@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from orrery.functions.kernels import Kernel
 from orrery.operators.svdd import Description, Policy, fresh
 
 OUT = "scenario_id string, stream_pos long, decision int, score double, y_true int, r_trace double"
-STATE = "model string, seen long, last long, warmup long, r_pretrain double"
+STATE = "model binary, seen long, last long, warmup long, r_pretrain double"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Adapter(StatefulProcessor):
+    """One scenario's description as keyed state: begun from its fitted model, moved by its rows in stream_pos order."""
+
+    def __init__(self, kernel: Kernel, rho: tuple[float, float] | None, inner_iter: int):
+        self.kernel, self.rho, self.inner_iter = kernel, rho, inner_iter
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("description", STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803 - names of the interface
+        r = initialState.iloc[0]
+        self.state.update((bytes(r["model"]), 0, -1, int(r["warmup"]), float(r["r_pretrain"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.state.exists():
+            return
+        model, seen, last, warmup, r0 = self.state.get()
+        p = Policy(Description.from_bytes(self.kernel, bytes(model)), self.rho, warmup, self.inner_iter, r0, seen)
+        out, batch = [], pd.concat(list(rows)).sort_values("stream_pos")
+        for pos, y, x in zip(batch["stream_pos"], batch["y_true"], batch["x"]):
+            if pos > last:
+                code, score, r = p.step(np.asarray(x, float))
+                out.append((key[0], int(pos), code, score, int(y), r))
+                last = int(pos)
+        self.state.update((p.model.to_bytes(), p.seen, last, warmup, r0))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def adapt_stream(stream: DataFrame, models: DataFrame, kernel: Kernel, rho: tuple[float, float] | None = (0.5, 1.5), inner_iter: int = 10) -> DataFrame:
-    """``stream``: scenario_id, stream_pos, y_true, x. ``models``: scenario_id, model (JSON state), warmup, r_pretrain.
+    """``stream``: scenario_id, stream_pos, y_true, x. ``models``: scenario_id, model (binary), warmup, r_pretrain.
 
-    Each scenario's rows are taken in stream_pos order within a micro-batch; a row at or before the last position seen is a
-    replay and is passed over. State is the bounded description, so its size does not follow the stream.
+    A model is the initial state of its scenario, so it is shuffled once and never travels with rows. Each scenario's rows are taken in
+    stream_pos order within a micro-batch; a row at or before the last position seen is a replay and is passed over, and rows of
+    a scenario without a model give nothing. State is the bounded description, so its size does not follow the stream. The session
+    needs the RocksDB state store (``PROVIDER``).
     """
-    joined = stream.join(models.withColumnRenamed("model", "start"), "scenario_id")
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("stream_pos")
-        if state.exists:
-            model, seen, last, warmup, r0 = state.get
-        else:
-            model, seen, last, warmup, r0 = rows["start"].iloc[0], 0, -1, int(rows["warmup"].iloc[0]), float(rows["r_pretrain"].iloc[0])
-        p = Policy(Description.from_state(kernel, json.loads(model)), rho, warmup, inner_iter, r0, seen)
-        out = []
-        for pos, y, x in zip(rows["stream_pos"], rows["y_true"], rows["x"]):
-            if pos <= last:
-                continue
-            out.append((key[0], pos, *p.step(np.asarray(x, float)), y))
-            last = pos
-        state.update((json.dumps(p.model.state()), p.seen, int(last), warmup, r0))
-        yield pd.DataFrame(out, columns=["scenario_id", "stream_pos", "decision", "score", "r_trace", "y_true"])[["scenario_id", "stream_pos", "decision", "score", "y_true", "r_trace"]]
-
-    return joined.groupBy("scenario_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("scenario_id").transformWithStateInPandas(Adapter(kernel, rho, inner_iter), OUT, "Append", "None", initialState=models.groupBy("scenario_id"))
 
 
 def start_models(train: DataFrame, counts: DataFrame, kernel: Kernel, nu: float = 0.1, rho: tuple[float, float] | None = (0.5, 1.5), share: float = 0.10, cap: int = 5000) -> DataFrame:
@@ -51,13 +66,14 @@ def start_models(train: DataFrame, counts: DataFrame, kernel: Kernel, nu: float
         if len(rows) < 2 or not len(n):
             return pd.DataFrame(columns=["scenario_id", "model", "warmup", "r_pretrain"])
         p = Policy.start(np.stack(rows.sort_values("vec_id")["x"].to_list()), kernel, nu, rho, int(n["n_normal"].iloc[0]), int(n["n_stream"].iloc[0]), share, cap, 10)
-        return pd.DataFrame([(key[0], json.dumps(p.model.state()), p.warmup, p.r_pretrain)], columns=["scenario_id", "model", "warmup", "r_pretrain"])
+        return pd.DataFrame([(key[0], p.model.to_bytes(), p.warmup, p.r_pretrain)], columns=["scenario_id", "model", "warmup", "r_pretrain"])
 
-    return fresh(train).groupBy("scenario_id").cogroup(fresh(counts).groupBy("scenario_id")).applyInPandas(fit, "scenario_id string, model string, warmup long, r_pretrain double")
+    return fresh(train).groupBy("scenario_id").cogroup(fresh(counts).groupBy("scenario_id")).applyInPandas(fit, "scenario_id string, model binary, warmup long, r_pretrain double")
 
 
 def run_available(spark: SparkSession, source: str, schema: str, models: DataFrame, kernel: Kernel, sink: str, checkpoint: str, rho: tuple[float, float] | None = (0.5, 1.5)) -> None:
     """Decide everything in the Parquet directory ``source`` and append it to ``sink``; restarts go on from ``checkpoint``."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
     q = adapt_stream(rows, models, kernel, rho).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
