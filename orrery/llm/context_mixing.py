@@ -11,6 +11,9 @@ Counting: each task adds its text to tables of fixed size and to counts of its w
 (``TABLE_BYTES`` in all, whatever the input); word counts grow with the input and are joined back per piece of the input, never
 broadcast. Weights start anew every ``LANE`` tokens, so long texts are read in parallel pieces.
 
+What is coded are words and ends, with A-Z lower-cased: white space, its repeats and upper case cost nothing, and ``bits_per_byte`` divides the
+bits of the words by the bytes of the whole text.
+
 Results in the odd cases: null text is empty, one end token; a null id is learnt from and not held out; repeated rows are
 each counted and scored; an empty table gives no rows; without any training text every word is unknown; other columns are
 not read. Texts are scored whole.
@@ -27,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.storage import stored
+from orrery.storage import discard, stored
 
 BITS = 16
 HASHED = 20  # log2 of the slots of a hashed table
@@ -328,6 +331,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     model = spark.sparkContext.broadcast(([(r.table, r.block, bytes(r.cells)) for r in summed(tables).collect()], n or 0, v, n1 or 0))  # blocks of tables of fixed size
     # a piece is read by one task, so its words come once; a repeat would only be looked up twice
     known = stored(words.select("piece", "word").join(vocabulary, "word").select("piece", "word", "c"), "known")
+    discard(stats, vocabulary)
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     built: list[Model] = []
 
