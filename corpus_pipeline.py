@@ -16,7 +16,7 @@ from orrery.storage import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any letter have no language and go."""
+    """Rows without any letter go, and long ones in which the best language finds no more than in letters at random; a null lang is filled in."""
     return language.keep_identified(docs, docs)
 
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 
 import corpus_pipeline
-from orrery.llm import mixing
+from orrery.llm import language, mixing
 from test_simhash import plain_classes, plain_fp
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def bench_words(t):
 
 
 def plain_mix(rows):
-    """(doc, copies) by the definition: water level by bisection, queues in plain order."""
+    """Copies by the definition: water level by bisection, then one queue that serves the copy that finishes first until the budget would be passed."""
     size = {id(r): len(WORD.findall(r.text or "")) for r in rows}
     sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
@@ -31,19 +31,31 @@ def plain_mix(rows):
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if sum(min(mid * weight[s], 3 * total[s]) for s in sources) < want else (low, mid)
-    out = []
-    for s in sources:
+    queue = []
+    for k, s in enumerate(sources):
         goal, at = min(high * weight[s], 3 * total[s]), 0
-        for r in sorted((r for r in rows if r.source == s), key=lambda r: (hashlib.md5(f"{r.doc_id}#{mixing.SEED}".encode()).hexdigest(), size[id(r)])):
-            n = size[id(r)]
-            out += [r] * sum(n > 0 and p * total[s] + at + n / 2 <= goal * (1 + 1e-12) for p in range(3))
-            at += n
+        order = sorted((r for r in rows if r.source == s), key=lambda r: (hashlib.md5(f"{r.doc_id}#{mixing.SEED}".encode()).hexdigest(), size[id(r)]))
+        for r in order * 3:
+            at += size[id(r)]
+            if size[id(r)]:
+                queue.append((at / goal, k, len(queue), r))
+    out, left = [], want
+    for *_, r in sorted(queue):
+        if size[id(r)] > left:
+            break
+        left -= size[id(r)]
+        out.append(r)
     return out
 
 
 def test_run_equals_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
-    kept = [r for r in docs if any(c.isalpha() for c in r.text or "")]
+    spark_docs = spark.read.parquet(f"{SF}/documents.parquet")
+    samples: dict = {}
+    for r in sorted(language.sample(spark_docs).collect(), key=lambda r: (r.lang, r.n)):
+        samples.setdefault(r.lang, []).append(r.text)
+    junk = language.Parser(samples).predict([r.text for r in docs]).junk.tolist()  # phrases are held against string search in test_text_operators
+    kept = [r for r, j in zip(docs, junk) if any(c.isalpha() for c in r.text or "") and not j]
     names = plain_classes([r.doc_id for r in kept], [plain_fp(r.text) for r in kept])
     kept = [r for r, c in zip(kept, names) if r.doc_id == c]
     windows = set()
