@@ -99,7 +99,9 @@ def block_seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     doc, s, e = np.where(mine, one, two), np.where(mine, s1, s2), np.where(mine, e1, e2)
     ok = e > s
     doc, s = doc[ok], s[ok]
-    return h[ok].view(np.uint64) >> np.uint64(16), doc, at[ok] - block.starts[doc], s, e[ok] - s
+    # least hashes are all small; an odd factor spreads them over the range again, one to one
+    h = (h[ok].view(np.uint64) >> np.uint64(16)) * np.uint64(_BASE) & np.uint64((1 << 48) - 1)
+    return h, doc, at[ok] - block.starts[doc], s, e[ok] - s
 
 
 def _groups(ids: np.ndarray, place: np.ndarray) -> np.ndarray:

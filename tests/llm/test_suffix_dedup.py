@@ -86,6 +86,20 @@ def test_equal_windows_have_equal_seeds(monkeypatch):
         assert seen.setdefault(data[k : k + 50], (h[k], at[k] - k)) == (h[k], at[k] - k)
 
 
+def test_hashes_of_seeds_cover_their_range():
+    """Least hashes must not all fall in one part of the exchange."""
+    rnd = random.Random(8)
+    text = bytes(rnd.randrange(97, 123) for _ in range(40_000))
+
+    class One:
+        ids, known, sizes, starts = np.array([1]), np.array([True]), np.array([len(text)]), np.array([0])
+
+    One.text = text
+    h = sd.block_seeds(One)[0]
+    share = np.bincount((h >> np.uint64(44)).astype(int), minlength=16) / len(h)
+    assert share.min() > 0.04 and share.max() < 0.09
+
+
 def rows_():
     rnd = random.Random(9)
     text = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
