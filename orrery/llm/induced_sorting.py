@@ -440,13 +440,20 @@ class Sweep:
             seen = np.minimum(np.searchsorted(self.low_at[:256], self.last[s].astype(np.int64) + 1), 255).astype(np.uint8)
             bound = np.where(prev >= 0, EQUAL, np.where(old, np.minimum(self.tail[s], seen), EQUAL)).astype(np.uint8)
             first, last = np.where(prev >= 0, prev + 1, 0), parent[at]
-            longest = int((last - first).max()) + 1 if len(at) else 1
-            while len(at):
-                least = np.minimum(Ranges(val, longest).least(first, last), bound)
-                got = np.where(least == EQUAL, EQUAL, np.minimum(least.astype(np.int64) + self.length[s], self.v.depth)).astype(np.uint8)
-                if (got == val[at]).all():
-                    break
-                val[at] = got
+            length = self.length[s]
+            todo, least = np.arange(len(at)), None
+            if len(at):
+                least = Ranges(val, int((last - first).max()) + 1).least(first, last)
+            while len(todo):
+                if least is None:  # few are left: their ranges are read as they are
+                    least = np.minimum.reduceat(np.append(val, EQUAL), np.column_stack([first[todo], last[todo] + 1]).ravel())[::2]
+                least = np.minimum(least, bound[todo])
+                got = np.where(least == EQUAL, EQUAL, np.minimum(least.astype(np.int64) + length[todo], self.v.depth)).astype(np.uint8)
+                moved = at[todo[got != val[at[todo]]]]
+                val[at[todo]] = got
+                # again those whose range holds a value that changed
+                reach = np.searchsorted(moved, np.column_stack([first, last + 1]))
+                todo, least = np.flatnonzero(reach[:, 1] > reach[:, 0]), None
         yield self._out(sym), pos, val, ~seed
         cs, cp, cv = self._place(sym, pos, val, seed, c, want)
         self.wait.push(self._out(cs), cp, cv)
