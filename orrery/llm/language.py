@@ -31,7 +31,7 @@ from orrery.llm.columns import free_names
 UNDETERMINED = "und"
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_SYMBOLS = 60, 8_000, 24_000
 LANE = 512  # symbols walked side by side; no phrase ends because of it
-BATCH_SYMBOLS = 6_000_000  # over all languages
+BATCH_SYMBOLS = 4_000_000  # over all languages
 JUNK_SHARE, JUNK_LETTERS = 0.95, 60  # a text of so many letters that costs this share of what unrelated letters cost is in no language
 PREDICTED = T.StructType.fromJson({"type": "struct", "fields": [{"name": "lang_pred", "type": "string", "nullable": False, "metadata": {}}, {"name": "score", "type": "double", "nullable": False, "metadata": {}}, {"name": "bits", "type": "double", "nullable": True, "metadata": {}}, {"name": "junk", "type": "boolean", "nullable": False, "metadata": {}}]})
 PAD, BLANK, UNKNOWN = 0, 1, 2
@@ -249,22 +249,24 @@ class Parser:
 
     def _bits(self, strings: list[np.ndarray]) -> np.ndarray:
         """(languages, strings) bits a symbol."""
-        out = np.zeros((len(self.langs), len(strings)))
-        part, held, most = [], 0, max(1, BATCH_SYMBOLS // max(1, len(self.langs)))
-        for i, s in enumerate(strings):
-            part.append(i)
-            held += -(-len(s) // LANE) * LANE
-            if held >= most or i + 1 == len(strings):
-                count, lacking = self.phrases([strings[j] for j in part])
-                out[:, part] = count * self.bits[:, None] + lacking * np.log2(len(self.symbol) + 1)
-                part, held = [], 0
-        return out / np.maximum([len(s) for s in strings], 1)
+        count, lacking = self.phrases(strings)
+        return (count * self.bits[:, None] + lacking * np.log2(len(self.symbol) + 1)) / np.maximum([len(s) for s in strings], 1)
 
     def bits_per_symbol(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(languages, texts) bits a symbol; letters and symbols of each text."""
-        got = [self.symbols(t) if t else (np.zeros(0, np.int32), 0) for t in texts]
-        strings = [s for s, _ in got]
-        return self._bits(strings) if strings else np.zeros((len(self.langs), 0)), np.array([n for _, n in got], np.int64), np.array([len(s) for s in strings], np.int64)
+        """(languages, texts) bits a symbol; letters and symbols of each text. Texts are parsed a few at a time, so little more than those is held."""
+        out = np.zeros((len(self.langs), len(texts)))
+        letters, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        part: list[np.ndarray] = []
+        held, most = 0, max(1, BATCH_SYMBOLS // max(1, len(self.langs)))
+        for i, t in enumerate(texts):
+            s, letters[i] = self.symbols(t) if t else (np.zeros(0, np.int32), 0)
+            size[i] = len(s)
+            part.append(s)
+            held += -(-len(s) // LANE) * LANE
+            if held >= most or i + 1 == len(texts):
+                out[:, i + 1 - len(part) : i + 1] = self._bits(part)
+                part, held = [], 0
+        return out, letters, size
 
     def predict(self, texts: list) -> pd.DataFrame:
         k = len(texts)
