@@ -83,19 +83,13 @@ class Transitions:
     """Transitions of several automata: those of the first ``NEAR`` symbols (the most frequent letters) in a plain table, those of all
     others in one open-addressing table of (state, symbol), whose size follows the transitions, whatever the alphabet."""
 
-    def __init__(self, rows: list[dict[int, int]], width: int):
-        self.near = np.zeros((len(rows), NEAR), np.int32)
-        for s, r in enumerate(rows):
-            for c, t in r.items():
-                if c < NEAR:
-                    self.near[s, c] = t
-        self.near = self.near.ravel()
-        rows = [{c: t for c, t in r.items() if c >= NEAR} for r in rows]
-        n = sum(map(len, rows))
+    def __init__(self, near: list[np.ndarray], far: list[np.ndarray], width: int):
+        """``near``: rows of the plain table; ``far``: (state, symbol, next state) of the others."""
+        self.near = np.concatenate([np.zeros((1, NEAR), np.int32), *near]).ravel()
+        state, symbol, to = np.concatenate([np.zeros((0, 3), np.int64), *far]).T
+        n = len(state)
         self.width, self.bits = np.int64(width), max(6, int(3 * n).bit_length())
-        state = np.repeat(np.arange(len(rows), dtype=np.int64), [len(r) for r in rows])
-        key = state * self.width + np.fromiter((c for r in rows for c in r), np.int64, n)
-        to = np.fromiter((t for r in rows for t in r.values()), np.int32, n)
+        key, to = state * self.width + symbol, to.astype(np.int32)
         self.key, self.to = np.full((1 << self.bits) + 1, -1, np.int64), np.zeros((1 << self.bits) + 1, np.int32)
         slot = self._slot(key)
         while len(key):
@@ -106,6 +100,21 @@ class Transitions:
             left[take] = False
             key, to, slot = key[left], to[left], (slot[left] + 1) & ((1 << self.bits) - 1)
 
+    @staticmethod
+    def of(rows: list[dict[int, int]], first: int) -> tuple[np.ndarray, np.ndarray]:
+        """One automaton's transitions (states from 1 on) with its states numbered from ``first``: a plain table, and the others."""
+        near = np.zeros((len(rows) - 1, NEAR), np.int32)
+        far = []
+        for s, row in enumerate(rows[1:]):
+            for c, t in row.items():
+                if c in (PAD, UNKNOWN):
+                    continue
+                if c < NEAR:
+                    near[s, c] = t - 1 + first
+                else:
+                    far.append((s + first, c, t - 1 + first))
+        return near, np.array(far, np.int64).reshape(-1, 3)
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
@@ -144,16 +153,19 @@ class Parser:
         letters = sorted(seen, key=lambda ch: (-seen[ch], ch))
         self.symbol = {ch: i + 3 for i, ch in enumerate(letters)}
         self.table = np.full(0x110000, -1, np.int32)
-        rows: list[dict] = [{}]  # state 0: none
+        near, far, first = [], [], 1  # state 0: none
         start, bits, held = [], [], []
         for lang in self.langs:
             s = np.concatenate([self.symbols(t)[0] for t in samples[lang]])[:most] if samples[lang] else np.zeros(0, np.int32)
             held.append(s)
-            first = len(rows)
-            rows += [{c: t - 1 + first for c, t in row.items() if c not in (PAD, UNKNOWN)} for row in automaton(s)[1:]]
+            table, others = Transitions.of(automaton(s), first)  # a language at a time, so that one automaton's dictionaries are held
+            near.append(table)
+            far.append(others)
             start.append(first)
+            first += len(table)
             bits.append(np.log2(len(s) + 2))
-        self.moves = Transitions(rows, len(letters) + 3)
+        self.moves = Transitions(near, far, len(letters) + 3)
+        del near, far
         self.start, self.bits = np.array(start, np.int32), np.array(bits)
         # What unrelated letters cost in each language: its own sample with the letters in random order.
         rng = np.random.default_rng(1)
@@ -310,5 +322,6 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, text: str = "text", la
     """Rows in some learned language; text without a letter is rejected, and text of ``JUNK_LETTERS`` letters or more in which the best language
     finds no more than in letters at random. A null ``lang`` becomes the predicted one. Columns stay, whatever their names."""
     (p,) = free_names(docs, "predicted")
-    known = docs.withColumn(p, predictor(labelled)(F.col(text))).filter((F.col(f"{p}.lang_pred") != UNDETERMINED) & ~F.col(f"{p}.junk"))
+    # marked as not deterministic, or the optimizer would evaluate it for the filter and for the columns apart
+    known = docs.withColumn(p, predictor(labelled).asNondeterministic()(F.col(text))).filter((F.col(f"{p}.lang_pred") != UNDETERMINED) & ~F.col(f"{p}.junk"))
     return known.withColumn(lang, F.coalesce(F.col(lang), F.col(f"{p}.lang_pred"))).drop(p) if lang in docs.columns else known.drop(p)
