@@ -39,7 +39,7 @@ def scenario_tables(features: DataFrame, source: int | None = None, target: int
             if pairs.isEmpty():
                 raise ValueError(f"no scenario with {name} {wanted}")
     pairs = pairs.withColumn("scenario_id", F.concat_ws("_to_", F.col("source").cast("string"), F.col("target").cast("string")))
-    src = features.filter("split in ('train', 'val')").join(pairs, F.col("domain") == F.col("source")).withColumn("grp", F.when(F.col("split") == "train", "source_train").otherwise("source_val"))
+    src = features.filter("split = 'train' or split = 'val' and is_anomaly = 0").join(pairs, F.col("domain") == F.col("source")).withColumn("grp", F.when(F.col("split") == "train", "source_train").otherwise("source_val"))
     tgt = features.filter("split = 'target'").join(pairs, F.col("domain") == F.col("target")).withColumn("grp", F.when(F.col("is_anomaly") == 0, "target_normal").otherwise("target_fault"))
     return src.unionByName(tgt), win.target_order(tgt, ["scenario_id"]).withColumn("y_true", F.col("is_anomaly"))
 
@@ -127,7 +127,7 @@ def evaluate_distances(spark: SparkSession, root: str, out: str, rho: tuple[floa
     artifacts.write_report(metrics.orderBy(*KEY), f"{out}/run_metrics", None)
     artifacts.write_report(metrics.select(*summary).orderBy("kernel", "dataset", "scenario_id", "prep"), f"{out}/domain_shift_performance", None)
     d = _of(artifacts.read_partitioned(spark, f"{root}/distances"), kernel).withColumn("y_true", (F.col("grp") == "target_fault").cast("int"))
-    judged = d.filter("grp in ('source_val', 'target_normal', 'target_fault')").withColumns({"y_pred": (F.col("d") > F.col("r")).cast("int"), "score": F.col("d")})
+    judged = d.filter("grp in ('target_normal', 'target_fault')").withColumns({"y_pred": (F.col("d") > F.col("r")).cast("int"), "score": F.col("d")})
     perf = stored(ev.performance(judged, KEY), "performance")
     artifacts.write_report(perf.orderBy(*KEY), f"{out}/ad_performance", 6)
     artifacts.write_report(ev.confusion_by(perf.withColumn("prep", replaced(F.col("prep"), PREP_RENAMED)), ["kernel", "dataset", "prep"]), f"{out}/cm_by_dataset", 6)

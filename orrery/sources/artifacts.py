@@ -28,12 +28,6 @@ def run_key_columns(path: Column) -> dict[str, Column]:
     }
 
 
-def relative_run_path(file: Column, root: str) -> Column:
-    """The directory of an artifact file below ``root``, without its last part (the file's name)."""
-    rel = F.regexp_extract(file, r"^(?:file:/*|)/?" + "(?:.*?)" + root.strip("/").replace(".", r"\.") + "/(.*)/[^/]+$", 1)
-    return F.when(rel != "", rel)
-
-
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
