@@ -2,56 +2,45 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from orrery.functions.arrays import sq_dist
 from orrery.functions.kernels import Kernel
-from orrery.operators.scoring import kernel_pairs
+from orrery.operators import gram
+from orrery.operators.ranks import _joined, ranged, with_next, with_running
 
 
 def median_gamma(rows: DataFrame, key: str = "vec_id", x: str = "x", limit: int = 2000, seed: int = 42) -> DataFrame:
-    """1 / median squared distance over pairs; 1 with fewer than two rows or a median of 0. Above ``limit`` rows a seeded
-    sample of row positions is drawn on the driver (indices only) and joined back: the estimate is defined on a sample."""
-    n = rows.count()
-    if n > limit:
-        idx = np.random.default_rng(seed).choice(n, limit, replace=False)
-        spark: SparkSession = rows.sparkSession
-        picked = spark.createDataFrame([(int(i),) for i in idx], "_row long")
-        rows = _numbered(rows, key).join(F.broadcast(picked), "_row", "left_semi")
-    a, b = rows.select(F.col(key).alias("i"), F.col(x).alias("_a")), rows.select(F.col(key).alias("j"), F.col(x).alias("_b"))
-    med = a.join(b, F.col("i") < F.col("j")).agg(F.percentile(sq_dist(F.col("_a"), F.col("_b")), F.lit(0.5)).alias("m"))
-    return med.select(F.when(F.col("m") > 0, 1 / F.col("m")).otherwise(F.lit(1.0)).alias("gamma"))
+    """``gram.median_gammas`` of the table as one run; 1 without rows."""
+    one = gram.median_gammas(rows.withColumn("_run", F.lit(0)), ["_run"], key, x, limit, seed)
+    return one.agg(F.coalesce(F.max("gamma"), F.lit(1.0)).alias("gamma"))
 
 
-def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """0-based position in key order by range partition counts; no global window."""
-    parts = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id())
-    local = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_pid").orderBy(key)))
-    sizes = local.groupBy("_pid").agg(F.max("_k").alias("_n"))
-    offs = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(offs), "_pid").withColumn("_row", F.col("_k") + F.col("_o") - 1).drop("_pid", "_k", "_o")
+def mmd2_by(rows: DataFrame, by: list[str], side: str, gamma: str, x: str = "x") -> DataFrame:
+    """Biased squared MMD between sides ``a`` and ``b`` of each run, with its RBF kernel; null when a side is empty."""
+    sums = gram.rbf_sums(rows, by, side, gamma, x)
+    mean = lambda a, b: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("total") / F.col("pairs")))
+    return sums.groupBy(*by).agg((mean("a", "a") + mean("b", "b") - 2 * mean("a", "b")).alias("mmd2"))
 
 
 def mmd2(source: DataFrame, target: DataFrame, gamma: float, key: str = "vec_id", x: str = "x") -> DataFrame:
     """Biased squared MMD with an RBF kernel; one row."""
-    k = Kernel("rbf", gamma)
-    m = lambda a, b, name: kernel_pairs(a, b, k, key, x).agg(F.avg("k").alias(name))
-    return m(source, source, "ss").join(m(target, target, "tt")).join(m(source, target, "st")).select((F.col("ss") + F.col("tt") - 2 * F.col("st")).alias("mmd2"))
+    side = lambda df, s: df.select(F.col(x).alias("x"), F.lit(s).alias("side"), F.lit(gamma).alias("gamma"), F.lit(0).alias("_run"))
+    both = side(source, "a").unionByName(side(target, "b"))
+    return mmd2_by(both, ["_run"], "side", "gamma").select("mmd2")
 
 
 def wasserstein(rows: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
     """1-D Wasserstein-1 between ``side`` 'a' and 'b' of each group: area between the two distribution functions.
 
-    Counted per distinct value first; null when a side is empty. Groups run in parallel, the ordered pass within one
-    sees distinct values.
+    Counted per distinct value first, then accumulated over ranges of values; null values are left out, and null is the result when a side is empty.
     """
-    per = rows.groupBy(*by, F.col(value).alias("v")).agg(F.sum((F.col(side) == "a").cast("long")).alias("a"), F.sum((F.col(side) == "b").cast("long")).alias("b"))
-    w = Window.partitionBy(*by).orderBy("v")
-    steps = per.select(*by, "v", "a", "b", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), (F.lead("v").over(w) - F.col("v")).alias("dv"))
-    tot = per.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    joined = steps.join(tot, by) if by else steps.join(F.broadcast(tot))
-    area = F.sum(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")) * F.coalesce("dv", F.lit(0.0)))
+    per = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.sum((F.col(side) == "a").cast("long")).alias("a"), F.sum((F.col(side) == "b").cast("long")).alias("b"))
+    table = ranged(per, by, ["v"])
+    steps = with_next(with_running(table, by, ["v"], ["a", "b"]), by, "v", "next")
+    tot = table.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    joined = _joined(steps, tot, by) if by else steps.join(F.broadcast(tot))
+    share = lambda s: (F.col(f"{s}_before") + F.col(s)) / F.nullif(F.col(f"n{s}"), F.lit(0))
+    area = F.sum(F.abs(share("a") - share("b")) * F.coalesce(F.col("next") - F.col("v"), F.lit(0.0)))
     return joined.groupBy(*by).agg(F.when(F.max("na") * F.max("nb") > 0, area).alias("w1"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.numbers import growth_pct, ratio
+from orrery.operators.ranks import _joined, ranged, with_percentiles, with_running
 from orrery.operators.scoring import ANOMALY
 
 
@@ -26,11 +27,10 @@ def with_rates(cm: DataFrame) -> DataFrame:
 def auc(rows: DataFrame, by: list[str], y: str = "y_true", score: str = "score") -> DataFrame:
     """Exact ROC-AUC with ties counted half; null when a class is missing.
 
-    Rows are counted per distinct score first, so the ordered pass sees distinct scores, not rows.
+    Rows are counted per distinct score first and ranked over ranges of scores (``ranks``), so a run spreads over tasks.
     """
     per = rows.groupBy(*by, score).agg(_count(F.col(y) == 1).alias("p"), _count(F.col(y) == 0).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    wins = per.withColumn("w", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2))
+    wins = with_running(ranged(per, by, [score]), by, [score], ["n"]).withColumn("w", F.col("p") * (F.col("n_before") + F.col("n") / 2))
     out = wins.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
 
@@ -51,9 +51,8 @@ def decision_rates(stream: DataFrame, by: list[str]) -> DataFrame:
 
 def latency(stream: DataFrame, by: list[str], seconds: str = "latency_s") -> DataFrame:
     ms = F.col(seconds) * 1000
-    return stream.groupBy(*by).agg(
-        F.avg(ms).alias("mean_ms"), F.percentile(ms, F.lit(0.5)).alias("p50_ms"), F.percentile(ms, F.lit(0.99)).alias("p99_ms"), F.max(ms).alias("max_ms"), F.sum(F.col(seconds)).alias("total_s")
-    )
+    base = stream.groupBy(*by).agg(F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"), F.sum(F.col(seconds)).alias("total_s"))
+    return with_percentiles(base, stream, by, ms, {"p50_ms": 0.5, "p99_ms": 0.99}).select(*by, "mean_ms", "p50_ms", "p99_ms", "max_ms", "total_s")
 
 
 def detection_delay(stream: DataFrame, by: list[str]) -> DataFrame:
@@ -77,11 +76,11 @@ def distance_ratio(distances: DataFrame, by: list[str], groups: list[str], d: st
     """Statistics of d/R per group of each run with R > 0; a group without rows has n = 0 and nulls."""
     ok = distances.filter(F.col(r) > 0)
     q = F.col(d) / F.col(r)
-    pct = F.percentile(q, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    stats = ok.groupBy(*by, "grp").agg(F.count(d).alias("n"), F.avg(q).alias("mean"), F.stddev_pop(q).alias("std"), pct.alias("_p"))
+    stats = ok.groupBy(*by, "grp").agg(F.count(d).alias("n"), F.avg(q).alias("mean"), F.stddev_pop(q).alias("std"))
+    stats = with_percentiles(stats, ok, [*by, "grp"], q, {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)})
     spine = ok.select(*by).distinct().withColumn("grp", F.explode(F.array(*[F.lit(g) for g in groups])))
-    out = spine.join(stats, [*by, "grp"], "left")
-    return out.select(*by, "grp", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", *[F.col("_p")[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
+    out = _joined(spine, stats, [*by, "grp"], "left")
+    return out.select(*by, "grp", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", *[f"p{p}" for p in (5, 25, 50, 75, 95)])
 
 
 def confusion_by(cm: DataFrame, by: list[str]) -> DataFrame:
@@ -127,5 +126,5 @@ def tradeoff(zones: DataFrame, auc_pivot: DataFrame, f1_pivot: DataFrame) -> Dat
 
 def delta_box(compared: DataFrame, metric: str) -> DataFrame:
     """Quartiles of a delta per prep, for a box plot."""
-    q = F.percentile(f"delta_{metric}", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return compared.groupBy("prep").agg(F.count("*").alias("n"), q.alias("_q")).select("prep", "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("lo", "q1", "med", "q3", "hi"))])
+    n = compared.groupBy("prep").agg(F.count("*").alias("n"))
+    return with_percentiles(n, compared, ["prep"], F.col(f"delta_{metric}"), {"lo": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1.0})

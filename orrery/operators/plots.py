@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from orrery.operators.ranks import with_percentiles
+
 
 def polar_bounds(scored: DataFrame, by: list[str], rho: tuple[float, float] | None = None) -> DataFrame:
     """Inner and outer radius, plot limit and number of clipped faults per run. Without ``rho`` the radii are the 50th and
     95th percentile of source_val, or of source_train where there is none."""
     d, g = F.col("d"), F.col("grp")
-    pick = lambda name, p: F.percentile(F.when(g == name, d), F.lit(p))
+    b = scored.groupBy(*by).agg(F.max("r").alias("r"), F.max(F.when(g != "target_fault", d)).alias("_m"))
     if rho is None:
-        inner, outer = (F.coalesce(pick("source_val", p), pick("source_train", p)) for p in (0.5, 0.95))
+        for i, name in enumerate(("source_val", "source_train")):
+            b = with_percentiles(b, scored.filter(g == name), by, d, {f"_in{i}": 0.5, f"_out{i}": 0.95})
+        b = b.withColumns({"r_inner": F.coalesce("_in0", "_in1"), "r_outer": F.coalesce("_out0", "_out1")})
     else:
-        inner, outer = (F.max("r") * p for p in rho)
-    b = scored.groupBy(*by).agg(F.max("r").alias("r"), inner.alias("r_inner"), outer.alias("r_outer"), F.max(F.when(g != "target_fault", d)).alias("_m"))
+        b = b.withColumns({"r_inner": F.col("r") * rho[0], "r_outer": F.col("r") * rho[1]})
     b = b.select(*by, "r", "r_inner", "r_outer", (F.greatest("r", "r_outer", "_m") * 1.3).alias("r_max"))
     faults = scored.filter(g == "target_fault").select(*by, "d").join(b.select(*by, "r_max"), by)
     n = faults.groupBy(*by).agg(F.sum((F.col("d") > F.col("r_max")).cast("long")).alias("n_clipped"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions.arrays import mean_vector, sq_dist
 from orrery.functions.kernels import Kernel
+from orrery.operators.ranks import with_percentiles
+from orrery.storage import stored
 
 SKIP, ADAPT, ANOMALY = 0, 1, 2
 EPS = 10 * float(np.finfo(np.float32).eps)
@@ -45,20 +47,13 @@ def zone(d2: Column, inner: Column, outer: Column) -> Column:
 def r2_tiers(rows: DataFrame, by: list[str], c: Column, eps: float) -> DataFrame:
     """R2 from (alpha, d2): mean over margin vectors, else largest over active ones, else the 0.95 quantile."""
     a, d2 = F.col("alpha"), F.col("d2")
-    out = rows.groupBy(*by).agg(
-        F.avg(F.when((a > eps) & (a < c - eps), d2)).alias("_t1"), F.max(F.when(a > eps, d2)).alias("_t2"), F.percentile("d2", F.lit(0.95)).alias("_t3")
-    )
+    out = rows.groupBy(*by).agg(F.avg(F.when((a > eps) & (a < c - eps), d2)).alias("_t1"), F.max(F.when(a > eps, d2)).alias("_t2"))
+    none = out.filter(F.coalesce("_t1", "_t2").isNull()).select(*by)
+    out = with_percentiles(out, rows.join(none, by, "left_semi"), by, d2, {"_t3": 0.95})
     tier = F.when(F.col("_t1").isNotNull(), 1).when(F.col("_t2").isNotNull(), 2).otherwise(3)
     return out.select(*by, F.coalesce("_t1", "_t2", "_t3").alias("r2"), tier.alias("tier"))
 
 
-def kernel_pairs(a: DataFrame, b: DataFrame, kernel: Kernel, key: str = "vec_id", x: str = "x") -> DataFrame:
-    """All pairs of two vector tables; the second side is replicated by Spark's own choice, never forced."""
-    left = a.select(F.col(key).alias("i"), F.col(x).alias("_a"))
-    right = b.select(F.col(key).alias("j"), F.col(x).alias("_b"))
-    return left.crossJoin(right).select("i", "j", kernel.column(F.col("_a"), F.col("_b")).alias("k"))
-
-
 def top_alpha(vectors: DataFrame, n: int, by: list[str], c: float, eps: float = EPS, rounds: int = 50) -> DataFrame:
     """The n largest weights of each model, scaled to sum 1 and moved into [0, c]: clipped, then what is missing spread over weights strictly
     between the bounds, and again, as ``svdd.to_capped_simplex`` has it. A model's weights are an array of n, folded in the JVM."""
@@ -94,9 +89,9 @@ def kernel_distances(rows: DataFrame, vectors: DataFrame, kernel: Kernel, by: st
         v = vectors.select(F.col(by).alias("_s"), F.col("alpha").alias("_a"), F.col("x").alias("_x"))
         w = v.select(F.col("_s").alias("_s2"), F.col("_a").alias("_a2"), F.col("_x").alias("_x2"))
         norm = v.join(w, F.col("_s") == F.col("_s2")).groupBy("_s").agg(F.sum(F.col("_a") * F.col("_a2") * kernel.column(F.col("_x"), F.col("_x2"))).alias("_norm"))
-        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-        cross = numbered.join(v, F.col(by) == F.col("_s")).groupBy("_row", *rows.columns).agg(F.sum(F.col("_a") * kernel.column(F.col(x), F.col("_x"))).alias("_cross"))
-        both = cross.join(norm, F.col(by) == F.col("_s"))
+        numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        cross = numbered.join(v, F.col(by) == F.col("_s")).groupBy("_row").agg(F.sum(F.col("_a") * kernel.column(F.col(x), F.col("_x"))).alias("_cross"))
+        both = numbered.join(cross, "_row").join(norm, F.col(by) == F.col("_s"))
         return both.select(*rows.columns, F.greatest(kernel.diag_column(F.col(x)) - 2 * F.col("_cross") + F.col("_norm"), F.lit(0.0)).alias("d2"))
     held: dict = {}
     for r in vectors.orderBy(by, "sv_idx").toLocalIterator():

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orrery.operators.ranks import positions
+
 SPLITS = ("train", "val", "test")
 RATIOS = (0.70, 0.15, 0.15)
 
@@ -51,9 +53,9 @@ def sliding_windows(signals: DataFrame, size: int, stride: int | None = None, da
 
 
 def target_order(windows: DataFrame, by: list[str]) -> DataFrame:
-    """``stream_pos`` within ``by``: normals in input order, then faults grouped by type."""
-    w = Window.partitionBy(*by).orderBy("is_anomaly", F.when(F.col("is_anomaly") == 1, F.col("fault_type")), "signal_id", "win_idx")
-    return windows.withColumn("stream_pos", F.row_number().over(w).cast("long") - 1)
+    """``stream_pos`` within ``by``: normals in input order, then faults grouped by type. Numbered over ranges of that order (``ranks``)."""
+    kind = F.when(F.col("is_anomaly") == 1, F.col("fault_type"))
+    return positions(windows, by, {"anomaly": F.col("is_anomaly"), "kind": kind, "signal": F.col("signal_id"), "win": F.col("win_idx")}, "stream_pos")
 
 
 def shuffled(rows: DataFrame, by: list[str], key: list[str], seed: int = 42) -> DataFrame:

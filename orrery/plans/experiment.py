@@ -9,7 +9,7 @@ from orrery.functions.arrays import dot, sq_norm
 from orrery.functions.cepstrum import window_features
 from orrery.functions.kernels import Kernel
 from orrery.functions.numbers import replaced
-from orrery.operators import distribution, evaluation as ev, plots, scoring, svdd, windows as win
+from orrery.operators import distribution, evaluation as ev, gram, plots, scoring, svdd, windows as win
 from orrery.sources import artifacts
 from orrery.storage import stored
 
@@ -63,17 +63,13 @@ def distances(rows: DataFrame, vectors: DataFrame, models: DataFrame, kernel: Ke
 
 def shift_distances(rows: DataFrame, final: DataFrame) -> DataFrame:
     """Per scenario: squared MMD of the features of source_train and target_normal under an RBF kernel with the median heuristic of both,
-    and the Wasserstein-1 distance of their distances under the final model. Each scenario's two sides are all pairs by definition."""
-    pool = rows.filter("grp in ('source_train', 'target_normal')").select("scenario_id", "vec_id", "grp", "x")
-    found = None
-    for r in pool.select("scenario_id").distinct().orderBy("scenario_id").collect():  # a handful of configured pairs of domains
-        mine = pool.filter(F.col("scenario_id") == r.scenario_id).withColumn("vec_id", F.col("vec_id") * 2 + (F.col("grp") == "source_train").cast("long"))
-        gamma = distribution.median_gamma(mine).first().gamma
-        m = distribution.mmd2(mine.filter("grp = 'source_train'"), mine.filter("grp = 'target_normal'"), float(gamma)).withColumn("scenario_id", F.lit(r.scenario_id))
-        found = m if found is None else found.unionByName(m)
+    and the Wasserstein-1 distance of their distances under the final model. All scenarios go through one plan."""
+    pool = rows.filter("grp in ('source_train', 'target_normal')").select("scenario_id", "vec_id", F.when(F.col("grp") == "source_train", "a").otherwise("b").alias("side"), "x")
+    gammas = gram.median_gammas(pool.withColumn("_k", F.struct("side", "vec_id")), ["scenario_id"], "_k")
+    m = distribution.mmd2_by(pool.join(stored(gammas, "gammas"), "scenario_id"), ["scenario_id"], "side", "gamma")
     sides = final.filter("grp in ('source_train', 'target_normal')").withColumn("side", F.when(F.col("grp") == "source_train", "a").otherwise("b"))
     w = distribution.wasserstein(sides, ["scenario_id"], "side", "d").withColumnRenamed("w1", "wasserstein_1d_distance")
-    return w if found is None else w.join(found, "scenario_id", "full")
+    return w.join(m, "scenario_id", "full")
 
 
 def run_metrics(rows: DataFrame, models: DataFrame, run: DataFrame, shift: DataFrame, rho: tuple[float, float] | None) -> DataFrame:

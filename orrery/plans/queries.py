@@ -8,7 +8,7 @@ from orrery.functions.arrays import sq_norm, z_score
 from orrery.functions.cepstrum import window_features, z_cepstrum
 from orrery.functions.kernels import Kernel, polynomial
 from orrery.functions.numbers import mapped, near, replaced
-from orrery.operators import distribution, evaluation as ev, plots, scoring, svdd, windows as win
+from orrery.operators import distribution, evaluation as ev, gram, plots, scoring, svdd, windows as win
 from orrery.plans import experiment as ex
 from orrery.plans.fixtures import DIM, KEY, RHO, WINDOW, rounded, scored, signals, source_train, stream, target_normal, vectors
 from orrery.sources.artifacts import run_key_columns, zone_rows
@@ -92,8 +92,8 @@ def recording_name(s: SparkSession, d: str) -> DataFrame:
 
 def _kernel_summary(s: SparkSession, d: str, k: Kernel) -> DataFrame:
     v = vectors(s, d)
-    pairs = scoring.kernel_pairs(source_train(v), target_normal(v), k)
-    return rounded(pairs.groupBy("i").agg(F.count("*").alias("n"), F.avg("k").alias("mean_k"), F.max("k").alias("max_k"), F.min("k").alias("min_k")))
+    r = gram.kernel_rows(source_train(v), target_normal(v), k)
+    return rounded(r.select("i", "n", (F.col("total") / F.col("n")).alias("mean_k"), F.col("high").alias("max_k"), F.col("low").alias("min_k")))
 
 
 def kernel_matrix(s: SparkSession, d: str) -> DataFrame:
