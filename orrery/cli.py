@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
+import sys
 
 from orrery.config import DATASETS, Dataset, Solver
 from orrery.plans import experiment as ex
@@ -38,14 +40,37 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+class Tee:
+    """Standard output that goes to a log file as well."""
+
+    def __init__(self, *to):
+        self.to = to
+
+    def write(self, text: str) -> int:
+        for t in self.to:
+            t.write(text)
+        return len(text)
+
+    def flush(self) -> None:
+        for t in self.to:
+            t.flush()
+
+
 def main(argv: list[str] | None = None) -> None:
     p = parser()
     a = p.parse_args(argv)
+    if not a.log_file:
+        return _run(p, a)
+    with open(a.log_file, "a", encoding="utf-8") as log, contextlib.redirect_stdout(Tee(sys.stdout, log)):
+        _run(p, a)
+
+
+def _run(p: argparse.ArgumentParser, a: argparse.Namespace) -> None:
     if a.command == "experiment" and not a.events and len(a.signals or []) != len(a.dataset):
         p.error("a table of signals is needed for each data set")
     if a.command == "experiment" and a.kernel == "poly" and a.gamma is None:
         p.error("the poly kernel needs --gamma")
-    logging.basicConfig(level=logging.INFO, handlers=[logging.StreamHandler(), *([logging.FileHandler(a.log_file)] if a.log_file else [])], force=True)
+    logging.basicConfig(level=logging.INFO, handlers=[logging.StreamHandler(sys.stdout if a.log_file else None)], force=True)
     spark = session(a.master or (f"local[{a.workers}]" if getattr(a, "workers", None) else None))
     if a.command == "experiment":
         solver = Solver(mode=a.otta_mode, kernel=a.kernel, gamma=a.gamma, nu=a.nu)

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.kernels import Kernel
 from orrery.operators.scoring import EPS
-from orrery.schemas import SUPPORT_VECTORS
 
 
 
@@ -325,7 +324,7 @@ class Policy:
 
 
 def support_vectors(fitted: DataFrame) -> DataFrame:
-    return fitted.filter("error is null").select(*[f.split()[0] for f in SUPPORT_VECTORS.split(", ")])
+    return fitted.filter("error is null").select("scenario_id", "sv_idx", "alpha", "x")
 
 
 def model_rows(fitted: DataFrame, kernel: Kernel, by: str = "scenario_id") -> DataFrame:

@@ -12,14 +12,12 @@ WINDOWS = ("signal_id long, domain int, fault_type string, is_anomaly int, split
 FEATURES = ("signal_id long, domain int, fault_type string, is_anomaly int, split string, win_idx long, features array<float>")
 MODELS = (
     "scenario_id string, kernel string, gamma double, coef0 double, degree double, c double, r2 double, "
-    "center_norm_sq double, n_sv int, tier int, iterations int, gap double, error string"
-)
-SUPPORT_VECTORS = ("scenario_id string, sv_idx int, alpha double, x array<double>")
-DISTANCES = ("kernel string, dataset string, scenario_id string, source string, target string, prep string, phase string, grp string, pos long, d double")
-STREAM = (
-    "kernel string, dataset string, scenario_id string, source string, target string, prep string, "
-    "stream_pos long, decision int, score double, y_true int, latency_s double, r_trace double"
+    "center_norm_sq double, n_sv int, tier int, iterations int, gap double, error string, prep string"
 )
+SUPPORT_VECTORS = ("scenario_id string, sv_idx int, alpha double, x array<double>, prep string")
+RUN_COLUMNS = "kernel string, dataset string, scenario_id string, source string, target string, prep string"
+DISTANCES = f"grp string, signal_id long, win_idx long, d double, r double, rho_inner double, rho_outer double, {RUN_COLUMNS}"
+STREAM = f"stream_pos long, decision int, score double, y_true int, r_trace double, latency_s double, r_pretrain double, r_final double, {RUN_COLUMNS}"
 RUN_METRICS = (
     "kernel string, dataset string, scenario_id string, source string, target string, prep string, otta_mode string, r double, r_final double, "
     "mmd2 double, wasserstein_1d_distance double, n_source_train long, n_target_normal long, n_target_fault long, feature_dim int, n_warmup long, "

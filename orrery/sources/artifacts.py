@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,9 +34,10 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "over
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """Unreadable part files are skipped, as a damaged artifact must not stop an evaluation."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+def read_partitioned(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Unreadable part files are skipped, as a damaged artifact must not stop an evaluation; without ``schema`` one part must be sound for its columns to be found."""
+    r = spark.read.option("ignoreCorruptFiles", "true")
+    return (r.schema(schema) if schema else r).parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +47,29 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def skipped_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """``file, damaged, whole``: metrics files with damaged documents, and how many of each they hold."""
+    schema = f"{schemas.RUN_METRICS}, _corrupt_record string"
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
+    return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("_corrupt_record").alias("damaged"), F.count("dataset").alias("whole")).filter("damaged > 0")
+
+
+def skipped_parts(spark: SparkSession, path: str) -> DataFrame:
+    """``file``: Parquet files below ``path`` of which no row could be read. File names alone are listed, no contents."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    read = read_partitioned(spark, path, "_ int").select(F.col("_metadata.file_path").alias("file")).distinct()
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731 - the two sources spell schemes differently
+    return there.select(bare(F.col("path")).alias("file")).join(read.select(F.regexp_replace(F.url_decode(F.regexp_replace(bare(F.col("file")), r"\+", "%2B")), "^/*", "/").alias("file")), "file", "left_anti")
+
+
+def report_skipped(spark: SparkSession, metrics: str | None, parts: str) -> list[str]:
+    """A message for each damaged artifact that the readers pass over."""
+    found = [r.file for r in skipped_parts(spark, parts).collect()] + ([r.file for r in skipped_metrics(spark, metrics).collect()] if metrics else [])
+    for f in sorted(found):
+        logging.warning("skipped %s: it can't be read", f)
+    return sorted(found)
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -71,19 +97,25 @@ def save_model(models: DataFrame, vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(f"{path}/support_vectors")
 
 
-def load_kernel(models: DataFrame, scenario_id: str) -> Kernel:
+def _run(df: DataFrame, scenario_id: str, prep: str | None) -> DataFrame:
+    mine = df.filter(F.col("scenario_id") == scenario_id)
+    return mine if prep is None else mine.filter(F.col("prep") == prep)
+
+
+def load_kernel(models: DataFrame, scenario_id: str, prep: str | None = None) -> Kernel:
     """The kernel of a stored model."""
-    r = models.filter(F.col("scenario_id") == scenario_id).select("kernel", "gamma", "coef0", "degree").first()
+    r = _run(models, scenario_id, prep).select("kernel", "gamma", "coef0", "degree").first()
     if r is None:
         raise KeyError(scenario_id)
     return Kernel(r.kernel, r.gamma, r.coef0, r.degree)
 
 
-def load_description(spark: SparkSession, path: str, scenario_id: str) -> Description:
-    """One stored model ready to score: its kernel and vectors (bounded by the solver's buffer) and the numbers that go with them."""
+def load_description(spark: SparkSession, path: str, scenario_id: str, prep: str | None = None) -> Description:
+    """One stored model ready to score: its kernel and vectors (bounded by the solver's buffer) and the numbers that go with them. ``prep`` is needed
+    where the scenario has several preprocessings."""
     models, vectors = load_model(spark, path)
-    kernel, m = load_kernel(models, scenario_id), models.filter(F.col("scenario_id") == scenario_id).first()
-    rows = vectors.filter(F.col("scenario_id") == scenario_id).orderBy("sv_idx").select("alpha", "x").collect()
+    kernel, m = load_kernel(models, scenario_id, prep), _run(models, scenario_id, prep).first()
+    rows = _run(vectors, scenario_id, prep).orderBy("sv_idx").select("alpha", "x").collect()
     x, alpha = np.array([r.x for r in rows], float), np.array([r.alpha for r in rows], float)
     return Description(kernel, m.c, x, alpha, kernel.matrix(x, x) @ alpha, kernel.diag(x), r2=m.r2, tier=m.tier, norm2=m.center_norm_sq)
 

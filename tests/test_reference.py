@@ -215,6 +215,40 @@ def test_experiment_equals_plain_numpy(spark, tmp_path, kernel, gamma):
     assert r.n_warmup == int(len(b) * 0.1) and r.rho_inner == 0.5 and r.error is None and r.otta_mode == "dual_boundary" and abs(r.r_final**2 - m.r2) < 1e-9
     ex.evaluate_distances(spark, root, out, kernel=kernel)
     ex.evaluate_stream(spark, root, out, kernel)
+    report = lambda n: spark.read.option("header", "true").option("inferSchema", "true").csv(f"{out}/{n}")
+    # Source validation holds normal windows alone; only target rows are judged.
+    sig = {r.signal_id: r.is_anomaly for r in q.signals(spark, "/root/testdata/sf0.01").collect()}
+    assert {sig[i] for i in feats[feats.grp == "source_val"].signal_id} == {0}
+    m = artifacts.load_description(spark, f"{root}/model", "0_to_1")
+    d = {g: np.sqrt(m.d2(x)) for g, x in side.items()}
+    radius_ = math.sqrt(max(m.r2, 0))
+    n, f = d["target_normal"], d["target_fault"]
+    tp, fn, fp, tn = (f > radius_).sum(), (f <= radius_).sum(), (n > radius_).sum(), (n <= radius_).sum()
+    auc = (f[:, None] > n).mean() + (f[:, None] == n).mean() / 2
+    prec, rec = tp / max(tp + fp, 1), tp / (tp + fn)
+    f1 = 2 * prec * rec / max(prec + rec, 1e-300)
+    got = report("ad_performance").first()
+    assert (got.tp, got.fn, got.fp, got.tn) == (tp, fn, fp, tn) and abs(got.auc - auc) < 1e-5 and abs(got.f1 - f1) < 1e-5 and abs(got.accuracy - (tp + tn) / (len(n) + len(f))) < 1e-5
+    assert (got.scenario, got.prep, got.prep_label) == ("0->1", "p4_cepstrum", "Cepstrum")
+    got = report("cm_by_dataset").first()
+    assert abs(got.fp_rate - fp / len(n)) < 1e-5 and abs(got.tp_rate - tp / len(f)) < 1e-5
+    got = report("tradeoff").first()
+    assert abs(got.auc - auc) < 1e-3 and abs(got.inner_pct - (n < radius_ * 0.5).mean() * 100) < 1e-3 and abs(got.outer_pct - (n > radius_ * 1.5).mean() * 100) < 1e-3
+    for r in report("distance_ratio").collect():
+        v = d[r.grp] / radius_
+        assert r.n == len(v) and np.allclose([r["mean"], r["std"], r.p5, r.p50, r.p95], [v.mean(), v.std(), *np.quantile(v, [0.05, 0.5, 0.95])], atol=2e-4)
+    steps = artifacts.read_partitioned(spark, f"{root}/stream").orderBy("stream_pos").toPandas()
+    y, code = steps.y_true.to_numpy(), steps.decision.to_numpy()
+    got = report("adaptive_performance").first()
+    assert (got.n_stream, got.n_normal, got.n_anomaly) == (len(y), (y == 0).sum(), (y == 1).sum()) == (len(n) + len(f), len(n), len(f))
+    assert got.tp == ((code == 2) & (y == 1)).sum() and got.n_adapt_normal == ((code == 1) & (y == 0)).sum() and abs(got.r_mean - steps.r_trace.mean()) < 1e-5
+    s1, s0 = -steps.score[y == 1].to_numpy(), -steps.score[y == 0].to_numpy()
+    auc2 = (s1[:, None] > s0).mean() + (s1[:, None] == s0).mean() / 2
+    assert abs(got.auc - auc2) < 1e-5
+    got = report("baseline_vs_adapted").first()
+    assert abs(got.delta_auc - (auc2 - auc)) < 1e-4
+    got = report("polar_bounds").first()
+    assert got.n_clipped == (f > got.r_max).sum() and abs(got.r_max - 1.3 * max(radius_ * 1.5, max(v.max() for g, v in d.items() if g != "target_fault"))) < 1e-4
     sizes = {n: spark.read.option("header", "true").csv(f"{out}/{n}").count() for n in ("run_metrics", "domain_shift_performance", "ad_performance", "cm_by_dataset", "tradeoff", "baseline_vs_adapted", "polar_bounds", "delta_box", "r_trace_panel")}
     assert set(sizes.values()) == {1}
     assert spark.read.option("header", "true").csv(f"{out}/polar_points").count() > 20
@@ -222,13 +256,45 @@ def test_experiment_equals_plain_numpy(spark, tmp_path, kernel, gamma):
     assert got.mean_ms > 0 and got.max_ms >= got.p99_ms >= got.p50_ms and got.total_s > 0
 
 
+def test_preprocessings_side_by_side(spark, tmp_path, caplog):
+    """Two preprocessings, one of which fails: its record has the error, and nothing else of it is written; damaged artifacts are named."""
+    from orrery.config import Dataset, Solver
+    from orrery.functions.features import default_preps
+    from orrery.plans import experiment as ex
+
+    def broken(m):
+        raise RuntimeError("no such filter")
+
+    root, out = str(tmp_path / "r"), str(tmp_path / "o")
+    preps = default_preps(4) | {"p1_moments": lambda m: np.c_[m.mean(1), m.std(1), np.abs(m).max(1)], "p9_broken": broken}
+    ex.run_experiment(spark, q.signals(spark, "/root/testdata/sf0.01"), Dataset("cwru", {}, 16, 4, (0.5, 1.5), 1), root, Solver(), source=0, target=1, preps=preps)
+    got = {r.prep: r for r in artifacts.read_metrics(spark, f"{root}/metrics").collect()}
+    assert set(got) == set(preps) and "no such filter" in got["p9_broken"].error and got["p9_broken"].r is None
+    assert all(got[p].error is None and got[p].r > 0 for p in ("p4_cepstrum", "p1_moments")) and got["p1_moments"].feature_dim == 3
+    assert {r.prep for r in artifacts.read_partitioned(spark, f"{root}/distances").select("prep").distinct().collect()} == {"p4_cepstrum", "p1_moments"}
+    assert artifacts.load_description(spark, f"{root}/model", "0_to_1", "p1_moments").x.shape[1] == 3
+    (tmp_path / "r" / "metrics" / "bad.json").write_text("{broken\n")
+    part = next((tmp_path / "r" / "distances").rglob("*.parquet"))
+    (part.parent / "damaged.parquet").write_text("nothing of it")
+    with caplog.at_level("WARNING"):
+        ex.evaluate_distances(spark, root, out)
+    assert sorted(r.getMessage().split("/")[-1].split(":")[0] for r in caplog.records if r.getMessage().startswith("skipped")) == ["bad.json", "damaged.parquet"]
+    rows = spark.read.option("header", "true").csv(f"{out}/ad_performance").collect()
+    assert {(r.prep, r.prep_label, r.scenario) for r in rows} == {("p4_cepstrum", "Cepstrum", "0->1"), ("p1_moments", "p1_moments", "0->1")}
+    speeds = spark.createDataFrame([("cwru", "1730", "1797", "x"), ("pu", "900", "1730", "p4_cepstrum")], "dataset string, source string, target string, prep string")
+    assert [(r.scenario, r.prep_label) for r in ex.labelled(speeds).collect()] == [("A->D", "x"), ("A->1730", "Cepstrum")]
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     from orrery import cli
 
     monkeypatch.setattr(cli, "session", lambda *a, **k: spark)
     root, out = str(tmp_path / "r"), str(tmp_path / "o")
     cli.main(["experiment", "--events", "/root/testdata/sf0.01/events.parquet", "--dataset", "events", "--out-dir", root, "--source", "0", "--target", "1", "--otta-mode", "single", "--nu", "0.2"])
-    cli.main(["evaluate", "--results-root", root, "--out-dir", out])
+    cli.main(["--log-file", str(tmp_path / "log"), "evaluate", "--results-root", root, "--out-dir", out])
+    assert f"reports in {out}" in (tmp_path / "log").read_text()
+    cli.main(["--log-file", str(tmp_path / "log"), "query", "scenario_pairs", "--tables", "/root/testdata/sf0.001"])
+    assert "|source|target|" in (tmp_path / "log").read_text()
     assert spark.read.option("header", "true").csv(f"{out}/run_metrics").first().otta_mode == "single_boundary"
     for bad in (["experiment", "--out-dir", root], ["experiment", "--signals", "x", "--out-dir", root, "--source", "5"], ["experiment", "--events", "x", "--dataset", "events", "--kernel", "poly", "--out-dir", root]):
         with pytest.raises(SystemExit):
