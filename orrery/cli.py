@@ -8,9 +8,11 @@ import logging
 import sys
 
 from orrery.config import DATASETS, Dataset, Solver
+from orrery.operators.chunks import chunks_from_events
 from orrery.plans import experiment as ex
 from orrery.session import session
 from orrery.sources.signals import read_signals, signals_from_events
+from orrery.storage import stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--gamma", type=float, help="of the rbf or poly kernel; rbf without it takes the median heuristic")
     e.add_argument("--nu", type=float, default=0.1)
     e.add_argument("--workers", type=int, help="local cores, where no master is given")
+    e.add_argument("--chunk", type=int, help="with --events: read signals as chunks of so many samples, for signals larger than a row should be")
     e.add_argument("--source", type=int)
     e.add_argument("--target", type=int)
     v = sub.add_parser("evaluate", help="reports from stored artifacts")
@@ -78,8 +81,11 @@ def _run(p: argparse.ArgumentParser, a: argparse.Namespace) -> None:
             dataset = DATASETS.get(name) or Dataset("events", {}, 16, None, (0.5, 1.5), 1)
             if dataset.domains and any(x is not None and x not in dataset.domains.values() for x in (a.source, a.target)):
                 p.error(f"{name} has the domains {sorted(dataset.domains.values())}")
-            signals = signals_from_events(spark.read.parquet(path)) if a.events else read_signals(spark, path)
-            ex.run_experiment(spark, signals, dataset, f"{a.out_dir}/{name}" if len(a.dataset) > 1 else a.out_dir, solver, a.source, a.target)
+            if a.events and a.chunk:
+                signals = stored(chunks_from_events(spark.read.parquet(path), a.chunk), "chunks")
+            else:
+                signals = signals_from_events(spark.read.parquet(path)) if a.events else read_signals(spark, path)
+            ex.run_experiment(spark, signals, dataset, f"{a.out_dir}/{name}" if len(a.dataset) > 1 else a.out_dir, solver, a.source, a.target, chunk=a.chunk if a.events else None)
         logging.info("artifacts in %s", a.out_dir)
     elif a.command == "evaluate":
         ex.evaluate_distances(spark, a.results_root, a.out_dir, kernel=a.kernel)

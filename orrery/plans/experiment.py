@@ -10,7 +10,7 @@ from orrery.functions.arrays import dot, sq_norm
 from orrery.functions.features import PREP_LABELS, Prep, default_preps, with_preps
 from orrery.functions.kernels import Kernel
 from orrery.functions.numbers import mapped, replaced
-from orrery.operators import distribution, evaluation as ev, gram, plots, scoring, svdd, windows as win
+from orrery.operators import chunks, distribution, evaluation as ev, gram, plots, scoring, svdd, windows as win
 from orrery.sources import artifacts
 from orrery.storage import stored
 
@@ -19,11 +19,16 @@ GROUPS = ["source_train", "source_val", "target_normal", "target_fault"]
 PREP_RENAMED = {"p6_stat": "p6_tds"}  # fixed value: an earlier name of a preprocessing in stored runs
 
 
-def feature_table(signals: DataFrame, window: int, lifter_n: int | None, ratios: tuple[float, ...], preps: dict[str, Prep] | None = None) -> DataFrame:
+def feature_table(signals: DataFrame, window: int, lifter_n: int | None, ratios: tuple[float, ...], preps: dict[str, Prep] | None = None, chunk: int | None = None) -> DataFrame:
     """Windows of the temporal chunks (as a source) and of whole signals (as a target, split ``target``), with the features ``x`` of every ``prep``.
 
-    Windows are spread before Python reads them: a few long signals would otherwise feed a few tasks.
+    Windows are spread before Python reads them: a few long signals would otherwise feed a few tasks. Signals with a ``chunk_no`` are
+    chunks of ``chunk`` samples each (``chunks``), and no task holds more of a signal than a chunk and a window.
     """
+    if chunk:
+        spans = chunks.split_spans(signals, ratios).filter("split <> 'test'").unionByName(chunks.whole_spans(signals))
+        w = chunks.chunk_windows(signals, spans, chunk, window).filter("split <> 'train' or is_anomaly = 0").repartition("signal_id", "win_idx")
+        return with_preps(w, preps or default_preps(lifter_n)).withColumn("vec_id", F.col("signal_id") * 1_000_000_000 + F.col("win_idx"))
     parts = win.temporal_split(signals, ratios).select("signal_id", "domain", "fault_type", "is_anomaly", "split", "data")
     whole = signals.select("signal_id", "domain", "fault_type", "is_anomaly", F.lit("target").alias("split"), "data")
     w = win.sliding_windows(parts.filter("split <> 'test'").unionByName(whole), window).repartition("signal_id", "win_idx")
@@ -95,11 +100,11 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({"scenario_id": F.substring_index("scenario_id", "|", 1), "prep": F.substring_index("scenario_id", "|", -1)})
 
 
-def run_experiment(spark: SparkSession, signals: DataFrame, dataset: Dataset, out: str, solver: Solver | None = None, source: int | None = None, target: int | None = None, preps: dict[str, Prep] | None = None) -> None:
+def run_experiment(spark: SparkSession, signals: DataFrame, dataset: Dataset, out: str, solver: Solver | None = None, source: int | None = None, target: int | None = None, preps: dict[str, Prep] | None = None, chunk: int | None = None) -> None:
     """Artifacts of all scenarios and preprocessings below ``out``, partitioned by run key: distances before and after adaptation, stream with latencies,
     metrics, and both models. Runs go in parallel, one task each; one that fails, in its preprocessing or its fit, leaves an error in ``metrics``."""
     solver = solver or Solver()
-    rows, stream = scenario_tables(stored(feature_table(signals, dataset.window, dataset.lifter_n, solver.ratios, preps), "features"), source, target)
+    rows, stream = scenario_tables(stored(feature_table(signals, dataset.window, dataset.lifter_n, solver.ratios, preps, chunk), "features"), source, target)
     rows, stream = stored(rows.withColumn("scenario_id", _run_id()).drop("prep"), "rows"), stored(stream.filter("x is not null").select(_run_id().alias("scenario_id"), "stream_pos", "y_true", "x"), "stream")
     errors = rows.groupBy("scenario_id").agg(F.min("error").alias("failed"))
     train = rows.filter("grp = 'source_train' and x is not null").select("scenario_id", "vec_id", "x")

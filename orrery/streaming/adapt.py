@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from orrery.functions.cepstrum import window_features
 from orrery.functions.kernels import Kernel
 from orrery.operators.svdd import Description, Policy, fresh
+from orrery.streaming.assemble import window_stream
 
 OUT = "scenario_id string, stream_pos long, decision int, score double, y_true int, r_trace double, latency_s double, missing long"
 STATE = "model binary, seen long, next long, warmup long, r_pretrain double"
@@ -126,3 +128,13 @@ def run_available(spark: SparkSession, source: str, schema: str, models: DataFra
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     q = adapt_stream(rows, models, kernel, rho, wait_ms=wait_ms).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_samples(spark: SparkSession, source: str, schema: str, models: DataFrame, kernel: Kernel, window: int, lifter_n: int | None, sink: str, checkpoint: str, rho: tuple[float, float] | None = (0.5, 1.5), files: int = 4) -> None:
+    """As ``run_available`` for a stream of samples (``assemble.window_stream``): windows, their features and the decisions in one streaming query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    rows = window_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source), window)
+    features = window_features(rows, lifter_n).select("scenario_id", "stream_pos", "y_true", F.col("features").cast("array<double>").alias("x"))
+    q = adapt_stream(features, models, kernel, rho).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
