@@ -126,13 +126,13 @@ def test_query_equals_brute_force(spark):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == plain(rows)
 
 
-def test_query_sorts_through_spilled_queues(spark, monkeypatch):
+def test_query_sorts_through_spilled_queues(spark, tmp_path):
     """With the registered parameters, queues of a shard go to disk and names are sorted by recursion."""
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
     base = [" ".join(rnd.choice(words) for _ in range(1200)) for _ in range(400)]
     parts = [t.encode() for t in base]
     stats: dict = {}
-    got = sd.least_ids(parts + parts[:3], np.arange(403), spill="file:///tmp/orrery-test-queues", stats=stats)
+    got = sd.least_ids(parts + parts[:3], np.arange(403), spill=f"file://{tmp_path}/queues", stats=stats)
     assert stats["spilled"] > 0 and stats["levels"] > 2
     assert all((got[400 + i] == i).all() for i in range(3)) and all((got[i] == i).all() for i in range(400))
