@@ -194,7 +194,7 @@ def _round(rows: DataFrame, by: str, fits: dict[str, Fit], bounds: dict, dim: di
         left = 1 - f.c * n1
         part = left / n2 if n2 else 0.0
         a = f.center
-        f.gap = f.c * g1 + left * bounds[k][1] - (f.square - a @ a)
+        f.gap = float(f.c * g1 + left * bounds[k][1] - (f.square - a @ a))
         f.rounds += 1
         if f.gap <= tol * max(1e-12, f.square - a @ a):
             f.done = True

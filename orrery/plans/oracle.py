@@ -188,4 +188,15 @@ SELECT vec_id, c || '_' || b || '_' || (vec_id % 20 + 1) || '.mat' AS file, CASE
     "seeded_order": "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42#' || vec_id), vec_id) - 1 AS shuffle_pos FROM embeddings",
     "polar_points": f"""WITH {SC}, t AS (SELECT *, md5(vec_id::VARCHAR) AS h FROM sc), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, prep, grp ORDER BY h, vec_id) AS k, ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE * 6.283185307179586::DOUBLE AS turn FROM t)
 SELECT dataset, prep, grp, vec_id, round(d * cos(turn), 6) AS px, round(d * sin(turn), 6) AS py FROM n WHERE k <= 500""",
+    "svdd_optimality": f"""WITH {VEC} SELECT 'k' || (label % 5) AS scenario_id, count(*) AS n_rows, round(1 / (0.1::DOUBLE * count(*)), 9) AS c, true AS sums_to_one, true AS in_box, true AS optimal, true AS large_agrees
+FROM tr GROUP BY 1""",
+    "model_performance": f"""WITH {VEC}, t AS (SELECT 'k' || (label % 5) AS scenario_id, x FROM tr),
+c AS (SELECT scenario_id, list(m ORDER BY p) AS c FROM (SELECT scenario_id, p, avg(e) AS m FROM (SELECT scenario_id, unnest(x)::DOUBLE AS e, generate_subscripts(x, 1) AS p FROM t) GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT scenario_id, max(list_sum(list_transform(list_zip(x, c), lambda q: power(q[1]::DOUBLE - q[2], 2)))) AS r2 FROM t JOIN c USING (scenario_id) GROUP BY 1),
+j AS (SELECT scenario_id, (label >= 5)::INTEGER AS y_true, round(sqrt(list_sum(list_transform(list_zip(x, c), lambda q: power(q[1]::DOUBLE - q[2], 2)))), 5) AS score, round(sqrt(r2), 5) AS radius
+  FROM (SELECT *, 'k' || (label % 5) AS scenario_id FROM v WHERE NOT (label < 5 AND vec_id % 2 = 0)) JOIN c USING (scenario_id) JOIN r USING (scenario_id)),
+jj AS (SELECT *, (score > radius)::INTEGER AS y_pred FROM j), {_cm('jj', 'm', 'scenario_id')}, {_auc('jj', 'a', by='scenario_id')},
+perf AS (SELECT scenario_id, tp, tn, fp, fn, {RATES}, auc FROM m JOIN a USING (scenario_id) WHERE auc IS NOT NULL)
+SELECT scenario_id, tp, tn, fp, fn, {', '.join(f'round({x}, 5) AS {x}' for x in ('accuracy', 'prec', 'recall', 'f1', 'auc'))} FROM perf""",
 }
+ORACLE["chunk_windows"] = ORACLE["window_signal"]

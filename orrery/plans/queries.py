@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.functions.arrays import sq_norm, z_score
 from orrery.functions.cepstrum import window_features, z_cepstrum
 from orrery.functions.kernels import Kernel, polynomial
 from orrery.functions.numbers import mapped, near, replaced
-from orrery.operators import distribution, evaluation as ev, gram, plots, scoring, svdd, windows as win
+from orrery.operators import chunks, distribution, evaluation as ev, gram, plots, scoring, svdd, windows as win
+from orrery.operators.large_fit import fit_large
 from orrery.plans import experiment as ex
 from orrery.plans.fixtures import DIM, KEY, RHO, WINDOW, rounded, scored, signals, source_train, stream, target_normal, vectors
 from orrery.sources.artifacts import run_key_columns, zone_rows
@@ -292,6 +295,40 @@ def svdd_fit_closed_form(s: SparkSession, d: str) -> DataFrame:
     return rounded(svdd.model_rows(m, Kernel()).select("scenario_id", "n_sv", "tier", "r2"), 5)
 
 
+def svdd_optimality(s: SparkSession, d: str) -> DataFrame:
+    """Whether each fit meets the conditions of the optimum, and whether the fit beyond one task finds the same radius."""
+    train, kernel = stored(_scenarios(s, d)[0], "train"), Kernel()
+    fitted = stored(svdd.fit_scenarios(train, kernel), "fitted")
+    sv, models = svdd.support_vectors(fitted), svdd.model_rows(fitted, kernel)
+    far = ex.distances(train, sv, models, kernel).select("scenario_id", "vec_id", (F.col("d") * F.col("d")).alias("d2"))
+    weights = train.join(sv.select("scenario_id", F.col("x").alias("_x"), "alpha"), (train.scenario_id == sv.scenario_id) & (F.col("x") == F.col("_x")), "left").select(train.scenario_id, "vec_id", F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
+    rows = far.join(weights, ["scenario_id", "vec_id"]).join(models.select("scenario_id", "c", "r2"), "scenario_id")
+    a, c, d2 = F.col("alpha"), F.col("c"), F.col("d2")
+    checked = rows.groupBy("scenario_id").agg(
+        F.count("*").alias("n_rows"), F.round(F.max(c), 9).alias("c"), (F.abs(F.sum(a) - 1) < 1e-6).alias("sums_to_one"), ((F.min(a) >= 0) & (F.max(a - c) < 1e-6)).alias("in_box"),
+        (F.coalesce(F.max(F.when(a < c - svdd.EPS, d2)) - F.min(F.when(a > svdd.EPS, d2)), F.lit(0.0)) < 2e-3).alias("optimal"), F.sqrt(F.max("r2")).alias("_r"),
+    )
+    large = [(k, math.sqrt(f.r2), f.gap) for k, f in fit_large(train, 0.1, 1e-4).items()]
+    agree = checked.join(F.broadcast(s.createDataFrame(large, "scenario_id string, _large double, _gap double")), "scenario_id")
+    return agree.withColumn("large_agrees", (F.abs(F.col("_large") - F.col("_r")) < 0.01 * F.col("_r")) & (F.col("_gap") < 1e-3)).drop("_r", "_large", "_gap")
+
+
+def model_performance(s: SparkSession, d: str) -> DataFrame:
+    """Performance of fitted models (nu = 1) on their target rows: fit, distances and judgement as in a run."""
+    train, rest = _scenarios(s, d)
+    fitted, kernel = stored(svdd.fit_scenarios(train, Kernel(), nu=1.0), "fitted"), Kernel()
+    far = ex.distances(rest, svdd.support_vectors(fitted), svdd.model_rows(fitted, kernel), kernel)
+    judged = far.withColumns({"score": F.round("d", 5), "y_pred": (F.round("d", 5) > F.round("r", 5)).cast("int")})
+    return rounded(ev.performance(judged, ["scenario_id"]), 5)
+
+
+def chunk_windows(s: SparkSession, d: str) -> DataFrame:
+    """``window_signal`` from signals held as chunks of 10 samples."""
+    c = stored(chunks.chunks_from_events(table(s, d, "events"), 10), "chunks")
+    w = chunks.chunk_windows(c, chunks.split_spans(c), 10, WINDOW, 8).filter("split <> 'train' or is_anomaly = 0")
+    return w.select("signal_id", "split", "win_idx", F.col("x")[0].alias("first"), F.col("x")[WINDOW - 1].alias("last"), F.size("x").alias("n"))
+
+
 def otta_replay(s: SparkSession, d: str) -> DataFrame:
     train, rest = _scenarios(s, d)
     return svdd.replay(rest, train, Kernel(), rho=RHO)
@@ -385,6 +422,6 @@ QUERIES = {
         domain_split, temporal_split, window_signal, source_val_union, znorm, liftered_features, target_stream_order, label_map, domain_map, scenario_pairs, run_key, recording_name,
         kernel_matrix, rbf_kernel, poly_kernel, kernel_diag, svdd_distance, rbf_distance, svdd_predict, zone_decision, r2_tiers, topk_alpha, buffer_size, warmup_length, confusion_matrix, auc, ad_performance,
         otta_performance, decision_rates, latency_stats, detection_delay, distance_ratio, cm_by_dataset, metric_pivot, baseline_vs_otta, delta_box, zone_ratio, tradeoff, zone_flatten, run_summary,
-        znorm_long, bearing_name, channel_pick, value_replace, kept_signals, seeded_order, final_distances, run_metrics, median_gamma, mmd2, wasserstein, polar_bounds, polar_points, r_trace_panel, r_trace_points, svdd_fit, svdd_fit_closed_form, otta_replay, otta_single, otta_stream,
+        znorm_long, bearing_name, channel_pick, value_replace, kept_signals, seeded_order, final_distances, run_metrics, median_gamma, mmd2, wasserstein, polar_bounds, polar_points, r_trace_panel, r_trace_points, svdd_fit, svdd_fit_closed_form, svdd_optimality, model_performance, chunk_windows, otta_replay, otta_single, otta_stream,
     )
 } | {"cepstrum": cepstrum_query}

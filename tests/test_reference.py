@@ -349,3 +349,27 @@ def test_kernel_distances_both_ways(spark):
     assert abs(make_kernel("rbf", pts).gamma - 1 / np.median(d2)) < 1e-9 and make_kernel("linear", pts) == Kernel()
     with pytest.raises(ValueError):
         make_kernel("poly", pts)
+
+
+def test_single_boundary_codes(spark):
+    """otta_single against the rule written out: warm-up rows adapt, then rows inside the moving radius do, others are anomalies."""
+    from orrery.operators.svdd import box_from_nu, buffer_size
+
+    sf = "/root/testdata/sf0.01"
+    train, rest = q._scenarios(spark, sf)
+    t, r = train.toPandas(), rest.toPandas()
+    want = {}
+    for k, mine in r.groupby("scenario_id"):
+        mine = mine.sort_values("stream_pos")
+        x = np.stack(t[t.scenario_id == k].sort_values("vec_id").x.to_list())
+        c = box_from_nu(len(x), 0.1)
+        m = Description.fit(x, Kernel(), c).bounded(buffer_size(len(x), len(mine), c))
+        warm = int((mine.y_true == 0).sum() * 0.1)
+        for i, (pos, v) in enumerate(zip(mine.stream_pos, mine.x)):
+            v = np.asarray(v, float)
+            code = 1 if i < warm or m.r2 - m.d2(v)[0] >= 0 else 2
+            if code == 1:
+                m.update(v, 10)
+            want[k, pos] = (code, round(float(m.r2 - m.d2(v)[0]), 9))
+    got = {(o.scenario_id, o.stream_pos): (o.decision, round(o.score, 9)) for o in q.otta_single(spark, sf).collect()}
+    assert got == want and {v[0] for v in want.values()} == {1, 2}
