@@ -8,8 +8,8 @@ Running totals never gather a source: documents are dealt by (source, first ``RU
 and only the sums (4,096 a source) are accumulated; the global total likewise, by the ranges of the sort.
 
 Results in the odd cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0
-take 0 words; a source of size 0 has target 0; null or repeated ids are shuffled by their hash as others are (repeated rows
-each count); an empty table gives no rows; other columns are not read by ``plan_mix`` and pass through ``mix``.
+take 0 words; a source of size 0 has target 0; rows of one id, null ids too, share a hash and follow each other by size, then by the hash of their text, so
+that reruns take the same (repeated rows each count); an empty table gives no rows; other columns are not read by ``plan_mix`` and pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ _TIME = ("__finish", "__null", "__source")
 
 
 def _queued(rows: DataFrame, budget_share: float, most: int, seed: str) -> DataFrame:
-    """Rows with ``__id, __source, __size`` gain size and target of their source, and ``__before``: words of their queue ahead of them."""
+    """Rows with ``__id, __source, __size`` (and ``__tie``, which orders rows equal in these) gain size and target of their source, and ``__before``: words of their queue ahead of them."""
     key = F.md5(F.concat(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit("#" + seed)).cast("binary"))
     rows = rows.withColumn("__key", key).withColumn("__run", F.substring("__key", 1, RUN_DIGITS))
     runs = rows.groupBy("__source", "__run").agg(F.sum("__size").alias("__n"))
@@ -58,7 +58,8 @@ def _queued(rows: DataFrame, budget_share: float, most: int, seed: str) -> DataF
     goal = targets(rows.groupBy(F.col("__source").alias("source_key")).agg(F.sum("__size").alias("source_size")), budget_share, most)
     runs = runs.join(goal, F.col("__source").eqNullSafe(F.col("source_key")), "left").drop("source_key")
     runs = runs.withColumnsRenamed({"__source": "__s", "__run": "__r"})
-    order = Window.partitionBy("__source", "__run").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    tie = ["__tie"] if "__tie" in rows.columns else []
+    order = Window.partitionBy("__source", "__run").orderBy("__key", "__size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
     q = local.join(runs, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__run") == F.col("__r")))
     return q.withColumn("__before", F.col("__offset") + F.col("__before")).drop("__s", "__r", "__key", "__run", "__offset")
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     cut = stored(_cut(q, most, budget_share), "cut")
     discard(q)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    wide = _queued(docs.select(F.col(key).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"), row.alias("__row")), budget_share, most, seed)
+    wide = _queued(docs.select(F.col(key).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"), F.xxhash64(text).alias("__tie"), row.alias("__row")), budget_share, most, seed)
     at = F.struct(_finish(F.col("__pass")).alias("__finish"), F.col("__source").isNull().alias("__null"), F.col("__source").alias("__source"))
     live = wide.filter((F.col("__size") > 0) & (F.col("target") > 0)).join(F.broadcast(cut))
     # passes are tested before rows are repeated, so that a row is copied only as often as it is taken

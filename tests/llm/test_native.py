@@ -106,3 +106,18 @@ def test_order_and_cut_equal_a_plain_queue(spark):
         order = [r.doc_id for r in mixing.mix(df, budget_share=share).collect()]
         assert len(order) == sum(t // len(rows[i][1].split()) for i, t in want.items())
         assert order == [i for _, _, i, _ in sorted(queue)][: len(order)]
+
+
+def test_mix_is_the_same_in_any_input_order(spark):
+    import random
+
+    from orrery.llm import mixing
+
+    rows = [(None if i % 2 else 7, f"s{i % 3}", f"word{i} and two{i}") for i in range(60)]
+    got = []
+    for seed in (1, 2):
+        mine = rows[:]
+        random.Random(seed).shuffle(mine)
+        df = spark.createDataFrame(mine, "doc_id long, source string, text string").repartition(3)
+        got.append(sorted(map(repr, mixing.mix(df, budget_share=0.4).collect())))
+    assert got[0] == got[1] and 0 < len(got[0]) < 60
