@@ -65,7 +65,10 @@ def main(argv: list[str] | None = None) -> None:
     if not a.log_file:
         return _run(p, a)
     with open(a.log_file, "a", encoding="utf-8") as log, contextlib.redirect_stdout(Tee(sys.stdout, log)):
-        _run(p, a)
+        try:
+            _run(p, a)
+        finally:
+            logging.basicConfig(handlers=[logging.StreamHandler(sys.__stderr__)], force=True)  # the log is closed from here on
 
 
 def _run(p: argparse.ArgumentParser, a: argparse.Namespace) -> None:
