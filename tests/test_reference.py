@@ -299,6 +299,7 @@ def test_command_line(spark, tmp_path, monkeypatch):
     for bad in (["experiment", "--out-dir", root], ["experiment", "--signals", "x", "--out-dir", root, "--source", "5"], ["experiment", "--events", "x", "--dataset", "events", "--kernel", "poly", "--out-dir", root]):
         with pytest.raises(SystemExit):
             cli.main(bad)
+    cli.logging.basicConfig(handlers=[cli.logging.NullHandler()], force=True)  # pytest closes the stream that the last run logged to
 
 
 def test_raw_recordings(spark, tmp_path):
