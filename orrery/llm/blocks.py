@@ -38,7 +38,7 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
 
-def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def packed(docs: DataFrame, key: str, text: str, most: int = BLOCK_BYTES) -> DataFrame:
     """Rows of blocks, stored. All rows of ``docs`` are in them, whatever their ids and texts."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
@@ -58,7 +58,7 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
             col = b["id"].astype("Int64")
             for i, missing, t in zip(col.fillna(0).tolist(), col.isna().tolist(), b["text"].tolist()):
                 x = utf8(t)
-                if texts and size + len(x) > BLOCK_BYTES:
+                if texts and size + len(x) > most:
                     yield row()
                     ids, known, texts, size = [], [], [], 0
                 ids.append(i)
