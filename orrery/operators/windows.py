@@ -52,6 +52,11 @@ def sliding_windows(signals: DataFrame, size: int, stride: int | None = None, da
     return rows.withColumn("x", F.slice(data, F.col("win_idx") * step + 1, size)).withColumn("win_idx", F.col("win_idx").cast("long")).drop(data)
 
 
+def spread(windows: DataFrame) -> DataFrame:
+    """Windows dealt over tasks before Python reads them: else few long signals feed few tasks, and each window goes to Python's queue with its whole signal beside it."""
+    return windows.repartition("signal_id", "win_idx")
+
+
 def target_order(windows: DataFrame, by: list[str]) -> DataFrame:
     """``stream_pos`` within ``by``: normals in input order, then faults grouped by type. Numbered over ranges of that order (``ranks``)."""
     kind = F.when(F.col("is_anomaly") == 1, F.col("fault_type"))

@@ -53,12 +53,12 @@ def znorm(s: SparkSession, d: str) -> DataFrame:
 
 
 def cepstrum_query(s: SparkSession, d: str) -> DataFrame:
-    c = _windows(s, d).select("signal_id", "win_idx", F.posexplode(z_cepstrum(F.col("x"))).alias("q", "c"))
+    c = win.spread(_windows(s, d)).select("signal_id", "win_idx", F.posexplode(z_cepstrum(F.col("x"))).alias("q", "c"))
     return c.select("signal_id", "win_idx", "q", F.round(F.col("c").cast("double"), 4).alias("c"))
 
 
 def liftered_features(s: SparkSession, d: str) -> DataFrame:
-    f = window_features(_windows(s, d), 4)
+    f = window_features(win.spread(_windows(s, d)), 4)
     return f.select("signal_id", "win_idx", F.size("features").alias("n"), F.round(F.col("features")[1].cast("double"), 4).alias("c1"))
 
 

@@ -124,3 +124,12 @@ def test_gamma_of_a_sample_equals_the_seeded_draw(spark):
     few = ((m[:6][:, None] - m[:6]) ** 2).sum(2)[np.triu_indices(6, 1)]
     assert abs(both["large"] - 1 / np.median(sq)) < 1e-9 and abs(both["small"] - 1 / np.median(few)) < 1e-9
     assert distribution.median_gamma(df.limit(1)).first().gamma == 1 and distribution.median_gamma(df.limit(0)).first().gamma == 1
+
+
+def test_no_signal_goes_to_python_beside_its_windows(spark):
+    from orrery.plans.queries import QUERIES
+
+    for name in ("liftered_features", "cepstrum"):
+        lines = plan(QUERIES[name](spark, "/root/testdata/sf0.001")).split("\n")
+        below = [b.strip(" :+-") for a, b in zip(lines, lines[1:]) if "ArrowEvalPython" in a]
+        assert below and all(b.startswith("RepartitionByExpression") for b in below)
