@@ -70,6 +70,29 @@ def kernel_rows(a: DataFrame, b: DataFrame, kernel: Kernel, key: str = "vec_id",
     return cells.groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("high").alias("high"), F.min("low").alias("low"))
 
 
+def weighted_sums(rows: DataFrame, vectors: DataFrame, kernel: Kernel, by: str, key: str, x: str = "x", cell: int = CELL_ROWS) -> DataFrame:
+    """For each row the sum of its kernel values with its run's ``vectors`` (by, alpha, x), times their weights: ``by, key, total``.
+    Rows of a run without vectors, and rows of none, have no sum."""
+    dealt = [df.filter(F.col(by).isNotNull()) for df in (rows, vectors)]
+    n, m = (max(1, -(-(df.groupBy(by).count().agg(F.max("count")).first()[0] or 0) // cell)) for df in dealt)
+    own = lambda k: (F.monotonically_increasing_id() % k).cast("int").alias("_own")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    v = F.col(x).cast("array<double>").alias("x")
+    left = dealt[0].select(by, key, v, own(n)).select(by, key, "x", F.col("_own").alias("g"), every(m).alias("h"))
+    right = dealt[1].select(by, F.col("alpha").cast("double").alias("alpha"), v, own(m)).select(by, "alpha", "x", every(n).alias("g"), F.col("_own").alias("h"))
+    kind = dict(rows.dtypes)
+
+    def run(group: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        a = right.column("alpha").to_numpy()
+        parts = [k @ a for _, k in _strips(left, right, kernel)]
+        some = left.slice(0, sum(map(len, parts)))
+        return pa.table({by: some.column(by), key: some.column(key), "total": pa.array(np.concatenate([np.zeros(0), *parts]))})
+
+    keys = [by, "g", "h"]
+    cells = fresh(left).groupBy(*keys).cogroup(fresh(right).groupBy(*keys)).applyInArrow(run, f"`{by}` {kind[by]}, `{key}` {kind[key]}, total double")
+    return cells.groupBy(by, key).agg(F.sum("total").alias("total"))
+
+
 def rbf_sums(rows: DataFrame, by: list[str], side: str, gamma: str, x: str = "x", cell: int = CELL_ROWS) -> DataFrame:
     """For each run the summed RBF kernel values between sides: ``by, a, b, total, pairs``. ``gamma``: a column, the same over a run. Cells below
     the diagonal are those above it turned round, so half of them are made."""

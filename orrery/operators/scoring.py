@@ -75,29 +75,37 @@ def top_alpha(vectors: DataFrame, n: int, by: list[str], c: float, eps: float =
     return flat.withColumn("alpha", F.col("_new")).drop("_new")
 
 
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 4 << 20
+AT_ONCE = 1 << 21  # kernel values of a task at a time
 
 
 def kernel_distances(rows: DataFrame, vectors: DataFrame, kernel: Kernel, by: str = "scenario_id", x: str = "x", most: int = BROADCAST_BYTES) -> DataFrame:
     """``d2`` of rows to the description of their scenario under any kernel. ``vectors``: key, sv_idx, alpha, x.
 
-    Descriptions of up to ``most`` bytes together are broadcast and applied to Arrow batches; larger ones are joined by key and
-    summed per row, both giving the same numbers. Rows of a scenario without vectors are left out.
+    Descriptions of up to ``most`` bytes together are broadcast and applied to Arrow batches; larger ones meet rows, and one another for their
+    norms, in cells of a grid (``gram.weighted_sums``), both giving the same numbers. Rows of a scenario without vectors are left out.
     """
+    from orrery.operators import gram  # it uses this module
+
     size = vectors.agg(F.sum(F.size("x") * 8 + 16)).first()[0] or 0
     if size > most:
-        v = vectors.select(F.col(by).alias("_s"), F.col("alpha").alias("_a"), F.col("x").alias("_x"))
-        w = v.select(F.col("_s").alias("_s2"), F.col("_a").alias("_a2"), F.col("_x").alias("_x2"))
-        norm = v.join(w, F.col("_s") == F.col("_s2")).groupBy("_s").agg(F.sum(F.col("_a") * F.col("_a2") * kernel.column(F.col("_x"), F.col("_x2"))).alias("_norm"))
+        held = stored(vectors.select(by, "alpha", F.col("x").alias(x), F.monotonically_increasing_id().alias("_row")), "vectors")
+        own = gram.weighted_sums(held, held, kernel, by, "_row", x).select("_row", F.col("total").alias("_total"))
+        norm = held.select(by, "_row", "alpha").join(own, "_row").groupBy(by).agg(F.sum(F.col("alpha") * F.col("_total")).alias("_norm"))
         numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        cross = numbered.join(v, F.col(by) == F.col("_s")).groupBy("_row").agg(F.sum(F.col("_a") * kernel.column(F.col(x), F.col("_x"))).alias("_cross"))
-        both = numbered.join(cross, "_row").join(norm, F.col(by) == F.col("_s"))
+        cross = gram.weighted_sums(numbered, held, kernel, by, "_row", x).select("_row", F.col("total").alias("_cross"))
+        both = numbered.join(cross, "_row").join(norm, by)
         return both.select(*rows.columns, F.greatest(kernel.diag_column(F.col(x)) - 2 * F.col("_cross") + F.col("_norm"), F.lit(0.0)).alias("d2"))
     held: dict = {}
     for r in vectors.orderBy(by, "sv_idx").toLocalIterator():
         held.setdefault(r[by], []).append((r.alpha, r.x))
     models = {k: (np.array([a for a, _ in v]), np.array([y for _, y in v], float)) for k, v in held.items()}
-    sent = rows.sparkSession.sparkContext.broadcast({k: (a, m, float(a @ kernel.matrix(m, m) @ a)) for k, (a, m) in models.items()})
+
+    def sums(q: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
+        step = max(1, AT_ONCE // len(m))
+        return np.concatenate([kernel.matrix(q[i : i + step], m) @ a for i in range(0, len(q), step)])
+
+    sent = rows.sparkSession.sparkContext.broadcast({k: (a, m, float(a @ sums(m, a, m))) for k, (a, m) in models.items()})
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", d2 double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +114,6 @@ def kernel_distances(rows: DataFrame, vectors: DataFrame, kernel: Kernel, by: st
                 if key in sent.value:
                     a, m, norm = sent.value[key]
                     q = np.stack(g[x].to_list()).astype(float)
-                    yield g.assign(d2=np.maximum(kernel.diag(q) - 2 * kernel.matrix(q, m) @ a + norm, 0))
+                    yield g.assign(d2=np.maximum(kernel.diag(q) - 2 * sums(q, a, m) + norm, 0))
 
     return rows.mapInPandas(run, schema)

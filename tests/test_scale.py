@@ -133,3 +133,24 @@ def test_no_signal_goes_to_python_beside_its_windows(spark):
         lines = plan(QUERIES[name](spark, "/root/testdata/sf0.001")).split("\n")
         below = [b.strip(" :+-") for a, b in zip(lines, lines[1:]) if "ArrowEvalPython" in a]
         assert below and all(b.startswith("RepartitionByExpression") for b in below)
+
+
+def test_distances_to_many_vectors_take_no_square_of_them(spark):
+    """Memory of the driver, and sums in cells, for more vectors than a cell has rows."""
+    import tracemalloc
+
+    from orrery.operators.scoring import kernel_distances
+
+    rng = np.random.default_rng(13)
+    m, q, kernel = rng.normal(size=(5000, 3)), rng.normal(size=(20, 3)), Kernel("rbf", 0.5)
+    a = rng.random(5000)
+    a /= a.sum()
+    sv = spark.createDataFrame([("a", i % 7, w, x) for i, (w, x) in enumerate(zip(a.tolist(), m.tolist()))], "scenario_id string, sv_idx int, alpha double, x array<double>")
+    rows = spark.createDataFrame([("a", i, x) for i, x in enumerate(q.tolist())] + [("none", 99, [0.0] * 3), (None, 98, [0.0] * 3)], "scenario_id string, i long, x array<double>")
+    want = 1 - 2 * kernel.matrix(q, m) @ a + a @ kernel.matrix(m, m) @ a
+    for most in (1 << 20, 0):
+        tracemalloc.start()
+        got = {r.i: r.d2 for r in kernel_distances(rows, sv, kernel, most=most).collect()}
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+        assert set(got) == set(range(20)) and np.allclose([got[i] for i in range(20)], want, atol=1e-9)
