@@ -46,10 +46,11 @@ class Kernel:
             return F.pow(F.lit(self.gamma) * sq_norm(x) + F.lit(self.coef0), F.lit(self.degree))
         return sq_norm(x) + F.lit(self.coef0)
 
-    def matrix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def matrix(self, a: np.ndarray, b: np.ndarray, aa: np.ndarray | None = None, bb: np.ndarray | None = None) -> np.ndarray:
+        """Values of all pairs of rows; ``aa``, ``bb``: the rows' squared norms, if known."""
         g = a @ b.T
         if self.name == "rbf":
-            d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * g
+            d2 = ((a * a).sum(1) if aa is None else aa)[:, None] + ((b * b).sum(1) if bb is None else bb)[None, :] - 2 * g
             return np.exp(-self.gamma * np.maximum(d2, 0))
         return (self.gamma * g + self.coef0) ** self.degree if self.name == "poly" else g + self.coef0
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.functions.kernels import Kernel
 from orrery.operators.scoring import EPS
 
+AT_ONCE = 1 << 20  # kernel values at a time
+ROUNDING, FEW, ANEW = 1e-17, 64, 1000  # of a weight; columns that cost less than the shared set; moves after which rounding is shed
 
 
 def box_from_nu(n: int, nu: float) -> float:
@@ -79,6 +81,9 @@ class Description:
     gap: float = 0.0
     capacity: int = 0
     evict: str = "redistribute"
+    _room: tuple | None = None  # x, alpha, f, diag and squared norms with space for ``capacity`` vectors, from the first update on
+    _open: tuple | None = None  # which vectors shared the last even spread of weight, and K times that set
+    _moves: int = 0
 
     @staticmethod
     def fit(x: np.ndarray, kernel: Kernel, c: float, max_iter: int = 1000, tol: float = 1e-3) -> Description:
@@ -127,14 +132,15 @@ class Description:
 
     def d2(self, rows: np.ndarray) -> np.ndarray:
         rows = np.atleast_2d(rows).astype(np.float64)
-        return np.maximum(self.kernel.diag(rows) - 2 * self.kernel.matrix(rows, self.x) @ self.alpha + self.norm2, 0)
+        return np.maximum(self.kernel.diag(rows) - 2 * self.kernel.matrix(rows, self.x, bb=self._squares()) @ self.alpha + self.norm2, 0)
 
     def bounded(self, capacity: int, evict: str = "redistribute") -> Description:
         """A copy ready to adapt: the largest weights that fit, scaled to sum 1."""
         top = np.sort(np.argsort(-self.alpha, kind="stable")[:capacity])
         a = to_capped_simplex(self.alpha[top] / self.alpha[top].sum(), self.c)
         x = self.x[top]
-        d = Description(self.kernel, self.c, x, a, self.kernel.matrix(x, x) @ a, self.diag[top], capacity=capacity, evict=evict)
+        f = np.concatenate([self.kernel.matrix(x[b : b + 512], x) @ a for b in range(0, len(x), 512)])
+        d = Description(self.kernel, self.c, x, a, f, self.diag[top], capacity=capacity, evict=evict)
         d._refresh()
         return d
 
@@ -142,27 +148,36 @@ class Description:
         """Take one vector in: a free slot, or the slot of the smallest weight; then steps that involve the new vector."""
         row = np.asarray(row, np.float64)
         own = float(self.kernel.diag(row[None])[0])
-        if len(self.x) < self.capacity:
-            self.x = np.vstack([self.x, row])
-            self.alpha, self.diag, self.f = np.append(self.alpha, 0.0), np.append(self.diag, own), np.append(self.f, 0.0)
-            new = len(self.x) - 1
-            self.f[new] = self._row(row) @ self.alpha
+        n = len(self.x)
+        if self._room is None:
+            size = max(n, self.capacity)
+            self._room = tuple(np.empty((size, *v.shape[1:])) for v in (self.x, self.alpha, self.f, self.diag, self.alpha))
+            for to, v in zip(self._room, (self.x, self.alpha, self.f, self.diag, (self.x * self.x).sum(1))):
+                to[:n] = v
+        if n < self.capacity:
+            new = n
+            self._put(new, row, own)
+            self._see(n + 1)
+            self.alpha[new] = self.f[new] = 0.0
+            k_new = self._row(row)
+            self.f[new] = k_new @ self.alpha
+            self._open = None
         else:
+            self._see(n)
             new = int(np.argmin(self.alpha))
-            gone = self.alpha[new]
+            gone, scale = self.alpha[new], 1.0
             a = self.alpha.copy()
             if self.evict == "transfer":
                 a[new] = gone
             else:
                 a[new] = 0.0
                 if (rest := a.sum()) > EPS:
-                    a = to_capped_simplex(a * (1 + gone / rest), self.c)
-            self.x, self.diag = self.x.copy(), self.diag.copy()
-            self.x[new], self.diag[new] = row, own
-            self.alpha = a
-            live = a > 0
-            self.f = self.kernel.matrix(self.x, self.x[live]) @ a[live]
-        k_new = self._row(row)
+                    scale = 1 + gone / rest
+                    a = to_capped_simplex(a * scale, self.c)
+            k_old = self._row(self.x[new]) if gone or (self._open is not None and self._open[0][new]) else None
+            self._put(new, row, own)
+            k_new = self._row(row)
+            self._move(a, new, scale, k_old, k_new)
         for _ in range(inner_iter):
             g = self.diag - 2 * self.f
             moves = []
@@ -188,8 +203,66 @@ class Description:
             self.f += step * ((k_new - k_other) if i == new else (k_other - k_new))
         self._refresh()
 
+    def _squares(self) -> np.ndarray | None:
+        return None if self._room is None else self._room[4][: len(self.x)]
+
+    def _see(self, n: int) -> None:
+        self.x, self.alpha, self.f, self.diag = (v[:n] for v in self._room[:4])
+
+    def _put(self, at: int, row: np.ndarray, own: float) -> None:
+        x, _, _, diag, squares = self._room
+        x[at], diag[at], squares[at] = row, own, row @ row
+
     def _row(self, row: np.ndarray) -> np.ndarray:
-        return self.kernel.matrix(self.x, row[None])[:, 0]
+        return self.kernel.matrix(self.x, row[None], aa=self._squares())[:, 0]
+
+    def _times(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """K's columns ``at`` times weights, some at a time."""
+        out, step, squares = np.zeros(len(self.x)), max(1, AT_ONCE // len(self.x)), self._squares()
+        for i in range(0, len(at), step):
+            p = at[i : i + step]
+            out += self.kernel.matrix(self.x, self.x[p], aa=squares, bb=squares[p]) @ weights[i : i + step]
+        return out
+
+    def _move(self, a: np.ndarray, new: int, scale: float, k_old: np.ndarray | None, k_new: np.ndarray) -> None:
+        """Weights ``a`` and their ``f`` after slot ``new`` has been given another vector (``k_old``, ``k_new``: kernel values of the one before and of this one).
+
+        All weights were scaled, those between the bounds then moved by the same amount (``shift``), and few moved otherwise. So f is scaled, gets that
+        amount of K times the set of these, and columns of the few. Where most moved otherwise, and after every ``ANEW`` moves, f is summed anew.
+        """
+        self._moves += 1
+        gone = self.alpha[new]
+        moved = a - scale * self.alpha
+        moved[new] = 0.0
+        free = (a > 0) & (a < self.c - EPS)
+        free[new] = False
+        shift = float(np.median(moved[free])) if free.any() else 0.0
+        others = np.abs(moved) > ROUNDING
+        use = abs(shift) > ROUNDING and others.sum() > FEW
+        if self._open is not None:  # the slot's vector leaves the set
+            held, u = self._open
+            if held[new]:
+                held[new] = False
+                u -= k_old
+            u[new] = k_new[held].sum()
+        if use:
+            held, u = self._open if self._open is not None else (np.zeros(len(a), bool), np.zeros(len(a)))
+            turn = np.flatnonzero(held != free)
+            if self._moves % ANEW == 0 or len(turn) > len(a) // 2:
+                u, turn = self._times(at := np.flatnonzero(free), np.ones(len(at))), turn[:0]
+            self._open = free, u + self._times(turn, np.where(free[turn], 1.0, -1.0))
+            moved = moved - shift * free
+            others = np.abs(moved) > ROUNDING
+        f = scale * (self.f - gone * k_old if gone else self.f)
+        if self._moves % ANEW == 0 or others.sum() > len(a) // 2:
+            live = np.flatnonzero(a > 0)
+            f = self._times(live, a[live])
+        else:
+            f = f + self._times(at := np.flatnonzero(others), moved[at]) + a[new] * k_new
+            if use:
+                f += shift * self._open[1]
+            f[new] = k_new @ a
+        self.alpha[:], self.f[:] = a, f
 
     def to_bytes(self) -> bytes:
         """Doubles: number of vectors, C, capacity, weights, f, vectors."""
@@ -229,7 +302,7 @@ def fit_scenarios(train: DataFrame, kernel: Kernel, nu: float = 0.1, max_iter: i
         n = len(d.alpha)
         return pd.DataFrame({by: [key[0]] * n, "c": d.c, "r2": d.r2, "center_norm_sq": d.norm2, "tier": d.tier, "iterations": d.iterations, "gap": d.gap, "sv_idx": np.arange(n), "alpha": d.alpha, "x": list(d.x), "error": None})
 
-    return train.select(train[by].cast("string").alias(by), order, x).groupBy(by).applyInPandas(fit, schema)
+    return dealt(train.select(train[by].cast("string").alias(by), order, x), by).groupBy(by).applyInPandas(fit, schema)
 
 
 RUN = (
@@ -269,7 +342,7 @@ def replay_run(stream: DataFrame, train: DataFrame, kernel: Kernel, nu: float =
         return res[columns]
 
     # fresh attributes: both sides may come from one table, whose columns a cogroup would confuse
-    return fresh(train).groupBy(by).cogroup(fresh(stream).groupBy(by)).applyInPandas(run, out)
+    return dealt(fresh(train), by).groupBy(by).cogroup(dealt(fresh(stream), by).groupBy(by)).applyInPandas(run, out)
 
 
 def replay(stream: DataFrame, train: DataFrame, kernel: Kernel, nu: float = 0.1, rho: tuple[float, float] | None = (0.5, 1.5), warmup_share: float = 0.10, cap: int = 5000, inner_iter: int = 10, by: str = "scenario_id") -> DataFrame:
@@ -282,6 +355,11 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """Rows by scenario in as many parts as a shuffle has: small in bytes but long to compute, they are not to be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 @dataclass
 class Policy:
     """Skip, adapt or report: two frozen radii around the trained description, or one moving radius when ``rho`` is None."""

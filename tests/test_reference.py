@@ -374,3 +374,28 @@ def test_single_boundary_codes(spark):
             want[k, pos] = (code, round(float(m.r2 - m.d2(v)[0]), 9))
     got = {(o.scenario_id, o.stream_pos): (o.decision, round(o.score, 9)) for o in q.otta_single(spark, sf).collect()}
     assert got == want and {v[0] for v in want.values()} == {1, 2}
+
+
+def test_full_buffer_takes_no_kernel_matrix(monkeypatch):
+    """Moves of a full buffer cost a few columns, not the whole kernel matrix, and end where sums made anew end."""
+    from orrery.operators import svdd
+
+    rng = np.random.default_rng(21)
+    x, rows = rng.normal(size=(400, 6)) * 0.7, rng.normal(size=(300, 6)) * 0.7
+    made, plain = [0], Kernel.matrix
+    monkeypatch.setattr(Kernel, "matrix", lambda self, a, b, **k: (made.__setitem__(0, made[0] + len(a) * len(b)), plain(self, a, b, **k))[1])
+    for kernel in (Kernel(), Kernel("rbf", 0.5), polynomial(2.0, 0.1, 1.0)):
+        for evict in ("redistribute", "transfer"):
+            start = Description.fit(x, kernel, 1 / 40)
+            ends = []
+            for anew in (1000, 1):
+                monkeypatch.setattr(svdd, "ANEW", anew, raising=False)
+                m = start.bounded(200, evict)
+                made[0] = 0
+                for row in rows:
+                    m.update(row)
+                if anew > 1:
+                    assert made[0] < len(rows) * 20 * 200
+                assert np.abs(plain(kernel, m.x, m.x) @ m.alpha - m.f).max() < 1e-12 and abs(m.alpha.sum() - 1) < 1e-6
+                ends.append((m.r2, m.norm2, m.alpha.copy()))
+            assert np.allclose(ends[0][2], ends[1][2], atol=1e-9) and abs(ends[0][0] - ends[1][0]) < 1e-9
