@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from orrery.functions.cepstrum import window_features
 from orrery.functions.kernels import Kernel
-from orrery.operators.svdd import Description, Policy, fresh
+from orrery.operators.svdd import Description, Policy, dealt, fresh
 from orrery.streaming.assemble import window_stream
 
 OUT = "scenario_id string, stream_pos long, decision int, score double, y_true int, r_trace double, latency_s double, missing long"
@@ -118,7 +118,7 @@ def start_models(train: DataFrame, counts: DataFrame, kernel: Kernel, nu: float
         p = Policy.start(np.stack(rows.sort_values("vec_id")["x"].to_list()), kernel, nu, rho, int(n["n_normal"].iloc[0]), int(n["n_stream"].iloc[0]), share, cap, 10)
         return pd.DataFrame([(key[0], p.model.to_bytes(), p.warmup, p.r_pretrain)], columns=["scenario_id", "model", "warmup", "r_pretrain"])
 
-    return fresh(train).groupBy("scenario_id").cogroup(fresh(counts).groupBy("scenario_id")).applyInPandas(fit, "scenario_id string, model binary, warmup long, r_pretrain double")
+    return dealt(fresh(train), "scenario_id").groupBy("scenario_id").cogroup(dealt(fresh(counts), "scenario_id").groupBy("scenario_id")).applyInPandas(fit, "scenario_id string, model binary, warmup long, r_pretrain double")
 
 
 def run_available(spark: SparkSession, source: str, schema: str, models: DataFrame, kernel: Kernel, sink: str, checkpoint: str, rho: tuple[float, float] | None = (0.5, 1.5), wait_ms: int = WAIT_MS, files: int = 4) -> None:
