@@ -97,3 +97,26 @@ def test_scores_do_not_depend_on_layout(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one, many = ({r.doc_id: r.score for r in cm.score_documents(d).collect()} for d in (df.coalesce(1), df.repartition(12)))
     assert max(abs(one[d] - many[d]) for d in one) < 1e-6
+
+
+def test_words_of_a_text_are_looked_up_once(monkeypatch):
+    """Each different word is looked up, coded and spelt once a batch of texts, and spelt as it is alone."""
+    from orrery.llm import context_mixing as cm
+
+    words = [b"one", b"two", b"a\0b", b"\xc3\xa4", b"x", b""]
+    tables = [np.bincount(cm.Codes()([b"one", b""]), minlength=cm.SIZES[0]).astype(np.uint32)]
+    blocks = [(t, k, zlib.compress(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64).tobytes())) for t, k, c in cm.blocks(tables) + cm.blocks(cm.spelling_counts([b"one", b"on"]), 3)]
+    model = cm.Model(blocks, 2, 2, 2)
+    alone = [model.spelling(w) for w in words]
+    model.spelt.clear()
+    assert np.allclose(model.spellings(words * 3), alone * 3, rtol=1e-12)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    got = model.score(["One two two\n" * 50, None, "two one x"], Counted({b"one": 1, b"": 1}))
+    assert Counted.asked == 4 and [g[0] for g in got] == [151, 1, 4] and [g[1] for g in got] == [51, 1, 2]
