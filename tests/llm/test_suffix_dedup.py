@@ -136,3 +136,28 @@ def test_query_sorts_through_spilled_queues(spark, tmp_path):
     got = sd.least_ids(parts + parts[:3], np.arange(403), spill=f"file://{tmp_path}/queues", stats=stats)
     assert stats["spilled"] > 0 and stats["levels"] > 2
     assert all((got[400 + i] == i).all() for i in range(3)) and all((got[i] == i).all() for i in range(400))
+
+
+def test_substrings_are_named_without_sweeps(monkeypatch):
+    """A level is swept twice, up and down; its names are those of its substrings, in order, with what neighbours have in common."""
+    made, real = [], ind.Sweep
+    monkeypatch.setattr(ind, "Sweep", lambda *a: made.append(a) or real(*a))
+    for k, t in enumerate(strings(60)):
+        depth, stats = (3, 50, 200)[k % 3], {}
+        x = np.frombuffer(t, np.uint8)
+        made.clear()
+        in_order(x.copy(), 256, depth, stats=stats)
+        assert len(made) == 2 * stats["levels"]
+        v = ind.Level(x, 256, np.ones(256, np.uint8), np.zeros(256, np.uint8), depth, ind.MEMORY, None)
+        if not len(v.stars):
+            continue
+        p = v.stars.tolist()
+        run = lambda q: next((i for i in range(q, len(t)) if t[i] != t[q]), len(t)) - q
+        sub = {a: t[a : b + run(b) + 1] if b else t[a:] for a, b in zip(p, [*p[1:], 0])}
+        pos, val, name, _, length, step = ind._names(v)
+        got = [sub[a][:depth] for a in pos.tolist()]
+        assert got == sorted(got) and sorted(pos.tolist()) == p
+        for i in range(1, len(got)):
+            same = next((j for j, (y, z) in enumerate(zip(got[i - 1], got[i])) if y != z), min(len(got[i - 1]), len(got[i])))
+            assert (name[i] == name[i - 1]) == (got[i] == got[i - 1]) and (val[i] >= depth or got[i] != got[i - 1] and val[i] == same)
+        assert len(length) == len(step) == name[-1] + 1
