@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from orrery.llm import context_mixing as cm
 
@@ -120,3 +121,24 @@ def test_words_of_a_text_are_looked_up_once(monkeypatch):
 
     got = model.score(["One two two\n" * 50, None, "two one x"], Counted({b"one": 1, b"": 1}))
     assert Counted.asked == 4 and [g[0] for g in got] == [151, 1, 4] and [g[1] for g in got] == [51, 1, 2]
+
+
+def test_words_are_numbered_and_coded_on_arrays():
+    """Without a Python object a word, as one word at a time gives."""
+    texts = ["A bc\tä  d", None, "", "  ", "x\r\n y\x0b\x0cZ\x1c \x08", " a b", "w" * 200 + " a\0b", "B bc " * 40]
+    at, words, size = cm.numbered(texts)
+    every = words.to_pylist()
+    want = [cm.tokens(t) for t in texts]
+    assert [every[i] for i in at] == [w for t in want for w in t] and size.tolist() == [len(t) for t in want] and every == list(dict.fromkeys(every))
+    assert cm.codes_of(words).tolist() == cm.Codes()(every).tolist() and cm.codes_of(words.slice(3)).tolist() == cm.Codes()(every[3:]).tolist()
+    assert [len(x) for x in cm.numbered([])] == [0, 0, 0]
+    m = cm.Model(random_blocks(np.random.default_rng(2)), 1000, 50, 10)
+    count = {b"a": 5, b"bc": 3, b"": 9}
+    table = pa.table({"word": pa.array(list(count), pa.binary()), "c": list(count.values())})
+    assert m.score(texts, table) == m.score(texts, count) and m.score(texts, table.slice(0, 0)) == m.score(texts, {})
+
+
+def test_no_training_text(spark):
+    keys = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10 == 0]
+    got = cm.score_documents(spark.createDataFrame([(k, f"a b {k}") for k in keys], "doc_id long, text string")).collect()
+    assert len(got) == len(keys) > 1 and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 4, 0, 0) and np.isfinite(r.score) for r in got)
