@@ -81,3 +81,24 @@ def test_components_of_a_path(spark):
     e = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components(e).collect()
     assert {r.node for r in got} == set(range(41)) and {r.root for r in got} == {0}
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    from orrery.llm import components as of
+
+    plans, real = [], simhash.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    monkeypatch.setattr(of, "stored", stored)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:30])], "doc_id long, text string")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    frames = [simhash.links(simhash.cells(docs.select(simhash.fingerprint("text").alias("fp")).distinct()).select("fp").distinct()), simhash.with_components(docs), simhash.keep_one(docs)]
+    assert [f.count() for f in frames[1:]] == [330, len(set(texts))]
+    plans += [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
