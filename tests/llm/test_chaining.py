@@ -273,6 +273,28 @@ def test_passages_that_grow_from_a_crowded_seed(spark):
     assert got[60, 40] == (9, 53) and got[70, 50] == (9, 53) and got[130, 110] == (9, 69)
 
 
+def test_crowded_seeds_apart_make_a_passage(spark):
+    """Two pieces with six differing words between them: each piece is held by more than 64 documents, or one by a few; in one pair a text lacks the words between."""
+    rnd = random.Random(43)
+    text = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    a, b, few = text(17), text(19), text(19)
+    whole = {100: a + text(6) + b, 120: a + text(6) + b, 200: b + text(6) + a, 220: b + a, 140: a + text(6) + few, 160: a + text(6) + few, 180: text(3) + few, 30: few + text(2), 40: few + text(1)}
+    rows = [(i, " ".join(text(9) + (whole.get(i) or (a, b)[i % 2]) + text(9))) for i in range(300)]
+    rows.append((300, " ".join(text(9) + few + text(9))))
+    pairs = ch.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.other_id, r.start, r.end, r.other_start) for r in pairs if r.end - r.start >= ch.MIN_WORDS or r.doc_id == 220)
+    assert got[:2] == [(120, 100, 9, 51, 9), (160, 140, 9, 51, 9)] and {g[:2] for g in got} <= {(120, 100), (160, 140), (220, 200)}
+
+
+def test_seeds_shared_by_stretches():
+    rng = np.random.default_rng(8)
+    for n in (0, 3, 4, 50, 200):
+        x, y = rng.integers(0, 3, n).astype("<u4"), rng.integers(0, 3, 120).astype("<u4")
+        pos, apos = np.array([3, 20]), np.array([5, 31])
+        want = [(i, j) for i in range(n - 3) for j in range(117) if (x[i : i + 4] == y[j : j + 4]).all() and 2 - ch.MARGIN <= j - i <= 11 + ch.MARGIN]
+        assert [tuple(r) for r in ch.shared(x, y, pos, apos, 1).tolist()] == want
+
+
 def test_matches_of_all_holders_are_those_between_classes():
     from orrery.llm import all_holders
 
