@@ -87,3 +87,14 @@ def test_stages_take_odd_rows(spark):
         assert corpus_pipeline.write_tokens(spark, df, SF).count() == df.count()
     one = corpus_pipeline.near_dedup(spark, corpus_pipeline.identify_language(spark, docs, SF), SF)
     assert sorted(Counter(r.doc_id for r in one.collect()).items(), key=str) == [(3, 1), (4, 1), (None, 1)]
+
+
+def test_near_dedup_broadcasts_no_table_that_grows(spark, monkeypatch):
+    from orrery.llm import simhash
+
+    plans, real = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(20)] * 2, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert kept.count() == 20 and sum("SortMergeJoin" in x for x in plans) > 2 and not [x for x in plans if "Broadcast" in x]
